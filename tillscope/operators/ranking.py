@@ -28,9 +28,12 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with nulls equal; the keys appear once."""
+    """Join on ``keys`` with nulls equal; the keys appear once.
+
+    Without keys ``right`` is a table per scope, and without scope columns that is a single row.
+    """
     if not keys:
-        return left.crossJoin(F.broadcast(right)) if how in ("inner", "left") else left.join(right, F.lit(True), how)
+        return left.join(F.broadcast(right), F.lit(True), how)
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     joined = left.join(renamed, on, how)
