@@ -232,15 +232,15 @@ def product_lens(products: DataFrame, scope: list[str] | None = None) -> DataFra
     p0, p1 = F.try_divide("g0", "q0"), F.try_divide("g1", "q1")
     on = lambda v: zero(F.sum(F.when(live, v)))
     sums = pair.groupBy(*scope).agg(
-        on(F.col("q0")).alias("Q0"), on(F.col("q1")).alias("Q1"),
+        on(F.col("q0")).alias("units0"), on(F.col("q1")).alias("units1"),
         on(F.col("q0") * p0).alias("m00"), on(F.col("q0") * p1).alias("m01"), on(F.col("q1") * p0).alias("m10"), on(F.col("q1") * p1).alias("m11"),
         zero(F.sum(F.when(named & in1 & ~in0, F.col("g1")))).alias("new_products"),
         (0.0 - zero(F.sum(F.when(named & in0 & ~in1, F.col("g0"))))).alias("discontinued_products"),
         zero(F.sum(F.when(~named, zero(F.col("g1")) - zero(F.col("g0"))))).alias("unidentified"),
         F.count_if(live).alias("live_products"))
-    q0, q1 = F.col("Q0"), F.col("Q1")
-    c00, c01 = zero(F.try_divide("m00", "Q0")), zero(F.try_divide("m01", "Q0"))
-    c10, c11 = zero(F.try_divide("m10", "Q1")), zero(F.try_divide("m11", "Q1"))
+    q0, q1 = F.col("units0"), F.col("units1")
+    c00, c01 = zero(F.try_divide("m00", "units0")), zero(F.try_divide("m01", "units0"))
+    c10, c11 = zero(F.try_divide("m10", "units1")), zero(F.try_divide("m11", "units1"))
     volume = (q1 - q0) * (2 * c00 + c01 + c10 + 2 * c11) / 6
     mix = (2 * q0 * (c10 - c00) + q0 * (c11 - c01) + q1 * (c10 - c00) + 2 * q1 * (c11 - c01)) / 6
     price = (2 * q0 * (c01 - c00) + q0 * (c11 - c10) + q1 * (c01 - c00) + 2 * q1 * (c11 - c10)) / 6
@@ -302,18 +302,18 @@ def mix_rate(lines: DataFrame, period: DataFrame, scope: list[str] | None = None
     group = [*scope, "metric"]
     r0, r1, w0, w1 = F.col("rev_prev"), F.col("rev_cur"), F.col("w0"), F.col("w1")
     facts = stacked.groupBy(*group).agg(
-        F.sum("w0").alias("W0"), F.sum("w1").alias("W1"), F.sum("rev_prev").alias("R0"), F.sum("rev_cur").alias("R1"),
+        F.sum("w0").alias("total0"), F.sum("w1").alias("total1"), F.sum("rev_prev").alias("R0"), F.sum("rev_cur").alias("R1"),
         F.sum(F.abs("rev_prev")).alias("A0"), F.sum(F.abs("rev_cur")).alias("A1"),
         F.bool_or(((w0 == 0) & (r0 != 0)) | ((w1 == 0) & (r1 != 0))).alias("weightless"))
-    m0, m1 = F.try_divide("R0", "W0"), F.try_divide("R1", "W1")
+    m0, m1 = F.try_divide("R0", "total0"), F.try_divide("R1", "total1")
     ok = (
-        (F.col("W0") > 0) & (F.col("W1") > 0) & ~F.col("weightless") & ~is_negligible(F.col("W0"), F.col("A0"), F.col("W0"))
-        & ~is_negligible(F.col("W1"), F.col("A1"), F.col("W1")) & (m0 > 0) & (m1 > 0) & ~is_negligible(m1 - m0, m0, m1))
+        (F.col("total0") > 0) & (F.col("total1") > 0) & ~F.col("weightless") & ~is_negligible(F.col("total0"), F.col("A0"), F.col("total0"))
+        & ~is_negligible(F.col("total1"), F.col("A1"), F.col("total1")) & (m0 > 0) & (m1 > 0) & ~is_negligible(m1 - m0, m0, m1))
     facts = with_period(facts, spans, scope).filter(ok & ~((F.col("metric") == "aov") & F.coalesce(F.col("spanning"), F.lit(False))))
     best = facts.withColumn("move", F.abs((m1 - m0) / m0)).withColumn(
         "__rank", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc("move"), "metric"))).filter("__rank = 1")
-    joined = join_same(stacked, best.select(*group, "W0", "W1"), group)
-    s0, s1 = w0 / F.col("W0"), w1 / F.col("W1")
+    joined = join_same(stacked, best.select(*group, "total0", "total1"), group)
+    s0, s1 = w0 / F.col("total0"), w1 / F.col("total1")
     v0, v1 = zero(F.try_divide(r0, w0)), zero(F.try_divide(r1, w1))
     return joined.groupBy(*group).agg(
         F.sum((s1 - s0) * (v0 + v1) / 2).alias("mix"), F.sum((v1 - v0) * (s0 + s1) / 2).alias("rate"))
