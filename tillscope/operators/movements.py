@@ -188,7 +188,7 @@ def breakdown_refusal(whole_order: Column | bool = False) -> Column:
     """Why a measured column cannot split sales, null when it can."""
     whole = F.lit(whole_order) if isinstance(whole_order, bool) else whole_order
     return (
-        F.when(F.col("first_line_only") & ~whole, "first_line_only")
+        F.when(F.col("units").isNull(), "lines_not_read").when(F.col("first_line_only") & ~whole, "first_line_only")
         .when(F.col("blank_units") * 100 > MAX_BLANK_PCT * F.col("units"), "too_many_blanks")
         .when(F.col("value_count") < MIN_VALUES, "too_few_values")
         .when((F.col("value_count") > ALL_SHOWN) & (F.col("value_count") > MAX_VALUES_PER_UNIT * F.col("purchases")), "nearly_every_purchase_its_own")
@@ -215,7 +215,7 @@ def eligible_columns(profile: DataFrame, kinds: DataFrame, personal: DataFrame,
     by_profile, by_lines, if_whole = column_refusal(), breakdown_refusal(answered), breakdown_refusal(True)
     refusal = F.coalesce(by_profile, by_lines)
     return joined.select("column", refusal.alias("refusal"), refusal.isNull().alias("eligible"),
-                         (F.col("first_line_only") & by_profile.isNull() & if_whole.isNull()).alias("asks_whole_order"))
+                         F.coalesce(F.col("first_line_only") & by_profile.isNull() & if_whole.isNull(), F.lit(False)).alias("asks_whole_order"))
 
 
 def check_chosen(eligible: DataFrame, chosen: list[str]) -> DataFrame:
