@@ -16,7 +16,8 @@ WITH raw AS (
     CASE WHEN l.l_suppkey % 50 = 1 THEN 'in' WHEN l.l_suppkey % 50 = 2 THEN 'exchange' ELSE 'out' END AS kind,
     o.o_orderpriority AS priority, c.c_mktsegment AS segment
   FROM (SELECT *, row_number() OVER () - 1 AS line_no FROM lineitem) l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN (SELECT c_custkey, max(c_name) AS c_name, max(c_nationkey) AS c_nationkey, max(c_mktsegment) AS c_mktsegment FROM customer GROUP BY 1) c ON o.o_custkey = c.c_custkey
+  JOIN (SELECT p_partkey, max(p_name) AS p_name, max(p_type) AS p_type FROM part GROUP BY 1) p ON l.l_partkey = p.p_partkey
 ), typed AS (
   SELECT *, CAST(txn_ts AS DATE) AS txn_day, CAST(date_trunc('month', txn_ts) AS DATE) AS month, quantity * unit_price AS amount,
     kind = 'in' AS stock_in, lower(product_name) AS name_id, lower(sku) AS sku_id,

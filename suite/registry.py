@@ -507,7 +507,7 @@ def o8_order_checks(spark, sf):
 
 @query
 def o10_first_purchases(spark, sf):
-    return orders.first_purchases(analysis(spark, sf).lines)
+    return analysis(spark, sf).first_purchases
 
 
 @query
@@ -677,7 +677,7 @@ def m22_segments(spark, sf):
 @query
 def m23_new_vs_returning(spark, sf):
     a = analysis(spark, sf)
-    return customers.new_vs_returning(a.lines, a.period)
+    return customers.new_vs_returning(a.lines, a.period, [], a.first_purchases)
 
 
 @query

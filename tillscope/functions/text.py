@@ -43,8 +43,31 @@ def reads_as_missing(col: Column) -> Column:
     return F.coalesce(col.isin(*MISSING_TOKENS), F.lit(False))
 
 
+def is_plain(col: Column) -> Column:
+    """Printable ASCII words one space apart: every reading below leaves such text as it is.
+
+    One cheap test spares ordinary cells the Unicode rules, which cost several regexes each.
+    """
+    return col.rlike("^[!-~]+(?: [!-~]+)*$")
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``, so that deep readings do not copy the expressions under them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _unless_plain(col: Column, read) -> Column:
+    """Ordinary cells stay in generated code; the rest go through ``read``, evaluated apart from it so
+    that the many regexes of the rare path do not outgrow one compiled stage."""
+    return F.when(is_plain(col), col).otherwise(let(col, read))
+
+
 def strip(col: Column) -> Column:
     """Both ends trimmed of every kind of white space (``trim`` removes plain spaces only)."""
+    return _unless_plain(col, _strip)
+
+
+def _strip(col: Column) -> Column:
     return F.regexp_replace(col, _ENDS, "")
 
 
@@ -54,22 +77,35 @@ def is_padded(col: Column) -> Column:
 
 def is_blank(col: Column) -> Column:
     """Missing, or nothing in it that a reader can see."""
-    return F.coalesce(col.rlike(_BLANK), F.lit(True))
+    return F.coalesce(~is_plain(col) & col.rlike(_BLANK), F.lit(True))
 
 
 def fold(col: Column) -> Column:
     """Case folded: lower case, with the letters whose folding differs from lower case."""
-    return F.lower(F.translate(F.replace(F.replace(col, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")), "ςſ", "σs"))
+    special = F.replace(F.replace(col, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    return F.lower(F.when(col.rlike("[ßẞςſ]"), F.translate(special, "ςſ", "σs")).otherwise(col))
+
+
+def _identifier(col: Column) -> Column:
+    return _strip(F.translate(F.regexp_replace(col, NOTHING_AND_MARKS, ""), "\u00a0", " "))
+
+
+def _category(col: Column) -> Column:
+    return F.regexp_replace(_identifier(col), " {2,}", " ")
+
+
+def _product(col: Column) -> Column:
+    shown = _strip(F.regexp_replace(F.regexp_replace(col, INVISIBLE, ""), rf"(?U){SPACE}+", " "))
+    return let(shown, lambda t: F.when(~t.rlike(_BLANK), t))
 
 
 def identifier_text(col: Column) -> Column:
     """A value as a reader tells it apart; case and inner runs of spaces are kept."""
-    seen = F.regexp_replace(col, NOTHING_AND_MARKS, "")
-    return strip(F.translate(seen, "\u00a0", " "))
+    return _unless_plain(col, _identifier)
 
 
 def category_text(col: Column) -> Column:
-    return F.regexp_replace(identifier_text(col), " {2,}", " ")
+    return _unless_plain(col, _category)
 
 
 def category_key(col: Column) -> Column:
@@ -81,17 +117,20 @@ def customer_identity(col: Column) -> Column:
 
 
 def identifier_or_null(col: Column) -> Column:
-    return F.when(~is_blank(col), identifier_text(col))
+    return _unless_plain(col, lambda t: F.when(~t.rlike(_BLANK), _identifier(t)))
 
 
 def customer_or_null(col: Column) -> Column:
-    return F.when(~is_blank(col), customer_identity(col))
+    return F.lower(identifier_or_null(col))
+
+
+def category_or_null(col: Column) -> Column:
+    return _unless_plain(col, lambda t: F.when(~t.rlike(_BLANK), _category(t)))
 
 
 def product_text(col: Column) -> Column:
     """A product name or SKU as it is shown; null when nothing visible is left."""
-    shown = strip(F.regexp_replace(F.regexp_replace(col, INVISIBLE, ""), rf"(?U){SPACE}+", " "))
-    return F.when(~is_blank(shown), shown)
+    return _unless_plain(col, _product)
 
 
 def text_identity(col: Column) -> Column:

@@ -56,13 +56,19 @@ def effects_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EFFECTS), "line_class string, counted boolean, term string, reported string")
 
 
+_SOME_WORD = "|".join(word for _, words in CLASS_WORDS for word in words)
+
+
 def class_word(text: Column) -> Column:
-    """The class whose word starts or ends the text, the first class that matches; null for none."""
-    out = None
+    """The class whose word starts or ends the text, the first class that matches; null for none.
+
+    Most texts hold no word at all: one search for any of them spares the anchored ones.
+    """
+    out = F.when(~text.rlike(_SOME_WORD), None)
     for name, words in CLASS_WORDS:
         any_word = "|".join(words)
         hit = text.rlike(rf"(?U)^(?:{any_word})s?(?!\p{{L}})|(?<!\p{{L}})(?:{any_word})s?$")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(hit, name)
     return out
 
 

@@ -11,6 +11,7 @@ from tillscope.functions.numbers import is_negligible
 from tillscope.operators.orders import first_purchases
 from tillscope.operators.periods import with_period
 from tillscope.operators.ranking import join_same, quintiles
+from tillscope.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 PLACEHOLDER_SHARE = 0.1
@@ -45,8 +46,9 @@ def rfm(lines: DataFrame, period: DataFrame, scope: list[str] | None = None, at:
     people = orders.groupBy(*who, "reference").agg(
         F.sum("amount").alias("monetary"), F.count_if("sale").alias("frequency"), F.max("last").alias("last_purchase"),
         F.min("first").alias("first"))
-    start = people.groupBy(*scope).agg(F.min("first").alias("file_start"))
     whole_days = lambda c: F.floor(F.timestamp_diff("HOUR", c, F.col("reference").cast("timestamp_ntz")) / 24).cast("int")
+    people = materialize(people, "rfm-customers")
+    start = people.groupBy(*scope).agg(F.min("first").alias("file_start"))
     table = with_period(people, start, scope).withColumn(
         "recency_days", F.coalesce(whole_days(F.col("last_purchase")), whole_days(F.col("file_start")) + 1))
     buyers = table.filter(F.col("frequency") > 0)
@@ -88,11 +90,11 @@ def segment_summary(now: DataFrame, before: DataFrame, period: DataFrame, scope:
         F.when(F.col("previous_complete"), F.coalesce("__past", F.lit(0))).alias("customers_previous"))
 
 
-def new_vs_returning(lines: DataFrame, period: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def new_vs_returning(lines: DataFrame, period: DataFrame, scope: list[str] | None = None, first: DataFrame | None = None) -> DataFrame:
     """The current month's customers: first purchase in it, or earlier (a refund proves an earlier one)."""
     scope = scope or []
     who = [*scope, "customer"]
-    first = first_purchases(lines, scope)
+    first = first_purchases(lines, scope) if first is None else first
     month = with_period(lines.filter(F.col("counted") & F.col("customer").isNotNull()), period.select(*scope, "current"), scope)
     here = month.filter(F.col("month") == F.col("current")).groupBy(*who, "current").agg(F.sum("amount").alias("amount"))
     joined = join_same(here, first, who, "left")

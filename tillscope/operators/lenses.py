@@ -12,6 +12,7 @@ from tillscope.operators.orders import first_purchases
 from tillscope.operators.periods import compared, with_period
 from tillscope.operators.ranking import join_same
 from tillscope.operators.signals import typical_magnitude
+from tillscope.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 MASKED_GROSS_TO_NET, MASKED_SHARE = 3.0, 0.25
@@ -205,12 +206,14 @@ def customer_bridge(classes: DataFrame, people: DataFrame, pairs: DataFrame, sco
     return filled.withColumn("unattributed", F.col("__c") - F.col("__p")).drop("__c", "__p")
 
 
-def customer_lens(lines: DataFrame, period: DataFrame, with_rows: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def customer_lens(lines: DataFrame, period: DataFrame, with_rows: DataFrame, scope: list[str] | None = None,
+                  first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(bridge, classes)`` for the compared pair and the one before."""
     scope = scope or []
-    people, first = monthly_customers(lines, scope), first_purchases(lines, scope)
+    people = materialize(monthly_customers(lines, scope), "month-customers")
+    first = first_purchases(lines, scope) if first is None else first
     pairs = transitions(period, with_rows, scope)
-    classes = customer_classes(people, first, pairs, scope)
+    classes = materialize(customer_classes(people, first, pairs, scope), "customer-classes")
     return customer_bridge(classes, people, pairs, scope), classes
 
 
@@ -291,6 +294,7 @@ def mix_rate(lines: DataFrame, period: DataFrame, scope: list[str] | None = None
     ours = compared(lines.filter("counted"), period, scope).withColumn("category", F.coalesce("category_key", F.lit("#UNCATEGORISED")))
     per_order = ours.groupBy(*scope, "slot", "category", "order_key").agg(
         F.sum("amount").alias("rev"), F.sum("units").alias("units"), F.bool_or("sale").alias("sale"), F.first("orders_basis").alias("basis"))
+    per_order = materialize(per_order, "category-orders")
     spans = per_order.filter(F.col("sale") & (F.col("basis") == "order_id")).groupBy(*scope, "order_key").agg(
         (F.min("category") != F.max("category")).alias("s")).groupBy(*scope).agg(F.bool_or("s").alias("spanning"))
     cells = per_order.groupBy(*scope, "slot", "category").agg(
@@ -327,6 +331,7 @@ def stockouts(lines: DataFrame, period: DataFrame, scope: list[str] | None = Non
     """
     scope = scope or []
     daily = compared(lines.filter("sale"), period, scope).groupBy(*scope, "slot", "txn_day", "product_key").agg(F.sum("amount").alias("amount"))
+    daily = materialize(daily, "product-days")
     trading = daily.select(*scope, "slot", "txn_day").distinct()
     sizes = trading.groupBy(*scope).agg(
         F.count_if(F.col("slot") == "prev").alias("n_prev"), F.count_if(F.col("slot") == "cur").alias("n_cur"))

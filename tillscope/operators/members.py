@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from tillscope.functions.numbers import is_negligible
 from tillscope.operators.periods import compared, with_period
 from tillscope.operators.ranking import join_same
+from tillscope.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 MIN_SHARE, MIN_ORDERS, LISTED = 0.02, 30, 5
@@ -76,7 +77,7 @@ def members(totals: DataFrame, period_totals: DataFrame, scope: list[str] | None
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     base = totals.select(*group, "key", "label", "is_gap", z("rev_prev").alias("rev_prev"), z("rev_cur").alias("rev_cur"),
                          F.greatest(F.coalesce("orders_prev", F.lit(0)), F.coalesce("orders_cur", F.lit(0))).alias("orders"))
-    base = base.withColumn("delta", F.col("rev_cur") - F.col("rev_prev"))
+    base = materialize(base.withColumn("delta", F.col("rev_cur") - F.col("rev_prev")), "members")
     facts = base.groupBy(*group).agg(F.sum(F.abs("rev_prev")).alias("__base"), F.count("*").alias("member_count"))
     sized = join_same(base, facts, group)
     large = F.coalesce(F.try_divide(F.abs("rev_prev"), F.col("__base")) >= MIN_SHARE, F.lit(False)) | (F.col("orders") >= MIN_ORDERS)

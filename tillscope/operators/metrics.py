@@ -11,6 +11,7 @@ from tillscope.functions.numbers import is_negligible, pct_change, pct_change_re
 from tillscope.operators.classify import LEAVING, TERM_OF, term_of
 from tillscope.operators.periods import compared, figure_scopes, with_period
 from tillscope.operators.ranking import join_same
+from tillscope.session import materialize
 
 # Which figures each note about the lines touches, and the report's limits.
 EVERY_FIGURE = ("revenue", "gross_sales", "returns", "other_deductions", "return_rate", "orders", "aov", "units",
@@ -203,6 +204,7 @@ def same_day_cancellations(lines: DataFrame, period: DataFrame, scope: list[str]
     orders = lines.filter(known & (back | sold)).groupBy(*key, "month", "order_key").agg(
         F.count_if(back).alias("return_lines"), zero(F.sum(F.when(back, F.col("amount")))).alias("return_amount"),
         F.count_if(sold).alias("sale_lines"), zero(F.sum(F.when(sold, F.col("amount")))).alias("sale_amount"))
+    orders = materialize(orders, "customer-product-days")
     both = orders.groupBy(*key).agg(F.sum("return_lines").alias("r"), F.sum("sale_lines").alias("s")).filter("r > 0 and s > 0")
     hit = join_same(orders, both.drop("r", "s"), key, "left_semi")
     per_order = hit.groupBy(*scope, "month", "order_key").agg(

@@ -10,6 +10,7 @@ from tillscope.functions import text as T
 from tillscope.functions.numbers import is_negligible, pct_change, pct_change_reason
 from tillscope.operators.periods import compared, with_period
 from tillscope.operators.ranking import join_same, share_reached
+from tillscope.session import materialize
 
 # Fixed values.
 TOP, DECLINERS, PARETO_SHARE = 10, 10, 0.8
@@ -137,7 +138,7 @@ def breakdown(lines: DataFrame, period: DataFrame, column: str, scope: list[str]
     ours = compared(split.filter("counted"), period, scope)
     side = lambda s: F.coalesce(F.sum(F.when(F.col("slot") == s, F.col("amount"))), F.lit(0.0))
     values = ours.groupBy(*scope, "split_key").agg(side("cur").alias("cur"), side("prev").alias("prev"))
-    values = join_same(values, labels, [*scope, "split_key"], "left")
+    values = materialize(join_same(values, labels, [*scope, "split_key"], "left"), "breakdown-values")
     named = F.col("split_key").isNotNull()
     facts = values.groupBy(*scope).agg(
         F.count("split_key").alias("__values"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.operators.ranking import join_same
+from tillscope.session import materialize
 
 # Fixed values.
 MAX_SPANNING_SHARE = 0.1
@@ -146,13 +147,16 @@ def with_orders(lines: DataFrame, scope: list[str] | None = None, has_order_id:
         return lines.withColumns({
             "order_key": by_line, "receipt_fillable": F.lit(False), "orders_basis": F.lit("lines"),
             "orders_reason": F.lit(None).cast("string")})
-    receipts = receipt_lines(lines, scope)
+    # Written once each: the fills, the facts and the decision all read the receipts.
+    receipts = materialize(receipt_lines(lines, scope), "receipts")
     fills = receipt_fills(receipts, scope)
-    facts = order_id_facts(receipts, fills, scope)
-    decided = order_decisions(lines, facts, scope, customer_column, receipt_answer).select(*scope, "orders_basis", "orders_reason")
+    facts = materialize(order_id_facts(receipts, fills, scope), "order-facts")
+    decided = materialize(
+        order_decisions(lines, facts, scope, customer_column, receipt_answer).select(*scope, "orders_basis", "orders_reason"), "order-basis")
     days = join_same(fills, facts.select(*scope, "order_id", "receipt_day"), [*scope, "order_id"], "left").select(
         *scope, F.col("order_id").alias("__id"), F.col("txn_day").alias("__day"), "fill",
         F.coalesce(F.col("receipt_day") == F.col("txn_day"), F.lit(False)).alias("__on_receipt_day"))
+    days = materialize(days, "receipt-days")
     # Lines without an id or a date match nothing: spread over the join instead of meeting on null.
     spread = F.concat(F.lit("\u0000"), F.pmod(F.col("line_no"), F.lit(4096)).cast("string"))
     keyed = lines.withColumns({

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from tillscope.functions.numbers import is_negligible
 from tillscope.operators.periods import compared, complete_months, month_days, with_period
-from tillscope.operators.ranking import join_same
+from tillscope.operators.ranking import join_same, percentiles
+from tillscope.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 D1_HISTORY = 36
@@ -268,9 +269,7 @@ def price_level_check(lines: DataFrame, period: DataFrame, scope: list[str] | No
     side = lambda s: F.max(F.when(F.col("slot") == s, F.col("median_price")))
     ratios = medians.groupBy(*scope, "product_key").agg(side("cur").alias("c"), side("prev").alias("p")).filter("p > 0 and c is not null").select(
         *scope, (F.col("c") / F.col("p")).alias("ratio"))
-    counts = ratios.groupBy(*scope, "ratio").agg(F.count("*").alias("n"))
-    from tillscope.operators.ranking import percentiles
-
+    counts = materialize(ratios.groupBy(*scope, "ratio").agg(F.count("*").alias("n")), "price-ratios")
     middle = percentiles(counts, scope, "ratio", "n", {"median_ratio": 0.5})
     near = F.abs(F.col("ratio") - F.col("median_ratio")) <= D2_CLUSTER_WIDTH * F.col("median_ratio")
     extreme = (F.col("ratio") >= D2_SMALL_HIGH) | (F.col("ratio") <= D2_SMALL_LOW)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.operators import (
-    customers, forecast, hypotheses, lenses, members, metrics, movements, periods, products, report, signals, trust,
+    customers, forecast, hypotheses, lenses, members, metrics, movements, orders, periods, products, report, signals, trust,
 )
 from tillscope.operators.periods import with_period
 from tillscope.operators.ranking import join_same
@@ -86,9 +86,13 @@ class Analysis:
         typical = lenses.typical_month(self.core, self.history, self.scope)
         return self._kept(lenses.lever(self.totals, typical, self.scope, self.has_customers), "levers")
 
+    @cached_property
+    def first_purchases(self) -> DataFrame:
+        return self._kept(orders.first_purchases(self.lines, self.scope), "first-purchases")
+
     @cached_property
     def _customer_lens(self) -> tuple[DataFrame, DataFrame]:
-        bridge, classes = lenses.customer_lens(self.lines, self.period, self.rows, self.scope)
+        bridge, classes = lenses.customer_lens(self.lines, self.period, self.rows, self.scope, self.first_purchases)
         return self._kept(bridge, "bridge"), classes
 
     @cached_property
@@ -210,7 +214,7 @@ class Analysis:
             "period": p, "kpis": metrics.kpis(self.core, p, s), "revenue_by_month": self.core,
             "trend": metrics.monthly_trend(self.core, self.complete, s), "identity": metrics.revenue_identity(self.classes, p, s),
             "outside_revenue": metrics.outside_revenue(self.classes, p, s), "non_product": metrics.non_product_lines(self.lines, p, s),
-            "segments": customers.segment_summary(now, before, p, s), "new_vs_returning": customers.new_vs_returning(self.lines, p, s),
+            "segments": customers.segment_summary(now, before, p, s), "new_vs_returning": customers.new_vs_returning(self.lines, p, s, self.first_purchases),
             "pareto": movements.pareto(self.product_months, s), "top_products": movements.top_products(self.product_months, self.labels, s),
             "decliners": movements.decliners(self.product_months, self.labels, p, s), "categories": movements.category_changes(self.lines, p, s),
         }

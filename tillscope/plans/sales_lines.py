@@ -75,7 +75,7 @@ def _typed(df: DataFrame, mapping: Mapping, scope: list[str], answers: Answers)
         T.product_text(text("product_name")).alias("product_label_text"), T.product_text(text("sku")).alias("sku_label_text"),
         text("product_name").alias("product_name"), text("sku").alias("sku"),
         T.identifier_or_null(text("order_id")).alias("order_id"), T.customer_or_null(text("customer")).alias("customer_written"),
-        F.when(~T.is_blank(text("category")), T.category_text(text("category"))).alias("category_label"),
+        T.category_or_null(text("category")).alias("category_label"),
         *[F.col(f"`{c}`") for c in mapping.carry],
     )
     return typed.withColumns({
@@ -105,14 +105,16 @@ def _with_answers(lines: DataFrame, answers: Answers, scope: list[str], has_sku:
     table = _answer_table(lines, answers) if answers.line_classes else None
     small = len(answers.line_classes) <= 100_000
     hinted = (lambda t: F.broadcast(t)) if small else (lambda t: t)
-    candidates = C.non_product_candidates(lines, scope).select(*scope, "item_key", "suggested") if suggest else None
-    names = R.name_skus(lines, scope) if has_sku else None
+    # The side tables are written first: their real size then decides, before the lines move at all,
+    # whether the join can broadcast them or has to shuffle.
+    candidates = materialize(C.non_product_candidates(lines, scope).select(*scope, "item_key", "suggested"), "suggestions") if suggest else None
+    names = materialize(R.name_skus(lines, scope), "name-skus") if has_sku else None
     if names is not None:
         names = names.withColumn("item_key", F.concat(F.lit("sku:"), F.col("one_sku")))
         names = names.join(hinted(table.withColumnRenamed("answer", "sku_answer")), "item_key", "left") if table is not None else names.withColumn("sku_answer", none)
         names = (join_same(names, candidates.withColumnRenamed("suggested", "sku_suggested"), [*scope, "item_key"], "left")
                  if candidates is not None else names.withColumn("sku_suggested", none))
-        names = names.select(*scope, F.col("name_id").alias("__name"), "one_sku", "sku_answer", "sku_suggested")
+        names = materialize(names.select(*scope, F.col("name_id").alias("__name"), "one_sku", "sku_answer", "sku_suggested"), "name-classes")
         spread = F.concat(F.lit("\u0000"), F.pmod(F.col("line_no"), F.lit(4096)).cast("string"))
         name_only = F.when(F.col("sku_id").isNull(), F.col("name_id"))
         lines = lines.withColumn("__name", F.coalesce(name_only, spread)).join(names, [*scope, "__name"], "left").drop("__name")
