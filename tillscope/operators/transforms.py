@@ -46,8 +46,8 @@ class Frame:
         return out
 
     def logged(self, df: DataFrame, action: str, column: str | None, cells: Column | None = None,
-               rows: Column | None = None, flag: str | None = None) -> "Frame":
-        step = {"position": len(self.steps), "action": action, "column": column, "cells": cells, "rows": rows}
+               rows: Column | None = None, flag: str | None = None, drops: bool = False) -> "Frame":
+        step = {"position": len(self.steps), "action": action, "column": column, "cells": cells, "rows": rows, "drops": drops}
         return replace(self, df=df, steps=(*self.steps, step), flags=self.flags + ((flag,) if flag else ()))
 
     def mark(self, kind: str) -> str:
@@ -88,7 +88,7 @@ def _changed(frame: Frame, action: str, column: str, new: Column, changed: Colum
 def _dropped(frame: Frame, action: str, column: str | None, gone: Column) -> Frame:
     mark = frame.mark("drop")
     out = frame.df.withColumn(mark, F.coalesce(gone, F.lit(False)) & frame.alive)
-    return frame.logged(out, action, column, rows=F.count_if(F.col(mark)))
+    return frame.logged(out, action, column, rows=F.count_if(F.col(mark)), drops=True)
 
 
 def _flagged(frame: Frame, action: str, column: str | None, kind: str, hit: Column,
@@ -146,7 +146,7 @@ def remove_exact_duplicates(frame: Frame, column: None, params: dict) -> Frame:
     df = frame.df.groupBy(*keys).agg(
         F.min(frame.line_no).alias(frame.line_no), F.sum("__mark_copies").alias("__mark_copies")
     )
-    return frame.logged(df, "remove_exact_duplicates", None, rows=F.coalesce(F.sum(F.col("__mark_copies") - 1), F.lit(0)))
+    return frame.logged(df, "remove_exact_duplicates", None, rows=F.coalesce(F.sum(F.col("__mark_copies") - 1), F.lit(0)), drops=True)
 
 
 def trim_whitespace(frame: Frame, column: str, params: dict) -> Frame:

@@ -50,11 +50,11 @@ class CleaningPlan:
         return sorted([*self.dataset, *self.columns], key=lambda s: RANK[s.action])
 
 
-LOG_SCHEMA = "position int, action string, column string, cells bigint, rows bigint"
+LOG_SCHEMA = "position int, action string, column string, cells bigint, rows bigint, drops boolean"
 
 
 def run_plan(df: DataFrame, plan: CleaningPlan, line_no: str = "line_no", write: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The cleaned frame and its change log ``(position, action, column, cells, rows)``.
+    """The cleaned frame and its change log ``(position, action, column, cells, rows, drops)``.
 
     ``write=True`` stores the marked frame once, so that the log and later jobs read it instead of
     running the plan again.
@@ -74,7 +74,7 @@ def run_plan(df: DataFrame, plan: CleaningPlan, line_no: str = "line_no", write:
         F.count("*").alias("all_rows"),
     ).first().asDict()
     log = marked.sparkSession.createDataFrame(
-        [(s["position"], s["action"], s["column"], counts.get(f"cells_{s['position']}", 0), counts.get(f"rows_{s['position']}", 0))
+        [(s["position"], s["action"], s["column"], counts.get(f"cells_{s['position']}", 0), counts.get(f"rows_{s['position']}", 0), s["drops"])
          for s in frame.steps], LOG_SCHEMA,
     )
     empty = [f for i, f in enumerate(frame.flags) if not counts[f"set_{i}"] and f not in df.columns]
@@ -91,8 +91,7 @@ def apply_action(df: DataFrame, action: str, column: str | None = None, params:
 
 def dropped_rows_report(log: DataFrame) -> DataFrame:
     """What the report says about dropped rows: the dropping actions that took any."""
-    dropping = ("drop_rows_missing", "remove_exact_duplicates", "fix_negative")
-    return log.filter(F.col("action").isin(*dropping) & (F.col("rows") > 0)).select("action", "column", "rows")
+    return log.filter(F.col("drops") & (F.col("rows") > 0)).select("action", "column", "rows")
 
 
 def preview(df: DataFrame, plan: CleaningPlan, columns: list[str], numeric: list[str], dates: list[str],
