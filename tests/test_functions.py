@@ -22,6 +22,14 @@ def test_blank_cells(spark):
     assert got == [True, True, True, True, True, True, False, False, False, True]
 
 
+def test_long_texts_do_not_exhaust_the_pattern_engine(spark):
+    cells = ["word " * 60000, " " * 300000, "​" * 200000, "x" * 300000, "ü " * 100000, "a" + " " * 90000 + "b"]
+    got = values(spark, cells, T.is_blank(F.col("t")), F.length(T.product_text(F.col("t"))), F.length(T.identifier_text(F.col("t"))),
+                 class_word(F.col("t")), N.human_number(F.col("t")).isNull(), D.read_date(F.col("t")).isNull())
+    assert [g[0] for g in got] == [False, True, True, False, False, False] and [g[1] for g in got] == [299999, None, None, 300000, 199999, 3]
+    assert all(g[4] and g[5] for g in got)
+
+
 def test_identity_keeps_what_a_reader_can_tell_apart(spark):
     cells = ["INV1", "INV1​", " INV1 ", " inv1", "IN‎V1", "a  b"]
     got = [r[0] for r in values(spark, cells, T.identifier_text(F.col("t")))]

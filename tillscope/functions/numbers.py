@@ -19,11 +19,11 @@ def strict_number(col: Column) -> Column:
 
 # --- numbers written for people ------------------------------------------------------------------
 
-_PAD = r"[ \t\r\n\u00a0\u202f]*"
-_SIGN = r"(?:\s*\p{Sc})*"
+_PAD = r"[ \t\r\n\u00a0\u202f]*+"
+_SIGN = r"(?:\s*+\p{Sc})*+"
 _GROUPS = r" \u00a0\u202f'"
 _DRESSED = (
-    rf"^{_PAD}(?:\p{{Sc}}\s*)*{_PAD}([+-]?){_PAD}(?:\p{{Sc}}\s*)*{_PAD}"
+    rf"^{_PAD}(?:\p{{Sc}}\s*+)*+{_PAD}([+-]?){_PAD}(?:\p{{Sc}}\s*+)*+{_PAD}"
     rf"([0-9.,'](?:[0-9.,{_GROUPS}]*[0-9.,'])?)"
     rf"{_PAD}{_SIGN}{_PAD}(-?){_PAD}{_SIGN}{_PAD}$"
 )

@@ -28,10 +28,11 @@ VISIBLE_FORMAT = r"\u0600-\u0605\u06dd\u070f\u0890\u0891\u08e2\x{110bd}\x{110cd}
 SPACE = r"[\s\x1c-\x1f]"
 # -------------------------------------------------------------------------------------------------
 
-_BLANK = (
-    rf"(?U)\A(?:{SPACE}|{INVISIBLE}|[\p{{Cf}}&&[^{VISIBLE_FORMAT}]]|[\x{{e0100}}-\x{{e01ef}}])*+\z"
+# One visible character is enough; asked this way no pattern repeats a group over a long text.
+_VISIBLE = (
+    rf"(?U)[[^\s\x1c-\x1f{INVISIBLE[1:-1]}\x{{e0100}}-\x{{e01ef}}]&&[\P{{Cf}}{VISIBLE_FORMAT}]]"
 )
-_ENDS = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+_ENDS = rf"(?U)\A{SPACE}++|(?<!{SPACE}){SPACE}++\z"
 
 
 def null_tokens(col: Column) -> Column:
@@ -48,7 +49,7 @@ def is_plain(col: Column) -> Column:
 
     One cheap test spares ordinary cells the Unicode rules, which cost several regexes each.
     """
-    return col.rlike("^[!-~]+(?: [!-~]+)*$")
+    return ~col.rlike("[^ -~]|  |^ | $|^$")
 
 
 def let(value: Column, body) -> Column:
@@ -77,7 +78,7 @@ def is_padded(col: Column) -> Column:
 
 def is_blank(col: Column) -> Column:
     """Missing, or nothing in it that a reader can see."""
-    return F.coalesce(~is_plain(col) & col.rlike(_BLANK), F.lit(True))
+    return F.coalesce(~col.rlike(_VISIBLE), F.lit(True))
 
 
 def fold(col: Column) -> Column:
@@ -96,7 +97,7 @@ def _category(col: Column) -> Column:
 
 def _product(col: Column) -> Column:
     shown = _strip(F.regexp_replace(F.regexp_replace(col, INVISIBLE, ""), rf"(?U){SPACE}+", " "))
-    return let(shown, lambda t: F.when(~t.rlike(_BLANK), t))
+    return let(shown, lambda t: F.when(t.rlike(_VISIBLE), t))
 
 
 def identifier_text(col: Column) -> Column:
@@ -117,7 +118,7 @@ def customer_identity(col: Column) -> Column:
 
 
 def identifier_or_null(col: Column) -> Column:
-    return _unless_plain(col, lambda t: F.when(~t.rlike(_BLANK), _identifier(t)))
+    return _unless_plain(col, lambda t: F.when(t.rlike(_VISIBLE), _identifier(t)))
 
 
 def customer_or_null(col: Column) -> Column:
@@ -125,7 +126,7 @@ def customer_or_null(col: Column) -> Column:
 
 
 def category_or_null(col: Column) -> Column:
-    return _unless_plain(col, lambda t: F.when(~t.rlike(_BLANK), _category(t)))
+    return _unless_plain(col, lambda t: F.when(t.rlike(_VISIBLE), _category(t)))
 
 
 def product_text(col: Column) -> Column:
