@@ -39,11 +39,16 @@ def local_session(cores: int = 8, app: str = "tillscope", memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.conf.get("tillscope.scratch.dir", None)
-    if folder is None:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
+
+    A session whose executors run in the driver's own process (``local`` masters) may do without and gets a temporary
+    folder. Anything else has to name one, because executors would each write to a disk of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tillscope.scratch.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tillscope-")
         spark.conf.set("tillscope.scratch.dir", folder)
     return folder.rstrip("/")
