@@ -7,10 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, packing, sharding, toxicity
+from tillscope.llm import bpe, embed_dedup, packing, sharding, topk, toxicity, warc
 from tillscope.llm.common import table
 
 
+def op1_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.every_twentieth(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages", "page_id", "url", "html")).drop("file")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -30,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_sharding, op7_packing, op8_byte_bpe, op10_toxicity)
+    f.__name__: f for f in (op1_top_k, op2_warc, op3_embedding_dedup, op6_sharding, op7_packing, op8_byte_bpe, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE}
