@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, embed_dedup, minhash_dedup, packing, sharding, topk, toxicity, warc
+from tillscope.llm import bpe, embed_dedup, minhash_dedup, packing, sharding, suffix_dedup, topk, toxicity, warc
 from tillscope.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_warc, op3_embedding_dedup, op4_minhash_dedup, op6_sharding, op7_packing, op8_byte_bpe, op10_toxicity)
+    f.__name__: f for f in (op1_top_k, op2_warc, op3_embedding_dedup, op4_minhash_dedup, op5_suffix_dedup, op6_sharding, op7_packing, op8_byte_bpe, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op4_minhash_dedup": minhash_dedup.ORACLE}
