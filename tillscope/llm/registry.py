@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, embed_dedup, minhash_dedup, packing, sharding, suffix_dedup, topk, toxicity, warc
+from tillscope.llm import bpe, embed_dedup, katz, minhash_dedup, packing, sharding, suffix_dedup, topk, toxicity, warc
 from tillscope.llm.common import table
 
 
@@ -45,12 +45,16 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_digests(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_katz(spark: SparkSession, sf: str) -> DataFrame:
+    return katz.score(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_warc, op3_embedding_dedup, op4_minhash_dedup, op5_suffix_dedup, op6_sharding, op7_packing, op8_byte_bpe, op10_toxicity)
+    f.__name__: f for f in (op1_top_k, op2_warc, op3_embedding_dedup, op4_minhash_dedup, op5_suffix_dedup, op6_sharding, op7_packing, op8_byte_bpe, op9_katz, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op4_minhash_dedup": minhash_dedup.ORACLE}

@@ -52,21 +52,25 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of each text in order, and how many words each text has. Letters A to Z count as small."""
+    data = np.frombuffer((b"\n".join(texts) + b"\n").translate(ASCII_LOWER), dtype=np.uint8)
+    gap = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13))])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    p, down = prefix_hashes(data)
+    words = mixed((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.bincount(np.searchsorted(bounds, starts, side="right"), minlength=len(texts))
+
+
 def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another, and how many each has.
 
     Letters A to Z count as small. A text of fewer words than ``width`` has its whole sequence as one shingle; one without
     words has none.
     """
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined.translate(ASCII_LOWER), dtype=np.uint8)
-    gap = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13))])
-    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    p, down = prefix_hashes(data)
-    words = mixed((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    text_of = np.searchsorted(bounds, starts, side="right")
-    count = np.bincount(text_of, minlength=len(texts))
+    words, count = word_hashes(texts)
+    text_of = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
     total = np.zeros(len(words), dtype=np.uint64)
     for k in range(width):
@@ -76,7 +80,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     if ((count > 0) & (count < width)).any():
         few = np.flatnonzero((count > 0) & (count < width))
         first = (np.cumsum(count) - count)[few]
-        short = np.array([(words[a : a + n] * _PLACE[:n]).sum() + np.uint64(n) * _PLACE[40] for a, n in zip(first, count[few], strict=True)], dtype=np.uint64)
+        short = np.array([(words[a : a + n] * _PLACE[:n]).sum() for a, n in zip(first, count[few], strict=True)], dtype=np.uint64) + count[few].astype(np.uint64) * _PLACE[40]
         hashes, owner = np.concatenate([hashes, mixed(short)]), np.concatenate([owner, few])
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
