@@ -157,6 +157,23 @@ def _between(tensor: Tensor):  # noqa: ANN202
 
 def near_duplicates(documents: DataFrame, tensor: Tensor | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of (doc_id, text)."""
+    return _components(documents, tensor).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def keep_one(documents: DataFrame, tensor: Tensor | None = None) -> DataFrame:
+    """The documents without near-duplicates: of each component the row of smallest id stays, whole and once; rows without words all stay."""
+    found = _components(documents, tensor)
+    chosen = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    stays = chosen.select(F.col("best.row").alias("__row"), F.lit(False).alias("__bare"))
+    stays = stays.unionByName(found.where("component is null").select(F.col("row").alias("__row"), F.lit(True).alias("__bare")).distinct())
+    others = [c for c in documents.columns if c != "text"]
+    same = Window.partitionBy("__row").orderBy(*others)
+    joined = documents.withColumn("__row", F.xxhash64("doc_id", "text")).join(stays, "__row").withColumn("__place", F.row_number().over(same))
+    return joined.where("__bare or __place = 1").select(*documents.columns)
+
+
+def _components(documents: DataFrame, tensor: Tensor | None) -> DataFrame:
+    """doc_id, row, n_shingles, component (a number, null without shingles) and component_id for every row."""
     small_batches(documents.sparkSession)
     tensor = tensor or Tensor()
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -200,10 +217,10 @@ def near_duplicates(documents: DataFrame, tensor: Tensor | None = None) -> DataF
 
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("set1", "set2", "n_shingles", "component_id")
-    full = sketched.where("n_shingles > 0").join(named, ["set1", "set2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    bare = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = named.join(smallest, "component").select("set1", "set2", "n_shingles", "component", "component_id")
+    full = sketched.where("n_shingles > 0").join(named, ["set1", "set2", "n_shingles"]).select("doc_id", "row", "n_shingles", "component", "component_id")
+    bare = sketched.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(bare)
 
 
 ORACLE = r"""

@@ -365,3 +365,21 @@ def remove_repeats(documents: DataFrame, repeats: Repeats | None = None, with_te
     if with_text:
         result = result.add("kept", T.BinaryType())
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_cut(repeats, groups, with_text, to_arrow_schema(result)), result)
+
+
+def cut_repeats(documents: DataFrame, repeats: Repeats | None = None) -> DataFrame:
+    """The documents with repeated passages cut from their texts; every other column passes through. No row is dropped.
+
+    Bytes of a letter that a cut has split are dropped with it. A null text becomes an empty one.
+    """
+    others = [c for c in documents.columns if c != "text"]
+    cut = remove_repeats(documents.select(F.struct(*others).alias("doc_id"), "text"), repeats, with_text=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    schema = T.StructType([cut.schema["doc_id"], T.StructField("text", T.StringType())])
+    whole = cut.select("doc_id", "kept").mapInArrow(run, schema).select("doc_id.*", "text")
+    return whole.select(*documents.columns)
