@@ -16,7 +16,8 @@ documents of any length are cut, none is dropped; columns other than id and text
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from tillscope.llm.common import small_batches, task_ids, texts_of
+from tillscope.llm.common import ASCII_LOWER, small_batches, task_ids, texts_of
+from tillscope.llm.words import WordTable, kept, ragged
 
 
 @dataclass(frozen=True)
@@ -37,30 +40,36 @@ class Packing:
     end_id: int = 2
     chunk_tokens: int = 2_000_000
     step: int = 32
-    known_words: int = 500_000
-
-
-class WordIds:
-    """Ids of texts for a tokenizer whose tokens never cross white space: each distinct word is tokenized once."""
-
-    def __init__(self, path: str, known_words: int) -> None:
-        self.tokenizer, self.known_words, self.ids = Tokenizer.from_file(path), known_words, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.ids]
-        if self.ids and len(self.ids) + len(new) > self.known_words:
-            self.ids, new = {}, list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.ids[word] = found.ids
-
-    def of(self, words: list[bytes], end_id: int) -> np.ndarray:
-        ids: list[int] = []
-        for found in map(self.ids.__getitem__, words):
-            ids += found
-        ids.append(end_id)
-        return np.array(ids, dtype="<u4")
+    known_words: int = 1_000_000
+
+
+def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of distinct words, for a tokenizer that ignores case and whose tokens never cross white space.
+
+    Words go to the tokenizer in lines with a bar between them, which is quicker than one by one; a word that holds a bar
+    itself is a line of its own.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
+    tokenizer = Tokenizer.from_file(path)
+    of = lambda lines: [np.array(e.ids, dtype=np.int64) for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+    bar = int(of(["|"])[0][0])
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        odd = [i for i, w in enumerate(words) if b"|" in w]
+        if odd:
+            plain, lengths = encode([b"" if b"|" in w else w for w in words])
+            parts = np.split(plain, np.cumsum(lengths)[:-1])
+            for i in odd:
+                parts[i] = of([words[i].decode()])[0]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        lines = [(b" | ".join(words[k : k + 200]) + b" |").decode() for k in range(0, len(words), 200)]
+        ids = np.concatenate([x for k in range(0, len(lines), 250) for x in of(lines[k : k + 250])])
+        ends = np.flatnonzero(ids == bar)
+        return ids[ids != bar], np.diff(np.concatenate([[-1], ends])) - 1
+
+    return encode
 
 
 def _powers(n: int) -> list[int]:
@@ -148,18 +157,18 @@ def pack(df: DataFrame, path: str, packing: Packing | None = None, doc_id: str =
                 at += n
         for at in range(0, len(rows), 10_000):
             columns = list(zip(*rows[at : at + 10_000], strict=True))
-            arrays = [pa.array(columns[0], _arrow(key)), *(pa.array(c, pa.int64()) for c in columns[1:-1]), pa.array(columns[-1], pa.binary())]
+            arrays = [pa.array(columns[0], to_arrow_type(key.dataType)), *(pa.array(c, pa.int64()) for c in columns[1:-1]), pa.array(columns[-1], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, numbers, groups = WordIds(path, packing.known_words), task_ids(), task_ids()
+        words = kept(("pack", path), lambda: WordTable(word_encoder(path), packing.known_words))
+        numbers, groups = task_ids(), task_ids()
         keys, docs, held = [], [], 0
         for batch in batches:
-            split = [t.split() for t in texts_of(batch.column(text))]
-            words.learn({w for s in split for w in s})
-            for k, s in zip(batch.column(doc_id).to_pylist(), split, strict=True):
+            split = [t.translate(ASCII_LOWER).split() for t in texts_of(batch.column(text))]
+            for k, ids in zip(batch.column(doc_id).to_pylist(), words.batch(split), strict=True):
                 keys.append(k)
-                docs.append(words.of(s, packing.end_id))
+                docs.append(np.append(ids, packing.end_id).astype("<u4"))
                 held += len(docs[-1])
             if held >= packing.chunk_tokens:
                 yield from chunk(keys, docs, numbers, groups)
@@ -169,12 +178,6 @@ def pack(df: DataFrame, path: str, packing: Packing | None = None, doc_id: str =
     return df.select(doc_id, text).mapInArrow(run, schema)
 
 
-def _arrow(field: T.StructField) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(field.dataType)
-
-
 def piece_digests(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
