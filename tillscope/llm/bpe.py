@@ -3,8 +3,8 @@
 A task gathers the distinct words (matches of the splitting pattern) of its documents that it has not met yet and encodes
 them together: an inverted index leads from each pair of neighbouring tokens to the positions where it stands, and merges
 are replayed in rank order, each touching only the neighbours of the places it changes. Documents are then put together
-from their words' ids. Every text is read once, nothing is shuffled. A task forgets its words when it holds
-``KNOWN_WORDS`` of them and goes on with an empty table; the ids are the same either way.
+from their words' ids. Every text is read once, nothing is shuffled. A worker process keeps its words over its tasks,
+forgets them when they would exceed ``KNOWN_WORDS`` and goes on with an empty table; the ids are the same either way.
 
 Defined results: a null text is an empty one and has no ids; strings that look like special tokens are ordinary text;
 repeated rows are encoded each; extra columns pass through.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillscope.llm.common import small_batches
+from tillscope.llm.words import WordTable, kept, ragged
 
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,107 +47,93 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
-        self.merges: dict[tuple[int, int], int] = {}  # pairs met so far; -1: no merge
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.merges: dict[int, int] = {}  # by left << 32 | right, for the pairs met so far; -1: no merge
 
-    def _merge(self, left: int, right: int) -> int:
-        found = self.merges.get((left, right))
+    def rank(self, pair: int) -> int:
+        """The rank at which a pair merges, or -1."""
+        found = self.merges.get(pair)
         if found is None:
-            found = self.merges[left, right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+            found = self.merges[pair] = self.ranks.get(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF], -1)
         return found
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        single = [self.ranks[bytes([b])] for b in range(256)]
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        open_words = [i for i, ids in enumerate(out) if ids is None]
-        token: list[int] = []  # -2 ends a word
-        for i in open_words:
-            token.extend(single[b] for b in words[i])
-            token.append(-2)
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = defaultdict(list)
-
-        def note(at: int) -> None:
-            right = after[at]
-            if token[at] >= 0 and right < n and token[right] >= 0:
-                rank = self._merge(token[at], token[right])
-                if rank >= 0:
-                    if rank not in index:
-                        heapq.heappush(ranks, rank)
-                    index[rank].append(at)
-
-        ranks: list[int] = []
-        for at in range(n - 1):
-            note(at)
-        while ranks:
-            rank = heapq.heappop(ranks)
-            places = sorted(index.pop(rank))
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A word that is a token stays whole; the others begin as single bytes. -2 ends a word, -1 is a place merged away.
+        whole = [self.ranks.get(w) for w in words]
+        sizes = np.fromiter((len(w) if r is None else 1 for w, r in zip(words, whole, strict=True)), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        start = np.full(int(ends[-1]) + 1, -2, dtype=np.int64)
+        inside = np.ones(len(start), dtype=bool)
+        inside[ends] = False
+        flat = np.frombuffer(b"".join(w if r is None else b"\0" for w, r in zip(words, whole, strict=True)), np.uint8)
+        start[inside] = self.single[flat]
+        for at, r in zip((ends - sizes).tolist(), whole, strict=True):
+            if r is not None:
+                start[at] = r
+        index = self._index(start)
+        token, after, before = start.tolist(), list(range(1, len(start) + 1)), list(range(-1, len(start) - 1))
+        merges, heap = self.merges, sorted(index)
+        while heap:
+            rank = heapq.heappop(heap)
+            places = index.pop(rank)
+            places.sort()
             for k, at in enumerate(places):
-                right = after[at] if token[at] >= 0 else n
-                if right >= n or token[right] < 0 or self._merge(token[at], token[right]) != rank:
+                left = token[at]
+                if left < 0:
+                    continue
+                right = after[at]
+                if token[right] < 0 or merges.get(left << 32 | token[right]) != rank:
                     continue  # a neighbour was merged meanwhile
                 follow = after[right]
-                token[at], token[right] = rank, -1
-                after[at] = follow
-                if follow < n:
-                    before[follow] = at
-                if before[at] >= 0:
-                    note(before[at])
-                note(at)
-                if ranks and ranks[0] < rank:
+                token[at], token[right], after[at], before[follow] = rank, -1, follow, at
+                previous = before[at]
+                for place, pair in ((previous, token[previous] << 32 | rank if previous >= 0 and token[previous] >= 0 else -1), (at, rank << 32 | token[follow] if token[follow] >= 0 else -1)):
+                    if pair >= 0:
+                        new = merges.get(pair)
+                        if new is None:
+                            new = self.rank(pair)
+                        if new >= 0:
+                            if new in index:
+                                index[new].append(place)
+                            else:
+                                index[new] = [place]
+                                heapq.heappush(heap, new)
+                if heap and heap[0] < rank:
                     # The merge has made way for an earlier one: that goes first, the rest of this rank after it.
-                    rest = places[k + 1 :]
-                    if rest:
+                    if k + 1 < len(places):
                         if rank not in index:
-                            heapq.heappush(ranks, rank)
-                        index[rank].extend(rest)
+                            index[rank] = []
+                            heapq.heappush(heap, rank)
+                        index[rank] += places[k + 1 :]
                     break
-        at, place = 0, iter(open_words)
-        while at < n:
-            ids = []
-            while token[at] != -2:
-                ids.append(token[at])
-                at = after[at]
-            out[next(place)] = ids
-            at += 1
-        return out
-
-
-class _Words:
-    """Ids of the words a task has met, as one flat array with a start and a length per word."""
-
-    def __init__(self, replay: Replay) -> None:
-        self.replay = replay
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        if len(self.place) + len(new) > KNOWN_WORDS and self.place:
-            self.clear()
-            new = list(words)
-        ids = self.replay.encode([w.encode() for w in new])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for w in ids for x in w), np.uint32, int(lengths.sum()))])
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        return ragged(self.flat, self.start[place], self.length[place])
-
-
-def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The slices of ``flat`` one after another."""
-    ends = np.cumsum(length)
-    return flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        done = np.array(token, dtype=np.int64)
+        live = done >= 0
+        count = np.cumsum(live)[ends]
+        return done[live], np.diff(np.concatenate([[0], count]))
+
+    def _index(self, token: np.ndarray) -> dict[int, list[int]]:
+        """The inverted index: for each merge, by its rank, the places where its pair stands."""
+        places = np.flatnonzero((token[:-1] >= 0) & (token[1:] >= 0))
+        pairs, which = np.unique(token[places] << 32 | token[places + 1], return_inverse=True)
+        ranks = np.array([self.rank(p) for p in pairs.tolist()], dtype=np.int64)[which] if len(pairs) else np.zeros(0, np.int64)
+        places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        return {int(r[0]): p.tolist() for r, p in zip(np.split(ranks, cuts), np.split(places, cuts), strict=True) if len(r)}
+
+
+def known_words(path: str) -> WordTable:
+    """The words this worker process has met in any of its tasks."""
+
+    def make() -> WordTable:
+        replay = Replay(load_ranks(path))
+        return WordTable(lambda words: replay.encode([w.encode() for w in words]), KNOWN_WORDS)
+
+    return kept(("byte_bpe", path), make)
 
 
 class Vocabulary:
@@ -170,11 +156,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
     schema = T.StructType([f for f in df.schema if f.name != into] + [T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split = _Words(Replay(load_ranks(path))), splitter(pattern)
+        words, split = known_words(path), splitter(pattern)
         for batch in batches:
             parts = [split.findall(t or "") for t in batch.column(text).to_pylist()]
-            words.learn({w for p in parts for w in p})
-            ids = [words.ids(p) for p in parts]
+            ids = words.batch(parts)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
             names = [n for n in batch.schema.names if n != into]
