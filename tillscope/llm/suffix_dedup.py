@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from tillscope.llm.common import bucketed, mixed, packed, small_batches, task_ids, texts_of, unpacked, written
 from tillscope.llm.shingles import prefix_hashes
-from tillscope.llm.suffix_sort import sort_suffixes
+from tillscope.llm.suffix_sort import SHALLOW_WORDS, sort_suffixes
 
 UNIQUE, REPEATED, OPEN, SHOWN = range(4)  # answers on a context: alone; repeats; to be compared; repeats and is compared with
 
@@ -248,7 +248,7 @@ def shared_windows(data: np.ndarray, begin: np.ndarray, before: np.ndarray, wind
     while len(pending):
         kinds = np.unique(kind[pending])
         members = np.concatenate([by_kind[bounds[x] : bounds[x + 1]] for x in kinds])
-        suffixes, common = sort_suffixes(data, at[members], end[owner[members]])
+        suffixes, common = sort_suffixes(data, at[members], end[owner[members]], min(SHALLOW_WORDS, length // 8))
         best = np.zeros(len(members), dtype=np.int64)
         best[suffixes] = np.maximum(common, np.r_[common[1:], 0])
         reach = dict(zip(members.tolist(), best.tolist(), strict=True))

@@ -7,9 +7,9 @@ import numpy as np
 SHALLOW_WORDS = 5  # of 8 bytes each
 
 
-def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
     """The first bytes of each suffix as big-endian words, filled up with zeros behind its end."""
-    offsets = np.arange(8 * SHALLOW_WORDS)
+    offsets = np.arange(8 * words)
     places = starts[:, None] + offsets
     grid = np.where(places < ends[:, None], data[np.minimum(places, len(data) - 1)], 0).astype(np.uint8)
     return np.ascontiguousarray(grid).view(">u8").astype(np.uint64)
@@ -104,20 +104,20 @@ class BlindTrie:
         return out
 
 
-def sort_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shallow: int = SHALLOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ``data[start:end]`` in order, and each one's common prefix with the one before.
 
-    Common prefixes are counted exactly inside groups that agree on the shallow bytes; between groups, where they are
+    Common prefixes are counted exactly inside groups that agree on the ``shallow`` words; between groups, where they are
     shorter than that, 0 stands for them.
     """
-    order, groups = shallow_order(_words(data, starts, ends))
+    order, groups = shallow_order(_words(data, starts, ends, shallow))
     common = np.zeros(len(order), dtype=np.int64)
     raw = data.tobytes()
     sizes = np.diff(np.r_[groups, len(order)])
     for first, size in zip(groups[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         members = order[first : first + size]
         suffixes = [raw[a:b] for a, b in zip(starts[members].tolist(), ends[members].tolist(), strict=True)]
-        known = min(8 * SHALLOW_WORDS, min(map(len, suffixes)))
+        known = min(8 * shallow, min(map(len, suffixes)))
         trie = BlindTrie(0, suffixes)
         for i in range(1, size):
             trie.insert(i, known if len(suffixes[i]) >= known else 0)
