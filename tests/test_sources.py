@@ -40,6 +40,53 @@ def test_refusals(spark, tmp_path):
     assert ok.columns == ["line_no", "a", "b"] and ok.count() == 2
 
 
+def test_longer_rows_never_lose_data(spark, tmp_path):
+    for i, body in enumerate(("a,b\n1,2,,X\n", "a,b\n1,2\n3,4,,\n", "a,b\n1,2\n3,4,\"x\"\n")):
+        with pytest.raises(csv_text.UnreadableFile):
+            csv_text.read_text_csv(spark, write(tmp_path, body.encode(), f"long{i}.csv"))
+    short = csv_text.read_text_csv(spark, write(tmp_path, b"a,b\n" + b"1,2\n" * 30 + b"3\n", "short.csv"))
+    assert (short.count(), short.filter("b is null").count()) == (31, 1)
+
+
+def test_files_of_a_folder_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "three"
+    folder.mkdir()
+    write(folder, b"a,b\n1,2\n", "f1.csv")
+    write(folder, b"b;a\n20;10\n", "f2.csv")
+    write(folder, "b|a\nü|é\n".encode("latin-1"), "f3.csv")
+    write(folder, "a,b\n漢,字\n".encode("utf-16"), "f4.csv")
+    df = csv_text.read_text_csv(spark, str(folder))
+    assert {(r.a, r.b) for r in df.collect()} == {("1", "2"), ("10", "20"), ("é", "ü"), ("漢", "字")}
+    assert sorted(r.line_no for r in df.collect()) == [0, 1, 2, 3]
+    write(folder, b"a,c\n1,2\n", "f5.csv")
+    with pytest.raises(csv_text.UnreadableFile):
+        csv_text.read_text_csv(spark, str(folder))
+
+
+def test_delimiter_told_late_and_utf16_in_many_tasks(spark, tmp_path):
+    late = "a,b;c\n" + "1,2;3\n" * 300 + "1,2\n" * 100
+    assert csv_text.read_text_csv(spark, write(tmp_path, late.encode(), "late.csv")).columns == ["line_no", "a", "b;c"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for kind in ("utf-16-le", "utf-16-be"):
+            mark = codecs.BOM_UTF16_LE if kind.endswith("le") else codecs.BOM_UTF16_BE
+            path = write(tmp_path, mark + ("n,x\r\n" + "".join(f"{i},é\r\n" for i in range(6000))).encode(kind), f"{kind}.csv")
+            df = csv_text.read_text_csv(spark, path)
+            assert df.count() == 6000 and df.filter("cast(n as bigint) <> line_no or x <> 'é'").count() == 0
+            assert csv_text._lines(spark, path, "UTF-16LE" if kind.endswith("le") else "UTF-16BE").rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quoted_line_breaks_need_multiline(spark, tmp_path):
+    path = write(tmp_path, b'a,b\n"x\ny",1\nz,2\n', "ml.csv")
+    df = csv_text.read_text_csv(spark, path, multiline=True)
+    assert [tuple(r) for r in df.orderBy("line_no").collect()] == [(0, "x\ny", "1"), (1, "z", "2")]
+    with pytest.raises(csv_text.UnreadableFile):
+        csv_text.read_text_csv(spark, write(tmp_path, b'a,b\n"x\ny",1,,,5\n', "ml2.csv"), multiline=True)
+
+
 def test_line_numbers_follow_many_blocks(spark, tmp_path):
     body = "n\n" + "\n".join(str(i) for i in range(20000)) + "\n"
     path = write(tmp_path, body.encode(), "big.csv")

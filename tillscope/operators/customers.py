@@ -113,23 +113,25 @@ def is_placeholder_word(identity: Column) -> Column:
     number = F.trim(identity).try_cast("double")
     return (
         ~identity.rlike(r"[\p{L}\p{N}]") | F.coalesce(number <= 0, F.lit(False)) | (identity == "customer")
-        | identity.rlike(r"^#?n\s*[./]?\s*a\.?$") | identity.rlike(rf"(?U)(?<!\p{{L}})(?:{words})s?(?!\p{{L}})") | identity.rlike("散客")
+        # "n/a" however it is pointed: the letters alone are "na", with one mark between them at most.
+        | ((F.translate(identity, "#./ \t", "") == "na") & (F.length(F.translate(identity, "# \t", "")) <= 4) & ~identity.rlike("[./].*[./].*a|^.+#")) | identity.rlike(rf"(?U)(?<!\p{{L}})(?:{words})s?(?!\p{{L}})") | identity.rlike("散客")
     )
 
 
 def _dominant(totals: DataFrame, scope: list[str], value: str) -> DataFrame:
     """Values peeled off the top while each is at least four times the next positive one.
 
-    Only a value with fewer than about 1,100 steps above it could qualify: each step divides a
-    double by four or more. Keeping the largest 1,100 per scope is therefore no cut at all, and the
-    window stays that small whatever the number of customers.
+    Values are counted by their power of two. Two values of one power are less than four times apart, so a value that
+    qualifies is alone in its power, and what it is held against is the largest value of the next power that has any: the
+    table of powers, some two thousand rows per scope at most, decides, whatever the number of customers.
     """
-    order = W.partitionBy(*scope).orderBy(F.desc(value), "customer")
-    top = totals.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= 1100)
-    steps = top.withColumn("__next", F.lead(value).over(order))
-    good = F.coalesce((F.col("__next") > 0) & (F.col(value) >= PLACEHOLDER_RATIO * F.col("__next")), F.lit(False))
-    broken = F.count_if(~good).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return steps.withColumn("__broken", broken).filter("__broken = 0").select(*scope, "customer")
+    power = F.floor(F.log2(F.col(value))).cast("int").alias("__power")
+    powers = totals.filter(F.col(value) > 0).groupBy(*scope, power).agg(
+        F.count("*").alias("__n"), F.max(value).alias("__top"), F.max_by("customer", value).alias("customer"))
+    order = W.partitionBy(*scope).orderBy(F.desc("__power"))
+    good = (F.col("__n") == 1) & F.coalesce(F.col("__top") >= PLACEHOLDER_RATIO * F.lead("__top").over(order), F.lit(False))
+    broken = F.count_if(~F.col("__good")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return powers.withColumn("__good", good).withColumn("__broken", broken).filter("__broken = 0").select(*scope, "customer")
 
 
 def placeholder_candidates(lines: DataFrame, scope: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,27 @@ def t_quantile(df: int, p: float = 0.5 + CONFIDENCE / 2) -> float:
     return (low + high) / 2
 
 
-def t_table(spark: SparkSession, largest: int = 400) -> DataFrame:
-    """``(df, t)``: one row per degree of freedom, a fixed few hundred rows; larger ones use the last."""
+TABLED = 400
+
+
+def t_table(spark: SparkSession, largest: int = TABLED) -> DataFrame:
+    """``(df, t)``: one row per degree of freedom, a fixed few hundred rows; :func:`t_series` has the larger ones."""
     return spark.createDataFrame([(df, t_quantile(df)) for df in range(1, largest + 1)], "df int, t double")
 
 
+def t_series(df: Column, p: float = 0.5 + CONFIDENCE / 2) -> Column:
+    """The quantile by its expansion in 1 / df, exact to double precision for more than a few hundred degrees of freedom."""
+    z = NormalDist().inv_cdf(p)
+    terms = (
+        z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    out = F.lit(terms[-1])
+    for term in reversed(terms[:-1]):
+        out = F.lit(term) + out / df
+    return out
+
+
 def detrended(window: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """The counted years' months with their ratio to the trend and the year they belong to.
 
@@ -176,8 +193,8 @@ def forecast(window: DataFrame, indices: DataFrame, claim: DataFrame, period: Da
     pointed = based.withColumn("month", F.expr("add_months(current, h)")).withColumn("point", F.col("level") * _index(F.col("idx"), F.col("month")))
     joined = join_same(pointed, rms, [*scope, "h"], "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
     tested = F.col("errors") >= 2
-    df = F.least(F.lit(400), F.when(tested, F.col("errors") - 1).otherwise(F.col("n") - 1)).cast("int")
-    joined = joined.withColumn("df", df).join(F.broadcast(t), "df", "left")
+    df = F.when(tested, F.col("errors") - 1).otherwise(F.col("n") - 1).cast("int")
+    joined = joined.withColumn("df", df).join(F.broadcast(t), "df", "left").withColumn("t", F.coalesce("t", t_series(F.col("df"))))
     width = F.when(tested, F.col("t") * F.col("rms")).otherwise(F.col("t") * F.col("spread") * F.sqrt("h"))
     logs = tested & F.col("logs") & (F.col("point") > 0)
     low = F.when(logs, F.col("point") * F.exp(-width)).otherwise(F.col("point") - width)

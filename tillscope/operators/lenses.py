@@ -159,9 +159,9 @@ def customer_classes(people: DataFrame, first: DataFrame, pairs: DataFrame, scop
     scope = scope or []
     sides = pairs.select(*scope, "transition", "current", F.explode(F.array(
         F.struct(F.col("previous").alias("month"), F.lit("prev").alias("slot")),
-        F.struct(F.col("current").alias("month"), F.lit("cur").alias("slot")))).alias("s")).select(*scope, "transition", "current", "s.*")
+        F.struct(F.col("current").alias("month"), F.lit("cur").alias("slot")))).alias("__slot")).select(*scope, "transition", "current", "__slot.*")
     named = people.filter(F.col("customer").isNotNull())
-    both = named.join(F.broadcast(sides) if not scope else sides, [*scope, "month"])
+    both = join_same(named, F.broadcast(sides) if not scope else sides, [*scope, "month"])
     at = lambda s: F.sum(F.when(F.col("slot") == s, F.col("amount")))
     wide = both.groupBy(*scope, "transition", "customer", "current").agg(at("prev").alias("prev"), at("cur").alias("cur"))
     wide = join_same(wide, first, [*scope, "customer"], "left")

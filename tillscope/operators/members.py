@@ -53,7 +53,7 @@ def customer_type_totals(lines: DataFrame, period: DataFrame, classes: DataFrame
     kinds = classes.filter(F.col("transition") == "current").select(*scope, F.col("customer").alias("__who"), "customer_class")
     pair = compared(lines.filter("counted"), period, scope).drop("slot")
     spread = F.concat(F.lit("\u0000"), F.pmod(F.col("line_no"), F.lit(4096)).cast("string"))
-    typed = pair.withColumn("__who", F.coalesce("customer", spread)).join(kinds, [*scope, "__who"], "left")
+    typed = join_same(pair.withColumn("__who", F.coalesce("customer", spread)), kinds, [*scope, "__who"], "left")
     totals = _totals(typed.withColumn("key", F.coalesce("customer_class", F.lit(UNCATEGORISED))), period, scope)
     return totals.withColumns({
         "dimension": F.lit("customer_type"), "is_gap": F.col("key") == UNCATEGORISED,

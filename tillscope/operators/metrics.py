@@ -26,6 +26,7 @@ NOTE_FIGURES = {
 }
 OTHER_TYPES_NAMED = 5
 OTHER_TYPE_NAME_CHARS = 40
+OTHER_TYPES_REST = "(other values)"
 
 
 def zero(col: Column) -> Column:
@@ -259,6 +260,33 @@ def unconfirmed_deductions(classes: DataFrame, period: DataFrame, scope: list[st
     return figure_scopes(ours, period, scope).groupBy(*scope, "figure_scope").agg(F.sum("lines").alias("lines"), F.sum("amount").alias("amount"))
 
 
+def _names_apart(ranked: DataFrame, scope: list[str]) -> DataFrame:
+    """``(scope, value, name)``: each named value's spelling, cut to its room and numbered until no other measure has it.
+
+    A scope has at most ``OTHER_TYPES_NAMED`` of them, taken in the order of their values; one rank more means there is a rest,
+    whose name is taken.
+    """
+    entry = F.struct("value", "spelling")
+    listed = ranked.groupBy(*scope).agg(
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= OTHER_TYPES_NAMED, entry))).alias("entries"), F.max("rank").alias("most"))
+
+    def candidate(name, number):
+        suffix = F.when(number == 1, "").otherwise(F.concat(F.lit(" ("), number.cast("string"), F.lit(")")))
+        room = F.lit(OTHER_TYPE_NAME_CHARS) - F.length(suffix)
+        return F.concat(F.when(F.length(name) <= room, name).otherwise(F.concat(F.substring(name, F.lit(1), room - 3), F.lit("..."))), suffix)
+
+    def step(done, one):
+        tries = F.transform(F.sequence(F.lit(1), F.lit(OTHER_TYPES_NAMED + 2)), lambda n: candidate(one["spelling"], n))
+        free = F.element_at(F.filter(tries, lambda t: ~F.array_contains(done["taken"], T.fold(t))), 1)
+        return F.struct(F.array_append(done["taken"], T.fold(free)).alias("taken"),
+                        F.array_append(done["names"], F.struct(one["value"].alias("value"), free.alias("name"))).alias("names"))
+
+    rest = F.when(F.col("most") > OTHER_TYPES_NAMED, F.array(T.fold(F.lit(OTHER_TYPES_REST)))).otherwise(F.array().cast("array<string>"))
+    start = F.struct(rest.alias("taken"), F.array().cast("array<struct<value:string,name:string>>").alias("names"))
+    named = listed.withColumn("__done", F.aggregate("entries", start, step))
+    return named.select(*scope, F.inline("__done.names"))
+
+
 def other_transaction_types(lines: DataFrame, period: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Counted lines of a type that is neither in nor out: the five commonest by name, the rest folded."""
     scope = scope or []
@@ -272,11 +300,11 @@ def other_transaction_types(lines: DataFrame, period: DataFrame, scope: list[str
     values = spelled.groupBy(*scope, "value").agg(
         F.min_by("transaction_type", F.struct(-F.col("n"), F.col("transaction_type"))).alias("spelling"), F.sum("n").alias("n"))
     order = W.partitionBy(*scope).orderBy(F.desc("n"), "value")
-    named = values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OTHER_TYPES_NAMED)
-    cut = F.when(F.length("spelling") > OTHER_TYPE_NAME_CHARS,
-                 F.concat(F.substring("spelling", 1, OTHER_TYPE_NAME_CHARS - 3), F.lit("..."))).otherwise(F.col("spelling"))
-    labelled = join_same(counts, named.select(*scope, "value", cut.alias("name")), [*scope, "value"], "left")
-    months = labelled.groupBy(*scope, "month", F.coalesce("name", F.lit("(other values)")).alias("measure")).agg(
+    # A row further than the named ones tells whether there is a rest.
+    named = values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OTHER_TYPES_NAMED + 1)
+    names = _names_apart(named, scope)
+    labelled = join_same(counts, names, [*scope, "value"], "left")
+    months = labelled.groupBy(*scope, "month", F.coalesce("name", F.lit(OTHER_TYPES_REST)).alias("measure")).agg(
         F.sum("lines").alias("lines"), F.sum("amount").alias("amount"))
     return figure_scopes(months, period, scope).groupBy(*scope, "measure", "figure_scope").agg(
         F.sum("lines").alias("lines"), F.sum("amount").alias("amount"))

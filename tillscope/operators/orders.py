@@ -162,7 +162,7 @@ def with_orders(lines: DataFrame, scope: list[str] | None = None, has_order_id:
     keyed = lines.withColumns({
         "__id": F.when(F.col("txn_day").isNotNull(), F.col("order_id")), "__day": F.coalesce("txn_day", F.lit("0001-01-01").cast("date")),
     }).withColumn("__id", F.coalesce("__id", spread))
-    joined = keyed.join(days, [*scope, "__id", "__day"], "left")
+    joined = join_same(keyed, days, [*scope, "__id", "__day"], "left")
     joined = join_same(joined, decided, scope, "left")
     trusted = F.col("orders_basis") == "order_id"
     filled = F.coalesce("customer", "fill")

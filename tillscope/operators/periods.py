@@ -76,14 +76,18 @@ def slots(period: DataFrame, scope: list[str]) -> DataFrame:
     """``(scope, month, slot)``: the two compared months of each scope."""
     pair = F.explode(F.array(
         F.struct(F.col("current").alias("month"), F.lit("cur").alias("slot")),
-        F.struct(F.col("previous").alias("month"), F.lit("prev").alias("slot")))).alias("s")
-    return period.select(*scope, pair).select(*scope, "s.month", "s.slot")
+        F.struct(F.col("previous").alias("month"), F.lit("prev").alias("slot")))).alias("__slot")
+    return period.select(*scope, pair).select(*scope, F.col("__slot.month").alias("month"), F.col("__slot.slot").alias("slot"))
 
 
 def compared(table: DataFrame, period: DataFrame, scope: list[str]) -> DataFrame:
-    """The rows of the two compared months, labelled; an equi-join on the month, so month partitions prune."""
-    pair = slots(period, scope)
-    return table.join(F.broadcast(pair) if not scope else pair, [*scope, "month"])
+    """The rows of the two compared months, labelled; an equi-join on the month, so month partitions prune. Null scopes are scopes."""
+    pair = slots(period, scope).filter("month is not null")
+    renamed = pair.select(*(F.col(c).alias(f"__s_{c}") for c in scope), F.col("month").alias("__s_month"), "slot")
+    on = table["month"] == renamed["__s_month"]
+    for c in scope:
+        on = on & table[c].eqNullSafe(renamed[f"__s_{c}"])
+    return table.join(renamed if scope else F.broadcast(renamed), on).drop("__s_month", *(f"__s_{c}" for c in scope))
 
 
 def figure_scopes(table: DataFrame, period: DataFrame, scope: list[str]) -> DataFrame:

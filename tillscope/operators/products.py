@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tillscope.functions import text as T
 from tillscope.operators.ranking import join_same
+from tillscope.session import materialize
 
 GAP_LABEL = "(no product name)"
 
@@ -30,12 +31,22 @@ def _commonest(lines: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _numbered(labels: DataFrame, scope: list[str]) -> DataFrame:
-    """Labels that still collide get ``(2)``, ``(3)`` … in order of first appearance."""
-    order = W.partitionBy(*scope, T.fold(F.col("shown"))).orderBy("first_line", "product_key")
-    number = F.row_number().over(order)
-    return labels.withColumn("__number", number).withColumn(
-        "shown", F.when(F.col("__number") > 1, F.concat("shown", F.lit(" ("), F.col("__number").cast("string"), F.lit(")")))
-        .otherwise(F.col("shown"))).drop("__number")
+    """Labels that still collide get ``(2)``, ``(3)`` … in order of first appearance, until every one is unique.
+
+    A product is numbered within its own base text first. A numbered label that meets another product's moves on to the
+    next number, the earlier product keeping its own; rounds go on until none meets, and only their count reaches the driver.
+    """
+    base = W.partitionBy(*scope, T.fold(F.col("shown"))).orderBy("first_line", "product_key")
+    # The gap's own label is never given to a product.
+    first = F.row_number().over(base) + F.when(T.fold(F.col("shown")) == T.fold(F.lit(GAP_LABEL)), 1).otherwise(0)
+    labels = labels.withColumn("__number", first)
+    while True:
+        tried = F.when(F.col("__number") > 1, F.concat("shown", F.lit(" ("), F.col("__number").cast("string"), F.lit(")"))).otherwise(F.col("shown"))
+        taken = W.partitionBy(*scope, T.fold(F.col("__tried"))).orderBy("first_line", "product_key")
+        labels = materialize(labels.withColumn("__tried", tried).withColumn("__later", F.row_number().over(taken) > 1), "labels")
+        if not labels.filter("__later").limit(1).count():
+            return labels.withColumn("shown", F.col("__tried")).drop("__number", "__tried", "__later")
+        labels = labels.withColumn("__number", F.col("__number") + F.col("__later").cast("int")).drop("__tried", "__later")
 
 
 def product_labels(lines: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -62,8 +73,7 @@ def product_labels(lines: DataFrame, scope: list[str] | None = None) -> DataFram
         .when(gap, F.concat("label", F.lit(" (named product)"))).otherwise(F.col("label"))
     )
     named = join_same(folded, shared, [*scope, "__fold"], "left").withColumn("shown", shown)
-    # Twice: a numbered label may meet another product's own label.
-    return _numbered(_numbered(named, scope), scope).select(*group, F.col("shown").alias("product_label"))
+    return _numbered(named, scope).select(*group, F.col("shown").alias("product_label"))
 
 
 def product_suggestions(lines: DataFrame, scope: list[str] | None = None) -> DataFrame:

@@ -162,8 +162,7 @@ def normalize_case(frame: Frame, column: str, params: dict) -> Frame:
 def standardize_categories(frame: Frame, column: str, params: dict) -> Frame:
     mapping: dict[str, str] = params["mapping"]
     pairs = frame.df.sparkSession.createDataFrame(list(mapping.items()) or [("", "")], "__from string, __stat string")
-    small = len(mapping) <= 100_000
-    df = frame.df.join(F.broadcast(pairs) if small else pairs, _cell(frame, column).cast("string") == F.col("__from"), "left")
+    df = frame.df.join(pairs, _cell(frame, column).cast("string") == F.col("__from"), "left")
     out = _changed(frame, "standardize_categories", column, F.col("__stat"), F.col("__stat") != _cell(frame, column), df)
     return replace(out, df=out.df.drop("__from", "__stat"))
 

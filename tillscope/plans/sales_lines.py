@@ -19,8 +19,6 @@ from tillscope.session import materialize
 FIELDS = ("transaction_date", "quantity", "unit_price", "product_name", "sku", "category", "customer", "order_id",
           "transaction_type")
 REQUIRED = ("transaction_date", "quantity", "unit_price")
-# Answers up to this many stay inside the expression; beyond it they are joined.
-INLINE_ANSWERS = 200
 
 
 @dataclass(frozen=True)
@@ -103,29 +101,30 @@ def _with_answers(lines: DataFrame, answers: Answers, scope: list[str], has_sku:
     """Add ``one_sku`` (a name-only line's SKU), ``item`` (the user's answer) and ``suggested_class``."""
     none = F.lit(None).cast("string")
     table = _answer_table(lines, answers) if answers.line_classes else None
-    small = len(answers.line_classes) <= 100_000
-    hinted = (lambda t: F.broadcast(t)) if small else (lambda t: t)
     # The side tables are written first: their real size then decides, before the lines move at all,
     # whether the join can broadcast them or has to shuffle.
     candidates = materialize(C.non_product_candidates(lines, scope).select(*scope, "item_key", "suggested"), "suggestions") if suggest else None
     names = materialize(R.name_skus(lines, scope), "name-skus") if has_sku else None
     if names is not None:
         names = names.withColumn("item_key", F.concat(F.lit("sku:"), F.col("one_sku")))
-        names = names.join(hinted(table.withColumnRenamed("answer", "sku_answer")), "item_key", "left") if table is not None else names.withColumn("sku_answer", none)
+        names = names.join(table.withColumnRenamed("answer", "sku_answer"), "item_key", "left") if table is not None else names.withColumn("sku_answer", none)
         names = (join_same(names, candidates.withColumnRenamed("suggested", "sku_suggested"), [*scope, "item_key"], "left")
                  if candidates is not None else names.withColumn("sku_suggested", none))
         names = materialize(names.select(*scope, F.col("name_id").alias("__name"), "one_sku", "sku_answer", "sku_suggested"), "name-classes")
         spread = F.concat(F.lit("\u0000"), F.pmod(F.col("line_no"), F.lit(4096)).cast("string"))
         name_only = F.when(F.col("sku_id").isNull(), F.col("name_id"))
-        lines = lines.withColumn("__name", F.coalesce(name_only, spread)).join(names, [*scope, "__name"], "left").drop("__name")
+        lines = join_same(lines.withColumn("__name", F.coalesce(name_only, spread)), names, [*scope, "__name"], "left").drop("__name")
     else:
         lines = lines.withColumns({"one_sku": none, "sku_answer": none, "sku_suggested": none})
     if table is not None:
-        lines = lines.join(hinted(table), "item_key", "left")
+        lines = lines.join(table, "item_key", "left")
     else:
         lines = lines.withColumn("answer", none)
     if candidates is not None:
-        lines = join_same(lines, candidates, [*scope, "item_key"], "left")
+        # Lines without a key match nothing; spread, they do not meet in one task.
+        candidates = candidates.withColumnRenamed("item_key", "__key")
+        lines = lines.withColumn("__key", F.coalesce("item_key", F.concat(F.lit("\u0000"), F.pmod(F.col("line_no"), F.lit(4096)).cast("string"))))
+        lines = join_same(lines, candidates, [*scope, "__key"], "left").drop("__key")
     else:
         lines = lines.withColumn("suggested", none)
     item = F.coalesce("answer", "sku_answer")
@@ -150,9 +149,12 @@ def build_sales_lines(df: DataFrame, mapping: Mapping, scope: list[str] | None =
     measurable = ~F.col("stock_in") & F.col("quantity").isNotNull() & F.col("unit_price").isNotNull() & (F.abs(F.col("amount")) < float("inf"))
     dated = F.col("txn_ts").isNotNull()
     is_in = lambda names: F.col("line_class").isin(*names) & dated
-    placeholders = [p for p in answers.customer_placeholders]
-    identities = [F.lower(T.identifier_text(F.lit(p))) for p in placeholders]
-    placeholder = F.coalesce(F.col("customer_written").isin(identities), F.lit(False)) if identities else F.lit(False)
+    placeholder = F.lit(False)
+    if answers.customer_placeholders:
+        told = lines.sparkSession.createDataFrame([(p,) for p in answers.customer_placeholders], "value string")
+        told = told.select(F.lower(T.identifier_text(F.col("value"))).alias("__told")).distinct()
+        lines = lines.join(told, F.col("customer_written") == F.col("__told"), "left")
+        placeholder = F.col("__told").isNotNull()
     lines = lines.withColumn("line_class", line_class).withColumns({
         "class_source": F.when(F.col("item").isNotNull() & F.coalesce(measurable, F.lit(False)), "user").otherwise("rule"),
         "answered_class": F.when(F.col("item") != "product", F.col("item")),
@@ -170,7 +172,7 @@ def build_sales_lines(df: DataFrame, mapping: Mapping, scope: list[str] | None =
         "product_key": F.when(
             F.col("answered_class").isNull(), F.when(name_only & ~resolved_classed, borrowed).otherwise(F.col("item_key"))),
     })
-    lines = materialize(lines.drop("sku_answer", "sku_suggested", "answer", "suggested", "would_sell"), "classed-lines")
+    lines = materialize(lines.drop("sku_answer", "sku_suggested", "answer", "suggested", "would_sell", "__told"), "classed-lines")
     lines = O.with_orders(lines, scope, "order_id" in mapping.fields, "customer" in mapping.fields,
                           answers.order_id_is_receipt, answers.customer_on_first_line_only is not False)
     finished = lines.select(

@@ -33,24 +33,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread_small(df: DataFrame, path: str, key: str, below: int = 256 << 20) -> DataFrame:
-    """One small file is one task however many cores there are: spread its rows by ``key``.
-
-    Files past ``below`` bytes already split into many tasks and are read as they are.
-    """
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
-    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < below else df
-
-
 def ledger(spark: SparkSession, folder: str, date: str = "o_orderdate") -> DataFrame:
     """One row per line item; only the columns named here reach the scan."""
     item = read_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate",
         F.col("_metadata.row_index").alias("line_no"),
     )
-    item = spread_small(item, f"{folder.rstrip('/')}/lineitem.parquet", "line_no")
+    # Dealt by the key of the first join, which needs it so at any size; a small file becomes as many tasks as there are cores.
+    item = item.repartition("l_orderkey")
     order = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     part = read_table(spark, folder, "part").select("p_partkey", "p_name", "p_type")
