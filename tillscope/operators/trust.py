@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,85 +102,91 @@ _JUDGED = (
 )
 
 
-class _Months:
-    """Zero days and days per weekday of a scope's months, as two small matrices."""
-
-    def __init__(self, zeros: np.ndarray, days: np.ndarray, moy: np.ndarray) -> None:
-        self.zeros, self.days, self.moy = zeros, days, moy
-        self.observed, self.length = zeros.sum(axis=1), days.sum(axis=1)
-
-    def rates(self, rows: list[int]) -> np.ndarray:
-        held = self.days[rows].sum(axis=0)
-        return np.divide(self.zeros[rows].sum(axis=0), held, out=np.zeros(7), where=held > 0)
-
-    def expect(self, month: int, learned: list[int], weekdays: list[int], season: bool = True) -> tuple[float, float]:
-        """Pattern and expectation of one month."""
-        rate = self.rates(weekdays)
-        pattern = float(self.days[month] @ rate)
-        same = [m for m in learned if m != month and self.moy[m] == self.moy[month]] if season else []
-        if not same:
-            return pattern, pattern
-        beyond = (self.observed[same] - self.days[same] @ rate) * self.length[month] / self.length[same]
-        return pattern, pattern + max(0.0, float(beyond.mean()))
-
-    def left_out(self, learned: list[int], weekdays: list[int], season: bool) -> np.ndarray:
-        found = np.zeros(len(learned))
-        for i, month in enumerate(learned):
-            rest = [m for m in learned if m != month]
-            if rest:
-                expected = self.expect(month, rest, [m for m in weekdays if m != month], season)[1]
-                found[i] = self.observed[month] - expected
-        return found
-
-    def bar(self, month: int, learned: list[int], weekdays: list[int], season: bool = True) -> float:
-        excess = self.left_out(learned, weekdays, season) if learned else np.zeros(1)
-        centre = float(np.median(excess))
-        mad = float(np.median(np.abs(excess - centre)))
-        pattern, expected = self.expect(month, learned, weekdays, season)
-        p = np.minimum(1.0, self.rates(weekdays) + (expected - pattern) / self.length[month])
-        binomial = float(np.sqrt((self.days[month] * p * (1 - p)).sum()))
-        return max(centre + D1_SPREAD_K * MAD_SCALE * mad, D1_SPREAD_K * binomial)
-
-    def without_outliers(self, months: list[int], season: bool) -> list[int]:
-        """Drop the month furthest above the others' expectation while it stands out, worst first."""
-        kept = list(months)
-        while len(kept) > 1:
-            excess = self.left_out(kept, kept, season)
-            worst = kept[int(np.argmax(excess))]
-            rest = [m for m in kept if m != worst]
-            top = float(excess.max())
-            if not (top >= D1_CAUTION_DAYS_SHORT and top > self.bar(worst, rest, rest, season)):
+@dataclass(frozen=True)
+class _Table:
+    """Zero days and days per weekday of a scope's months (months × 7), and each month's place in the year.
+
+    Sets of months are masks. Whatever is said of a month is said without it: the sums over a set lose the month's own row,
+    for all months at once.
+    """
+
+    zeros: np.ndarray
+    days: np.ndarray
+    place: np.ndarray
+
+    @property
+    def seen(self) -> np.ndarray:
+        return self.zeros.sum(axis=1)
+
+    @property
+    def length(self) -> np.ndarray:
+        return self.days.sum(axis=1)
+
+    def forecast(self, learned: np.ndarray, weekly: np.ndarray, season: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weekday rates, pattern and expectation of every month, from the other months of the two sets."""
+        own = weekly[:, None]
+        held = weekly @ self.days - own * self.days
+        rates = np.divide(weekly @ self.zeros - own * self.zeros, held, out=np.zeros_like(self.days), where=held > 0)
+        pattern = (self.days * rates).sum(axis=1)
+        twins = (self.place[:, None] == self.place) & learned & ~np.eye(len(learned), dtype=bool) & season
+        beyond = (self.seen - rates @ self.days.T) / self.length * self.length[:, None]
+        count = twins.sum(axis=1)
+        extra = np.where(twins, beyond, 0.0).sum(axis=1) / np.maximum(count, 1)
+        return rates, pattern, pattern + np.maximum(extra, 0.0)
+
+    def excess(self, learned: np.ndarray, weekly: np.ndarray, season: bool) -> np.ndarray:
+        """How far the learned months lie above what the others of them let expect; a single one lies nowhere."""
+        if learned.sum() < 2:
+            return np.zeros(1)
+        return (self.seen - self.forecast(learned, weekly, season)[2])[learned]
+
+    def bars(self, learned: np.ndarray, weekly: np.ndarray, season: bool = True) -> np.ndarray:
+        """What a month has to exceed: a few robust deviations of the learned months, or of chance alone."""
+        excess = self.excess(learned, weekly, season)
+        centre = np.median(excess)
+        rates, pattern, expected = self.forecast(learned, weekly, season)
+        chance = np.minimum(1.0, rates + ((expected - pattern) / self.length)[:, None])
+        deviation = np.sqrt((self.days * chance * (1 - chance)).sum(axis=1))
+        return np.maximum(centre + D1_SPREAD_K * MAD_SCALE * np.median(np.abs(excess - centre)), D1_SPREAD_K * deviation)
+
+    def settled(self, months: np.ndarray, season: bool) -> np.ndarray:
+        """The set without the months that stand out, the furthest first, until none does."""
+        months = months.copy()
+        while months.sum() > 1:
+            above = np.where(months, self.seen - self.forecast(months, months, season)[2], -np.inf)
+            worst = int(np.argmax(above))
+            others = months & (np.arange(len(months)) != worst)
+            if above[worst] < D1_CAUTION_DAYS_SHORT or above[worst] <= self.bars(others, others, season)[worst]:
                 break
-            kept = rest
-        return kept
+            months = others
+        return months
 
 
 def _judge(rows: pd.DataFrame) -> dict | None:
     rows = rows.sort_values("month").reset_index(drop=True)
-    stack = lambda c: np.array(rows[c].tolist(), dtype=float)
-    table = _Months(stack("zeros"), stack("days"), pd.to_datetime(rows["month"]).dt.month.to_numpy())
-    find = lambda role: [i for i, r in enumerate(rows["role"]) if r == role]
-    candidates, current, previous = find("candidate"), find("current"), find("previous")
-    if not candidates or not current or not previous:
+    grid = lambda c: np.array(rows[c].tolist(), dtype=float)
+    table = _Table(grid("zeros"), grid("days"), pd.to_datetime(rows["month"]).dt.month.to_numpy())
+    role = rows["role"].to_numpy()
+    candidates = role == "candidate"
+    if not all((role == r).any() for r in ("candidate", "current", "previous")):
         return None
-    learned = table.without_outliers(candidates, season=True)
-    weekdays = table.without_outliers(learned, season=False)
-    floor = D1_CAUTION_DAYS if len(learned) >= D1_FULL_YEAR else D1_CAUTION_DAYS_SHORT
-    dates = lambda idx: [rows["month"][i] for i in idx]
+    learned = table.settled(candidates, season=True)
+    weekly = table.settled(learned, season=False)
+    floor = D1_CAUTION_DAYS if learned.sum() >= D1_FULL_YEAR else D1_CAUTION_DAYS_SHORT
+    listed = lambda mask: rows["month"][mask].tolist()
     out = {
-        "learned_months": len(learned), "learned": dates(learned), "excluded": dates([i for i in candidates if i not in learned]),
-        "weekday_months": dates(weekdays), "caution_floor": floor,
+        "learned_months": int(learned.sum()), "learned": listed(learned), "excluded": listed(candidates & ~learned),
+        "weekday_months": listed(weekly), "caution_floor": floor,
     }
-    for tag, month in (("cur", current[0]), ("prev", previous[0])):
-        seen = table.observed[month]
-        pattern, expected = table.expect(month, learned, weekdays)
-        unexplained, bar = max(0.0, seen - expected), table.bar(month, learned, weekdays)
-        out |= {
-            f"zero_{tag}": int(seen), f"pattern_{tag}": pattern, f"expected_{tag}": expected,
-            f"excess_{tag}": max(0.0, seen - pattern), f"unexplained_{tag}": unexplained, f"bar_{tag}": bar,
-            f"flagged_{tag}": bool(unexplained >= floor and unexplained > bar),
-        }
-    out["blocked"] = bool(out["unexplained_cur"] >= D1_BLOCK_SHARE * table.length[current[0]])
+    _, pattern, expected = table.forecast(learned, weekly)
+    figures = pd.DataFrame({
+        "zero": table.seen, "pattern": pattern, "expected": expected, "excess": np.maximum(0.0, table.seen - pattern),
+        "unexplained": np.maximum(0.0, table.seen - expected), "bar": table.bars(learned, weekly)})
+    for tag, name in (("cur", "current"), ("prev", "previous")):
+        at = figures.iloc[int(np.argmax(role == name))]
+        out |= {f"{k}_{tag}": float(v) for k, v in at.items()}
+        out |= {f"zero_{tag}": int(at["zero"]), f"flagged_{tag}": bool(at["unexplained"] >= floor and at["unexplained"] > at["bar"])}
+    out["blocked"] = bool(out["unexplained_cur"] >= D1_BLOCK_SHARE * table.length[int(np.argmax(role == "current"))])
     return out
 
 
