@@ -38,7 +38,7 @@ from tillscope.llm.common import bucketed, mixed, packed, small_batches, task_id
 from tillscope.llm.shingles import slices, word_hashes
 
 END = np.uint64(0xFFFFFFFFFFFFFFFF)  # stands for the end token among word hashes
-BEGIN = -1  # the context of a document's first token
+BEGIN = 0  # the context of a document's first token; a word as context is its number plus one
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,8 @@ class Katz:
     """Counts up to ``discounted`` are discounted; bytes of text of a chunk and behind a group; the share from which a context is dealt out."""
 
     discounted: int = 5
-    chunk_bytes: int = 12 << 20
-    group_bytes: int = 16 << 20
+    chunk_bytes: int = 16 << 20
+    group_bytes: int = 24 << 20
     hot_share: float = 1 / 65_536
 
 
@@ -80,7 +80,7 @@ def _planes(numbers: np.ndarray) -> bytes:
 def _from_planes(blob: bytes) -> np.ndarray:
     width = blob[0]
     raw = np.ascontiguousarray(unpacked(blob[1:], "u1").reshape(width, -1).T)
-    return raw.view(np.uint32 if width == 4 else np.int64).ravel().astype(np.int64)
+    return raw.view(np.uint32 if width == 4 else np.int64).ravel()
 
 
 def _chunks(katz: Katz, kind: pa.DataType):  # noqa: ANN202
@@ -136,10 +136,14 @@ class _Chunk:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (context, word) by local number, the context -1 at a document's begin; and each token's pair."""
-        context = np.r_[np.int64(-1), self.tokens[:-1]]
-        context[np.cumsum(self.sizes) - self.sizes] = -1
-        distinct, which = np.unique((context + 1) * (len(self.words) + 1) + self.tokens, return_inverse=True)
-        return distinct // (len(self.words) + 1) - 1, distinct % (len(self.words) + 1), which
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[1:] += 1
+        key[np.cumsum(self.sizes) - self.sizes] = 0
+        key <<= 32
+        key |= self.tokens
+        distinct, which = np.unique(key, return_inverse=True)
+        return (distinct >> 32) - 1, distinct & 0xFFFFFFFF, which
 
 
 def _word_group(words: np.ndarray, groups: int) -> np.ndarray:
@@ -177,7 +181,7 @@ def _count_words(k: int, groups: int):  # noqa: ANN202
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         hashes = np.frombuffer(b"".join(asked["words"]), np.uint64)
-        counts = np.concatenate([_from_planes(c) for c in asked["counts"]])
+        counts = np.concatenate([_from_planes(c) for c in asked["counts"]]).astype(np.int64)
         words, which = np.unique(hashes, return_inverse=True)
         total = np.zeros(len(words), np.int64)
         np.add.at(total, which, counts)
@@ -208,15 +212,36 @@ def _pair_groups(context: np.ndarray, word: np.ndarray, hot: np.ndarray, groups:
     return (key % np.uint64(groups)).astype(np.int64)
 
 
-def _dealt(chunk: _Chunk, number: np.ndarray, count: np.ndarray, begins: int, limit: float, groups: int) -> tuple[np.ndarray, ...]:
-    """A chunk's distinct pairs as numbers, ordered by group, context and word: order, group, context, word, hot, which."""
-    left, right, which = chunk.pairs()
-    context = np.where(left >= 0, number[left], BEGIN)
-    hot = np.where(left >= 0, count[left], begins) > limit
-    word = number[right]
-    group = _pair_groups(context, word, hot, groups)
-    order = np.lexsort((word, context, group))
-    return order, group[order], context[order], word[order], hot[order], which
+@dataclass
+class _Dealt:
+    """A chunk's distinct pairs by group, those of a context together: what they are, and each token's pair in this order.
+
+    ``heads`` are where runs of one context in one group begin, ``run`` is each pair's run.
+    """
+
+    group: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    local: np.ndarray
+    hot: np.ndarray
+    which: np.ndarray
+
+    @classmethod
+    def of(cls, chunk: _Chunk, number: np.ndarray, count: np.ndarray, begins: int, limit: float, groups: int) -> _Dealt:
+        left, right, which = chunk.pairs()
+        context = np.where(left >= 0, number[left] + 1, BEGIN)
+        hot = np.where(left >= 0, count[left], begins) > limit
+        word = number[right]
+        group = _pair_groups(context, word, hot, groups)
+        # Pairs come sorted by context, and a stable sort by small numbers is quick.
+        order = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(group[order], context[order], word[order], right[order], hot[order], place[which])
+
+    @property
+    def heads(self) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, (self.context[1:] != self.context[:-1]) | (self.group[1:] != self.group[:-1])]) if len(self.context) else np.zeros(0, np.int64)
 
 
 def _ask_pairs(groups: int, begins: int, limit: float):  # noqa: ANN202
@@ -225,16 +250,16 @@ def _ask_pairs(groups: int, begins: int, limit: float):  # noqa: ANN202
         for row in chunks.to_pylist():
             chunk = _Chunk.of(row)
             number, count = _word_answers(chunk, given, groups)
-            order, group, context, word, hot, which = _dealt(chunk, number, count, begins, limit, groups)
-            _, right, _ = chunk.pairs()
-            trained = np.bincount(which[chunk.trained], minlength=len(order))[order]
-            weight = count[right[order]]
-            cuts = np.searchsorted(group, np.arange(groups + 1))
-            for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            pairs = _Dealt.of(chunk, number, count, begins, limit, groups)
+            trained = np.bincount(pairs.which[chunk.trained], minlength=len(pairs.word))
+            weight, heads = count[pairs.local], pairs.heads
+            runs = np.diff(np.r_[heads, len(pairs.word)])
+            cuts, head_cuts = (np.searchsorted(g, np.arange(groups + 1)) for g in (pairs.group, pairs.group[heads]))
+            for g in range(groups):
+                (a, b), (c, d) = cuts[g : g + 2], head_cuts[g : g + 2]
                 if b > a:
-                    heads = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1]])
-                    runs = np.diff(np.r_[heads, b - a])
-                    rows.append((g, row["chunk"], _planes(context[a:b][heads]), _planes(runs), _planes(word[a:b]), _planes(weight[a:b]), _planes(trained[a:b]), packed(hot[a:b][heads])))
+                    own = heads[c:d]
+                    rows.append((g, row["chunk"], _planes(pairs.context[own]), _planes(runs[c:d]), _planes(pairs.word[a:b]), _planes(weight[a:b]), _planes(trained[a:b]), packed(pairs.hot[own])))
         columns = list(zip(*rows, strict=True)) or [()] * 8
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
 
@@ -256,20 +281,28 @@ def _sums(context: np.ndarray, contexts: int, seen: np.ndarray, weight: np.ndarr
     return out
 
 
+def _unique_pairs(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs by context and word, where each is first, and the pair of each row."""
+    if max(context.max(), word.max()) < 1 << 31:  # both fit one number, which sorts quickly
+        distinct, first, pair = np.unique(context.astype(np.int64) << 32 | word, return_index=True, return_inverse=True)
+        return distinct >> 32, distinct & 0xFFFFFFFF, first, pair
+    order = np.lexsort((word, context))
+    new = np.r_[True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])]
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    first = order[new]
+    return context[first].astype(np.int64), word[first].astype(np.int64), first, pair
+
+
 def _count_pairs(k: int):  # noqa: ANN202
     """A group of contexts: its part of the bigram table, the sums of hot contexts, and each chunk's answer."""
 
     def run(asked: pd.DataFrame) -> pd.DataFrame:
         heads, runs = [_from_planes(x) for x in asked["contexts"]], [_from_planes(x) for x in asked["runs"]]
-        context = np.concatenate([np.repeat(h, r) for h, r in zip(heads, runs, strict=True)])
-        word, weight, trained = (np.concatenate([_from_planes(x) for x in asked[c]]) for c in ("words", "weights", "trained"))
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        new = np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        total = np.bincount(pair, trained).astype(np.int64)
-        distinct_context, distinct_word, distinct_weight = c[new], w[new], weight[order][new]
+        context, word = np.concatenate([np.repeat(h, r) for h, r in zip(heads, runs, strict=True)]), np.concatenate([_from_planes(x) for x in asked["words"]])
+        distinct_context, distinct_word, first, pair = _unique_pairs(context, word)
+        total = np.bincount(pair, np.concatenate([_from_planes(x) for x in asked["trained"]])).astype(np.int64)
+        distinct_weight = np.concatenate([_from_planes(x) for x in asked["weights"]])[first].astype(np.int64)
         contexts, context_of = np.unique(distinct_context, return_inverse=True)
         sums = _sums(context_of, len(contexts), total, distinct_weight, k)
         group, seen = int(asked["group"].iat[0]), total > 0
@@ -337,26 +370,24 @@ def _evaluate(model: Model, hot: dict[int, list[int]], groups: int, limit: float
         for row in chunks.to_pylist():
             chunk = _Chunk.of(row)
             number, count = _word_answers(chunk, given[given["step"] == 0], groups)
-            order, group, context, _, is_hot, which = _dealt(chunk, number, count, model.begins, limit, groups)
-            seen = np.zeros(len(order), np.int64)
-            sums = np.zeros((len(order), 2 * len(model.word_discounts)), np.int64)
-            cuts = np.searchsorted(group, np.arange(groups + 1))
-            for _, part in given[given["step"] == 1].iterrows():
-                a, b = cuts[part["group"]], cuts[part["group"] + 1]
-                seen[a:b] = _from_planes(part["a"])
-                heads = np.cumsum(np.r_[True, context[a + 1 : b] != context[a : b - 1]]) - 1
-                sums[a:b] = _from_planes(part["b"]).reshape(sums.shape[1], -1).T[heads]
-            for h in np.unique(context[is_hot]):
-                sums[context == h] = hot[int(h)]
-            _, right, _ = chunk.pairs()
+            pairs = _Dealt.of(chunk, number, count, model.begins, limit, groups)
+            heads = pairs.heads
+            seen, sums = np.zeros(len(pairs.word), np.int64), np.zeros((len(heads), 2 * len(model.word_discounts)), np.int64)
+            cuts, head_cuts = (np.searchsorted(g, np.arange(groups + 1)) for g in (pairs.group, pairs.group[heads]))
+            mine = given[given["step"] == 1]
+            for g, a, b in zip(mine["group"], mine["a"], mine["b"], strict=True):
+                seen[cuts[g] : cuts[g + 1]] = _from_planes(a)
+                sums[head_cuts[g] : head_cuts[g + 1]] = _from_planes(b).reshape(sums.shape[1], -1).T
+            for h in np.flatnonzero(pairs.hot[heads]):
+                sums[h] = hot[int(pairs.context[heads[h]])]
             single = model.word(count)
-            after, scale, weight = model.context(sums)
-            value = np.empty(len(order))
-            value[order] = np.log10(np.where(seen > 0, model.pair(seen, after, scale), weight * single[right[order]]))
+            runs = np.diff(np.r_[heads, len(pairs.word)])
+            after, scale, weight = (np.repeat(x, runs) for x in model.context(sums))
+            value = np.log10(np.where(seen > 0, model.pair(seen, after, scale), weight * single[pairs.local]))
             starts = np.cumsum(chunk.sizes) - chunk.sizes
             base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
             known = np.add.reduceat((count > 0)[chunk.tokens].astype(np.int64), starts)
-            out.append((row["ids"], chunk.held, chunk.sizes, known, np.add.reduceat(base[chunk.tokens], starts), np.add.reduceat(value[which], starts)))
+            out.append((row["ids"], chunk.held, chunk.sizes, known, np.add.reduceat(base[chunk.tokens], starts), np.add.reduceat(value[pairs.which], starts)))
         tables = [pa.table([pa.array(i, schema.field(0).type), pa.array(h), pa.array(n), pa.array(k), pa.array(np.full(len(n), model.tokens)), pa.array(b), pa.array(s)], schema=schema) for i, h, n, k, b, s in out]
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
