@@ -371,11 +371,11 @@ over_lines("g2_weekday_weights", WK + "SELECT weekday, round(weight, 4) AS weigh
 over_lines("g3_calendar_effect", WK + CORE_CTE + """, ex AS (SELECT m, sum(weight) AS e FROM (SELECT cur AS m, CAST(unnest(generate_series(cur, last_day(cur), INTERVAL 1 DAY)) AS DATE) AS d FROM p UNION ALL SELECT prev, CAST(unnest(generate_series(prev, last_day(prev), INTERVAL 1 DAY)) AS DATE) FROM p) JOIN ww ON isodow(d) - 1 = weekday GROUP BY 1),
   v AS (SELECT (SELECT e FROM ex WHERE m = cur) AS ec, (SELECT e FROM ex WHERE m = prev) AS ep, (SELECT revenue FROM core WHERE month = cur) AS rc, (SELECT revenue FROM core WHERE month = prev) AS rp FROM p)
   SELECT 'weekday_weights' AS method, round(ec, 4) AS expected_cur, round(ep, 4) AS expected_prev, round(rp * (ec / ep - 1), 2) AS calendar_effect, round(rc - rp - rp * (ec / ep - 1), 2) AS adjusted_change FROM v""")
-SER = CAL + CORE_CTE + """, t AS (SELECT c.month, coalesce(revenue, 0) AS revenue, coalesce(orders, 0) AS orders, coalesce(units, 0) AS units, coalesce(return_orders, 0) AS ret, coalesce(active_customers, 0) AS ac, coalesce(buyers, 0) AS buyers, core.month IS NULL AS empty FROM comp c LEFT JOIN core ON c.month = core.month),
-  ser AS (SELECT month, 'revenue' AS series, CAST(revenue AS DOUBLE) AS value FROM t UNION ALL SELECT month, 'orders', orders FROM t UNION ALL SELECT month, 'active_customers', CASE WHEN ac > 0 OR empty THEN ac END FROM t
+SER = CAL + CORE_CTE + """, t AS MATERIALIZED (SELECT c.month, coalesce(revenue, 0) AS revenue, coalesce(orders, 0) AS orders, coalesce(units, 0) AS units, coalesce(return_orders, 0) AS ret, coalesce(active_customers, 0) AS ac, coalesce(buyers, 0) AS buyers, core.month IS NULL AS empty FROM comp c LEFT JOIN core ON c.month = core.month),
+  ser AS MATERIALIZED (SELECT month, 'revenue' AS series, CAST(revenue AS DOUBLE) AS value FROM t UNION ALL SELECT month, 'orders', orders FROM t UNION ALL SELECT month, 'active_customers', CASE WHEN ac > 0 OR empty THEN ac END FROM t
     UNION ALL SELECT month, 'frequency', CASE WHEN buyers > 0 THEN orders / buyers WHEN orders = 0 THEN 0 END FROM t UNION ALL SELECT month, 'aov', coalesce(revenue / nullif(orders, 0), 0) FROM t
     UNION ALL SELECT month, 'units_per_order', coalesce(units / nullif(orders, 0), 0) FROM t UNION ALL SELECT month, 'price_per_unit', coalesce(revenue / nullif(units, 0), 0) FROM t UNION ALL SELECT month, 'return_rate', coalesce(ret / nullif(orders, 0), 0) FROM t),
-  ty AS (SELECT series, median(abs(value)) AS typ FROM ser WHERE month IN (SELECT month FROM hist) AND abs(value) > 0 GROUP BY 1),
+  ty AS MATERIALIZED (SELECT series, median(abs(value)) AS typ FROM ser WHERE month IN (SELECT month FROM hist) AND abs(value) > 0 GROUP BY 1),
   yy AS (SELECT s.series, s.month, s.value, b.value AS base, typ FROM ser s LEFT JOIN ty ON ty.series = s.series LEFT JOIN ser b ON s.series = b.series AND b.month = CAST(s.month - INTERVAL 12 MONTH AS DATE)),
   yo AS (SELECT series, month, value, CASE WHEN base > 0 AND base >= 0.03 * typ THEN (value - base) / base * 100 END AS yoy FROM yy)"""
 over_lines("g4_monthly_series", SER + "SELECT month, series, round(value, 4) AS value FROM ser")
@@ -467,3 +467,21 @@ over_lines("v1_chart_series", WIN + """, lv AS (SELECT sum(revenue * CASE n - po
   SELECT 'revenue' AS series, month, CASE WHEN month IN (SELECT month FROM comp) THEN round(revenue, 2) END AS value FROM core WHERE month IS NOT NULL
   UNION ALL SELECT 'forecast_point', CAST(cur + h * INTERVAL 1 MONTH AS DATE), round(l, 2) FROM p, lv, (SELECT unnest([1, 2, 3]) AS h)""")
 over_lines("v3_bars", PM + """SELECT row_number() OVER (ORDER BY revenue_current DESC, member) AS position, member, revenue_current, revenue_previous FROM (SELECT priority AS member, sum(CASE WHEN slot = 'cur' THEN amount ELSE 0 END) AS revenue_current, sum(CASE WHEN slot = 'prev' THEN amount ELSE 0 END) AS revenue_previous FROM pm GROUP BY 1)""")
+
+# --- texts, samples, written dates
+add("s2_encodings", "SELECT 'é' || CAST(o_orderkey % 7 AS VARCHAR) AS label, count(*) AS orders FROM orders GROUP BY 1")
+add("s3_delimiters", "SELECT o_orderkey % 4 AS file, count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customers, count(*) AS lines FROM orders GROUP BY 1")
+over_lines("s7_results_read_back", CORE_CTE + "SELECT month, revenue, orders FROM core")
+over_lines("s9_sample_customers", """SELECT customer, order_id, product_key, amount FROM lines
+  WHERE coalesce(CAST('0x' || substr(md5('7:' || coalesce('c:' || customer, 'i:' || order_id)), 1, 12) AS BIGINT) % 1000000 < 250000, FALSE) OR coalesce(product_key = 'sku:p1', FALSE)""")
+add("t5_written_shapes", """SELECT o_orderkey AS line_no, strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderkey % 8 WHEN 4 THEN ' 10:30:00' WHEN 5 THEN ' 10:30:00' WHEN 6 THEN ' 15:05:00' WHEN 7 THEN ' 10:15:00' ELSE ' 00:00:00' END AS read FROM orders""")
+add("t7_utc_offsets", "SELECT o_orderkey % 8 AS shape, count(CASE WHEN o_orderkey % 8 IN (5, 7) THEN 1 END) AS offsets FROM orders GROUP BY 1")
+add("x11_written_format", "SELECT o_orderkey AS line_no, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 10 = 0")
+add("x24_dropped_rows", M + """SELECT 'drop_rows_missing' AS action, 'price' AS "column", count(*) AS rows FROM m WHERE price IS NULL""")
+over_lines("r6_not_after", "SELECT count(*) AS lines, max(txn_day) AS latest FROM lines WHERE txn_day IS NULL OR txn_day <= DATE '1998-01-02'")
+add("c19_stratified_sample", MARKS + """, f AS (SELECT line_no, row_number() OVER (PARTITION BY kind ORDER BY line_no) AS position FROM (
+    SELECT 'any_missing' AS kind, line_no FROM k WHERE any_missing UNION ALL SELECT 'duplicate', line_no FROM k WHERE duplicate UNION ALL SELECT 'negative', line_no FROM k WHERE negative
+    UNION ALL SELECT 'non_numeric', line_no FROM k WHERE non_numeric UNION ALL SELECT 'padded', line_no FROM k WHERE padded UNION ALL SELECT 'bad_date', line_no FROM k WHERE bad_date)),
+  ch AS (SELECT DISTINCT line_no FROM f WHERE position <= 40 ORDER BY line_no LIMIT 250), grid AS (SELECT DISTINCT CAST(floor(i * (SELECT max(line_no) FROM m) / 499) AS BIGINT) AS line_no FROM range(500) t(i)),
+  pk AS (SELECT line_no, min(pr) AS pr FROM (SELECT line_no, 0 AS pr FROM ch UNION ALL SELECT line_no, 1 FROM grid) GROUP BY 1), ps AS (SELECT line_no FROM pk ORDER BY pr, line_no LIMIT 500)
+  SELECT m.line_no, m.day, m.price FROM m JOIN ps ON m.line_no = ps.line_no""")

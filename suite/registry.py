@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.functions import dates as D
 from tillscope.functions import numbers as N
 from tillscope.functions import text as T
 from tillscope.operators import (
@@ -16,13 +17,13 @@ from tillscope.operators import (
 )
 from tillscope.operators.ranking import join_same
 from tillscope.plans.analysis import Analysis
-from tillscope.plans.cleaning import CleaningPlan, Step, apply_action, run_plan
+from tillscope.plans.cleaning import CleaningPlan, Step, apply_action, dropped_rows_report, run_plan
 from tillscope.plans.sales_lines import build_sales_lines
 from tillscope.session import configure, materialize, shared_folder
 from tillscope.sources.csv_text import read_text_csv
 from tillscope.sources.extracts import sample_customers, union_extracts
 from tillscope.sources.ledger import ANSWERS, MAPPING, ledger, read_table
-from tillscope.sources.sinks import with_iso_dates
+from tillscope.sources.sinks import with_iso_dates, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +104,51 @@ def s1_read_text_csv(spark, sf):
                     *[F.count(c).alias(f"n_{c}") for c in MESSY])
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("key"), F.concat(F.lit("é"), F.col("o_orderkey") % 7).alias("label"), F.col("o_custkey").cast("string").alias("customer"))
+
+
+@query
+def s2_encodings(spark, sf):
+    """One folder in two encodings: every file is read in its own."""
+    def make() -> DataFrame:
+        path = f"{shared_folder(spark)}/encodings-{dt.datetime.now().timestamp()}"
+        rows = _labelled(spark, sf)
+        for rest, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+            rows.filter(F.col("key") % 2 == rest).write.mode("append").option("header", "true").option("encoding", encoding).csv(path)
+        return read_text_csv(spark, path, line_no=None)
+
+    return _once(spark, ("encodings", sf), make).groupBy("label").agg(F.count("*").alias("orders"))
+
+
+@query
+def s3_delimiters(spark, sf):
+    """One folder of files with four delimiters, one of them with its columns in another order; fields are matched by name."""
+    def make() -> DataFrame:
+        path = f"{shared_folder(spark)}/delimiters-{dt.datetime.now().timestamp()}"
+        rows = _labelled(spark, sf)
+        for rest, sep in enumerate((",", ";", "\t", "|")):
+            part = rows.filter(F.col("key") % 4 == rest)
+            (part.select("customer", "label", "key") if sep == ";" else part).write.mode("append").option("header", "true").option("sep", sep).csv(path)
+        return read_text_csv(spark, path)
+
+    back = _once(spark, ("delimiters", sf), make)
+    return back.groupBy((F.col("key").cast("bigint") % 4).alias("file")).agg(
+        F.count("*").alias("orders"), F.sum(F.col("customer").cast("bigint")).alias("customers"), F.countDistinct("line_no").alias("lines"))
+
+
+@query
+def s7_results_read_back(spark, sf):
+    """A result table written as one and read again."""
+    def make() -> str:
+        path = f"{shared_folder(spark)}/results-{dt.datetime.now().timestamp()}"
+        write_results({"core": analysis(spark, sf).core}, path)
+        return path
+
+    return spark.read.parquet(f"{_once(spark, ('results', sf), make)}/core").select("month", "revenue", "orders")
+
+
 @query
 def s5_iso_dates(spark, sf):
     events = read_table(spark, sf, "events").select("event_id", "ts")
@@ -212,11 +258,39 @@ def t3_rewrite_numbers(spark, sf):
 
 @query
 def t5_read_dates(spark, sf):
-    from tillscope.functions import dates as D
 
     return messy_table(spark, sf).select("line_no", F.to_date(D.read_date(F.col("day"), F.lit("day_first"))).alias("read"))
 
 
+def _written_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates in eight shapes, by key; some with a time of day or a zone."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    of = lambda pattern: F.date_format(d, pattern)
+    shapes = (of("d-MMM-yy"), of("d MMM yyyy"), of("EEE MMM dd yyyy"), F.concat(of("EEEE"), F.lit(", "), of("d MMMM yyyy")), F.concat(F.lit("10.30.00 "), of("dd/MM/yy")),
+              F.concat(of("yyyy-MM-dd"), F.lit("T10:30:00+02:00")), F.concat(of("MMMM d, yyyy"), F.lit(" 3:05 PM")), F.concat(of("yyyyMMdd"), F.lit("T101500Z")))
+    cell = shapes[-1]
+    for rest, shape in enumerate(shapes[:-1]):
+        cell = F.when(k % 8 == rest, shape).otherwise(cell)
+    return read_table(spark, sf, "orders").select(k.alias("line_no"), cell.alias("written"))
+
+
+@query
+def t5_written_shapes(spark, sf):
+    return _written_dates(spark, sf).select("line_no", D.read_date(F.col("written"), F.lit("day_first")).cast("string").alias("read"))
+
+
+@query
+def t7_utc_offsets(spark, sf):
+    return _written_dates(spark, sf).groupBy((F.col("line_no") % 8).alias("shape")).agg(F.count_if(D.has_utc_offset(F.col("written"))).alias("offsets"))
+
+
+@query
+def x11_written_format(spark, sf):
+    """A plan's own format, of percent directives."""
+    slashed = messy_table(spark, sf).filter("line_no % 10 = 0").select("line_no", "day")
+    return apply_action(slashed, "parse_datetime", "day", {"format": "%d/%m/%Y"})[0].select("line_no", F.to_date("day").alias("day"))
+
+
 @query
 def t9_first_misread(spark, sf):
     return profile.first_misread(messy_table(spark, sf), "day", "day_first", "MM/dd/yyyy").select("line_no", "cell", day("format_reads"), day("order_reads"))
@@ -399,6 +473,18 @@ def x14_clip_outliers(spark, sf):
     return apply_action(_figures(spark, sf), "clip_outliers_iqr", "price", {"k": 0.2})[0].select("line_no", ro("price"))
 
 
+@query
+def x24_dropped_rows(spark, sf):
+    return dropped_rows_report(_cleaned(spark, sf)[1])
+
+
+@query
+def r6_not_after(spark, sf):
+    """Lines dated by the day before an upload, a clock fourteen hours ahead included, or not dated at all."""
+    cutoff = periods.upload_cutoff(dt.datetime(1998, 1, 1, 11, 0))
+    return periods.not_after(analysis(spark, sf).lines, cutoff).agg(F.count("*").alias("lines"), F.max("txn_day").alias("latest"))
+
+
 @query
 def x23_duplicate_effect(spark, sf):
     """What removing equal rows of the ledger would take; equality ignores the line's number."""
