@@ -485,3 +485,36 @@ add("c19_stratified_sample", MARKS + """, f AS (SELECT line_no, row_number() OVE
   ch AS (SELECT DISTINCT line_no FROM f WHERE position <= 40 ORDER BY line_no LIMIT 250), grid AS (SELECT DISTINCT CAST(floor(i * (SELECT max(line_no) FROM m) / 499) AS BIGINT) AS line_no FROM range(500) t(i)),
   pk AS (SELECT line_no, min(pr) AS pr FROM (SELECT line_no, 0 AS pr FROM ch UNION ALL SELECT line_no, 1 FROM grid) GROUP BY 1), ps AS (SELECT line_no FROM pk ORDER BY pr, line_no LIMIT 500)
   SELECT m.line_no, m.day, m.price FROM m JOIN ps ON m.line_no = ps.line_no""")
+
+# --- figures of every nation
+BY_NATION = PN + f""", core AS MATERIALIZED (SELECT nation, month, {CORE} FROM lines WHERE counted GROUP BY nation, month),
+  cn AS MATERIALIZED (SELECT nation, CAST(m AS DATE) AS month, cur FROM (SELECT pn.*, unnest(generate_series(date_trunc('month', data_start), date_trunc('month', data_end), INTERVAL 1 MONTH)) AS m FROM pn)
+    WHERE CAST(m AS DATE) >= data_start AND last_day(CAST(m AS DATE)) <= data_end),
+  v AS MATERIALIZED (SELECT pn.nation, a.revenue AS r1, b.revenue AS r0, CAST(a.orders AS DOUBLE) AS o1, CAST(b.orders AS DOUBLE) AS o0, CAST(a.buyers AS DOUBLE) AS c1, CAST(b.buyers AS DOUBLE) AS c0, a.units AS u1, b.units AS u0,
+    a.orders / a.buyers AS f1, b.orders / b.buyers AS f0, a.revenue / a.orders AS a1, b.revenue / b.orders AS a0, a.refund_lines + b.refund_lines AS refunds
+    FROM pn JOIN core a ON a.nation = pn.nation AND a.month = cur JOIN core b ON b.nation = pn.nation AND b.month = prev),
+  e AS MATERIALIZED (SELECT *, (c1 - c0) * (2 * f0 * a0 + f0 * a1 + f1 * a0 + 2 * f1 * a1) / 6 AS pc, (f1 - f0) * (2 * c0 * a0 + c0 * a1 + c1 * a0 + 2 * c1 * a1) / 6 AS pf,
+    (a1 - a0) * (2 * c0 * f0 + c0 * f1 + c1 * f0 + 2 * c1 * f1) / 6 AS pa, (o1 - o0) * (a0 + a1) / 2 AS po, (a1 - a0) * (o0 + o1) / 2 AS p2,
+    CAST(round(CAST(r0 AS DECIMAL(28, 6)) * 100) AS BIGINT) AS w0, CAST(round(CAST(r1 AS DECIMAL(28, 6)) * 100) AS BIGINT) AS w1, u0 > 0 AND u1 > 0 AND a1 <> a0 AS basket FROM v)"""
+over_lines("a6_masked_shift_by_nation", BY_NATION + """, h AS (SELECT cn.nation, cn.month FROM cn WHERE month < cur QUALIFY row_number() OVER (PARTITION BY nation ORDER BY month DESC) <= 24),
+  ty AS (SELECT h.nation, median(abs(revenue)) AS t FROM h JOIN core ON core.nation = h.nation AND core.month = h.month WHERE revenue <> 0 GROUP BY 1), x AS (SELECT *, (abs(pc) + abs(pf) + abs(pa)) / abs(r1 - r0) AS g FROM e)
+  SELECT x.nation, round(t, 2) AS typical, round(g, 4) AS gross_to_net,
+    abs(r1 - r0) < 0.25 * greatest(r0, r1) AND g >= 3 AND greatest(po, p2) >= 0.25 * greatest(t, r0, r1) AND least(po, p2) <= -0.25 * greatest(t, r0, r1) AS masked_shift_alert FROM x JOIN ty ON x.nation = ty.nation""")
+over_lines("a8_bars_sum_to_the_cent", BY_NATION + "SELECT nation, CAST(CASE WHEN basket THEN 4 ELSE 3 END AS BIGINT) AS bars, w1 - w0 AS cents, w1 - w0 AS change_cents FROM e WHERE least(w0, w1) > 0")
+# Bars in whole cents by largest remainders; with refunds in either month the basket is not split.
+over_lines("v4_waterfall", BY_NATION + """, f AS (SELECT nation, unnest([1, 2, 4, 5, 6]) AS position, unnest(['customers', 'frequency', 'aov', 'units_per_order', 'price_per_unit']) AS factor, basket AND refunds = 0 AS split, w1 - w0 AS change,
+    unnest([pc, pf, pa, pa * ((u1 / o1 - u0 / o0) * (r0 / u0 + r1 / u1) / 2) / (a1 - a0), pa * ((r1 / u1 - r0 / u0) * (u0 / o0 + u1 / o1) / 2) / (a1 - a0)]) AS effect FROM e WHERE least(w0, w1) > 0),
+  b AS (SELECT *, CAST(effect AS DECIMAL(28, 10)) * 100 AS exact FROM f WHERE position <= 2 OR (position = 4) <> split),
+  r AS (SELECT *, CAST(floor(exact) AS BIGINT) AS low, exact - floor(exact) AS rest FROM b), l AS (SELECT *, change - sum(low) OVER (PARTITION BY nation) AS missing FROM r),
+  d AS (SELECT *, low + CASE WHEN missing > 0 AND effect <> 0 AND row_number() OVER (PARTITION BY nation ORDER BY effect <> 0 DESC, rest DESC, position) <= missing THEN 1
+      WHEN missing < 0 AND effect <> 0 AND NOT (effect > 0 AND low <= 0) AND row_number() OVER (PARTITION BY nation ORDER BY effect <> 0 AND NOT (effect > 0 AND low <= 0) DESC, rest, position DESC) <= -missing THEN -1 ELSE 0 END AS cents FROM l),
+  s AS (SELECT *, CAST(sum(cents) OVER (PARTITION BY nation ORDER BY position) AS BIGINT) AS upto FROM d)
+  SELECT nation, CAST(position AS INTEGER) AS position, factor, CAST(upto - cents AS BIGINT) AS start_cents, upto AS end_cents FROM s
+  UNION ALL SELECT nation, 99, 'change', 0, max(change) FROM s GROUP BY nation""")
+over_lines("f11_forecast_status", BY_NATION + """, w AS (SELECT cn.nation, datediff('month', cn.month, cur) AS back, row_number() OVER (PARTITION BY cn.nation ORDER BY cn.month DESC) - 1 AS k FROM cn JOIN core ON core.nation = cn.nation AND core.month = cn.month WHERE cn.month <= cur)
+  SELECT pn.nation, count(k) AS months_used, count(k) < 3 AS insufficient_history FROM pn LEFT JOIN w ON w.nation = pn.nation AND k = back GROUP BY 1""")
+add("c21_rows_to_show", CLEAN + """, k AS (SELECT *, count(*) OVER (PARTITION BY order_id, status, dropped) > 1 AS dup FROM c),
+  x AS (SELECT line_no, unnest(CASE WHEN dropped THEN ['dropped'] ELSE list_filter([CASE WHEN failed THEN 'f' END, CASE WHEN dup THEN 'd' END, CASE WHEN priority <> old_priority THEN 'p' END,
+      CASE WHEN CAST(qty AS VARCHAR) IS DISTINCT FROM old_qty THEN 'q' END, CASE WHEN status <> old_status THEN 's' END], lambda x: x IS NOT NULL) END) AS effect FROM k),
+  f AS (SELECT DISTINCT min(line_no) OVER (PARTITION BY effect) AS line_no FROM x)
+  SELECT line_no, CASE WHEN line_no IN (SELECT line_no FROM f) THEN 0 WHEN line_no IN (SELECT line_no FROM x) THEN 1 ELSE 2 END AS priority FROM k ORDER BY 2, 1 LIMIT 20""")
