@@ -108,13 +108,16 @@ def new_vs_returning(lines: DataFrame, period: DataFrame, scope: list[str] | Non
 # --- walk-in placeholders ------------------------------------------------------------------------
 
 
+# "Not available", blanks left out.
+NOT_AVAILABLE = tuple(mark + text + dot for text in ("na", "n.a", "n/a") for mark in ("", "#") for dot in ("", "."))
+
+
 def is_placeholder_word(identity: Column) -> Column:
     words = "|".join(PLACEHOLDER_WORDS)
     number = F.trim(identity).try_cast("double")
     return (
         ~identity.rlike(r"[\p{L}\p{N}]") | F.coalesce(number <= 0, F.lit(False)) | (identity == "customer")
-        # "n/a" however it is pointed: the letters alone are "na", with one mark between them at most.
-        | ((F.translate(identity, "#./ \t", "") == "na") & (F.length(F.translate(identity, "# \t", "")) <= 4) & ~identity.rlike("[./].*[./].*a|^.+#")) | identity.rlike(rf"(?U)(?<!\p{{L}})(?:{words})s?(?!\p{{L}})") | identity.rlike("散客")
+        | F.translate(identity, " \t", "").isin(*NOT_AVAILABLE) | identity.rlike(rf"(?U)(?<!\p{{L}})(?:{words})s?(?!\p{{L}})") | identity.rlike("散客")
     )
 
 
