@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.common import components, mixed, small_batches, texts_of, written
 from tillscope.llm.shingles import alike, shingle_sets, slices
+from tillscope.llm.words import forget
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,7 @@ def minhashes(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 def _sketch(tensor: Tensor):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for first, last in slices(texts):

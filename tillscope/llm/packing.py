@@ -161,7 +161,7 @@ def pack(df: DataFrame, path: str, packing: Packing | None = None, doc_id: str =
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept(("pack", path), lambda: WordTable(word_encoder(path), packing.known_words))
+        words = kept(("packing", path), lambda: WordTable(word_encoder(path), packing.known_words))
         numbers, groups = task_ids(), task_ids()
         keys, docs, held = [], [], 0
         for batch in batches:

@@ -38,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from tillscope.llm.common import bucketed, mixed, packed, small_batches, task_ids, texts_of, unpacked, written
 from tillscope.llm.shingles import prefix_hashes
 from tillscope.llm.suffix_sort import SHALLOW_WORDS, sort_suffixes
+from tillscope.llm.words import forget
 
 UNIQUE, REPEATED, OPEN, SHOWN = range(4)  # answers on a context: alone; repeats; to be compared; repeats and is compared with
 
@@ -120,6 +121,7 @@ def _pack(repeats: Repeats, kind: pa.DataType):  # noqa: ANN202
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.binary()), pa.array([blob], pa.binary())], ["chunk", "ids", "sizes", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         numbers, ids, texts, held = task_ids(), [], [], 0
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
@@ -338,7 +340,7 @@ def _cut(repeats: Repeats, groups: int, with_text: bool, schema: pa.Schema):  #
                         spans.append([a, b])
                 body = b"".join(raw[a:b] for a, b in zip([bounds[i], *(s[1] for s in spans)], [*(s[0] for s in spans), bounds[i + 1]], strict=True))
                 size = bounds[i + 1] - bounds[i]
-                rows.append((doc_id, size, size - len(body), len(spans), hashlib.sha256(body).hexdigest(), *([body] if with_text else [])))
+                rows.append((doc_id, size, size - len(body), len(spans), hashlib.sha256(body).hexdigest(), *([body.decode("utf-8", "ignore")] if with_text else [])))
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -346,7 +348,10 @@ def _cut(repeats: Repeats, groups: int, with_text: bool, schema: pa.Schema):  #
 
 
 def remove_repeats(documents: DataFrame, repeats: Repeats | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of (doc_id, text); ``with_text`` adds the kept bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of (doc_id, text).
+
+    ``with_text`` adds what is kept as text; bytes of a letter that a cut has split are dropped with it.
+    """
     small_batches(documents.sparkSession)
     repeats = repeats or Repeats()
     key = documents.schema["doc_id"].dataType
@@ -363,23 +368,15 @@ def remove_repeats(documents: DataFrame, repeats: Repeats | None = None, with_te
     both = answers.unionByName(compared)
     result = T.StructType([T.StructField("doc_id", key), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     if with_text:
-        result = result.add("kept", T.BinaryType())
+        result = result.add("text", T.StringType())
     return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_cut(repeats, groups, with_text, to_arrow_schema(result)), result)
 
 
 def cut_repeats(documents: DataFrame, repeats: Repeats | None = None) -> DataFrame:
     """The documents with repeated passages cut from their texts; every other column passes through. No row is dropped.
 
-    Bytes of a letter that a cut has split are dropped with it. A null text becomes an empty one.
+    A null text becomes an empty one.
     """
     others = [c for c in documents.columns if c != "text"]
     cut = remove_repeats(documents.select(F.struct(*others).alias("doc_id"), "text"), repeats, with_text=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    schema = T.StructType([cut.schema["doc_id"], T.StructField("text", T.StringType())])
-    whole = cut.select("doc_id", "kept").mapInArrow(run, schema).select("doc_id.*", "text")
-    return whole.select(*documents.columns)
+    return cut.select("doc_id.*", "text").select(*documents.columns)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import ASCII_LOWER, small_batches, texts_of
+from tillscope.llm.words import forget
 
 
 @dataclass(frozen=True)
@@ -191,6 +192,7 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "score")
     mean, spread, weights = map(np.array, (model.mean, model.spread, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         of = _distances(model.settings, model.ordinary, model.toxic)
         for batch in batches:
             if model.weights:

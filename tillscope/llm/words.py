@@ -1,4 +1,4 @@
-"""Ids of distinct words, kept by a worker process over its tasks."""
+"""Ids of distinct words, each encoded once."""
 
 from __future__ import annotations
 
@@ -54,11 +54,16 @@ class WordTable:
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-_kept: dict[tuple, WordTable] = {}
+_kept: dict[tuple, object] = {}
 
 
-def kept(key: tuple, make: Callable[[], WordTable]) -> WordTable:
-    """The table of this worker process for ``key``."""
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What this worker process made for ``key`` in its first task that asked."""
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
+
+
+def forget() -> None:
+    """Drop what earlier tasks of this worker process have kept; an operator that keeps nothing begins with it."""
+    _kept.clear()
