@@ -7,6 +7,7 @@ follows reads those small tables. The ones several results share are written onc
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -35,6 +36,12 @@ class Analysis:
     def _kept(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label)
 
+    def together(self, *names: str) -> None:
+        """Compute shared tables that do not need one another at the same time: each is a small job that leaves most cores idle."""
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            for done in [pool.submit(getattr, self, name) for name in names]:
+                done.result()
+
     # --- shared small tables ---------------------------------------------------------------------
 
     @cached_property
@@ -234,6 +241,9 @@ class Analysis:
 
 def diagnosis_facts(a: Analysis) -> DataFrame:
     """Join the small results into one row per scope, under the names the hypotheses read."""
+    a.together("period", "core", "labels", "first_purchases")
+    a.together("rows", "product_months", "coverage", "price_check", "flag_check", "levers", "stockouts", "window")
+    a.together("bridge", "product_lens", "product_totals", "ratios")
     s, p = a.scope, a.period
     wide = p.select(*s, "current", "previous", "data_start", "previous_complete", "month_grain")
 
