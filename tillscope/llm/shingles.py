@@ -8,7 +8,7 @@ import numpy as np
 
 from tillscope.llm.common import ASCII_LOWER, mixed
 
-SLICE_BYTES = 2 << 20  # texts hashed together; one longer text is hashed alone
+SLICE_BYTES = 480_000  # texts hashed together; one longer text is hashed alone
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

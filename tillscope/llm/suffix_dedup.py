@@ -54,8 +54,8 @@ class Repeats:
     compared: int = 20_000
 
 
-_SPAN = 1 << 20  # bytes hashed at once; places in them fit 20 bits
-_PLACE = np.uint64(_SPAN - 1)
+_SPAN = 500_000  # bytes hashed at once; places in them fit 20 bits
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 @dataclass

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -67,3 +68,4 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
 def forget() -> None:
     """Drop what earlier tasks of this worker process have kept; an operator that keeps nothing begins with it."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
