@@ -51,13 +51,11 @@ def scaled(df: DataFrame, scale: int = 64, vec_id: str = "vec_id", embedding: st
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    """Vectors as rows, filled up with zeros; whole numbers as doubles where these are exact, else as Python's own."""
+    """Vectors as rows, filled up with zeros; as doubles where their products add up exactly, else as Python's own whole numbers."""
     out = np.zeros((len(vectors), width))
-    big = False
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-        big = big or any(abs(int(c)) > 1 << 22 for c in v) if len(v) and np.abs(out[i]).max() > 1 << 22 else big
-    if not big:
+    if not out.size or np.abs(out).max() ** 2 * width < 2.0**53:
         return out
     exact = np.zeros((len(vectors), width), dtype=object)
     for i, v in enumerate(vectors):
@@ -67,8 +65,9 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 def _partial_scores(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
     """A matrix of queries by candidates for each list."""
-    if q.dtype != x.dtype:
-        q, x = q.astype(object), x.astype(object)
+    if q.dtype != x.dtype or (q.dtype != object and q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2.0**53):
+        q, x = ([[int(c) for c in row] for row in m] for m in (q, x))
+        q, x = np.array(q, dtype=object), np.array(x, dtype=object)
     return [q[:, part] @ x[:, part].T for part in np.array_split(np.arange(q.shape[1]), lists)]
 
 
