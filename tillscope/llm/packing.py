@@ -40,7 +40,7 @@ class Packing:
     end_id: int = 2
     chunk_tokens: int = 2_000_000
     step: int = 32
-    known_words: int = 1_000_000
+    known_words: int = 900_000
 
 
 def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
@@ -155,8 +155,8 @@ def pack(df: DataFrame, path: str, packing: Packing | None = None, doc_id: str =
             for doc, start, n in pieces:
                 rows.append((keys[doc], start, n, len(docs[doc]), number, at, size, names[group], docs[doc][start : start + n].tobytes()))
                 at += n
-        for at in range(0, len(rows), 10_000):
-            columns = list(zip(*rows[at : at + 10_000], strict=True))
+        for at in range(0, len(rows), 1_000):
+            columns = list(zip(*rows[at : at + 1_000], strict=True))
             arrays = [pa.array(columns[0], to_arrow_type(key.dataType)), *(pa.array(c, pa.int64()) for c in columns[1:-1]), pa.array(columns[-1], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
