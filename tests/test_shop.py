@@ -217,8 +217,9 @@ def test_zero_day_excess_matches_the_learner(spark):
     import numpy as np
 
     table = zeros.toPandas().pivot(index="month", columns="weekday", values=["zeros", "days"]).sort_index()
-    learner = trust._Months(table["zeros"].to_numpy(float), table["days"].to_numpy(float), np.array([m.month for m in table.index]))
-    want = learner.left_out(list(range(len(table))), list(range(len(table))), True)
+    learner = trust._Table(table["zeros"].to_numpy(float), table["days"].to_numpy(float), np.array([m.month for m in table.index]))
+    every = np.ones(len(table), dtype=bool)
+    want = learner.excess(every, every, True)
     assert [sql[m] for m in table.index] == pytest.approx(list(want))
     # Closed on Sundays and every August: neither is a gap.
     assert trust.coverage_check(df, p).first().status == "ok"
