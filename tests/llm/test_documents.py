@@ -202,6 +202,30 @@ def test_suffix_order_and_common_prefixes(parts, shared):
         assert c == true or (c == 0 and true <= 40)
 
 
+def test_many_documents_sharing_a_passage_do_not_meet_in_one_group(spark, monkeypatch):
+    """A line of 120 bytes in the same surroundings nowhere, and a passage of 300 bytes: each gives grams a context per document."""
+    rng = random.Random(5)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line, passage = own(120), own(300)
+    rows = [(i, f"{own(rng.randint(150, 260))}{line if i % 2 else passage}{own(rng.randint(150, 260))}") for i in range(600)]
+    repeats = suffix_dedup.Repeats(chunk_bytes=40_000, group_bytes=1_000, compared=50)
+    tables = {}
+
+    def kept(df, label, write=suffix_dedup.written):
+        tables[label] = write(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    found = suffix_dedup.remove_repeats(documents(spark, rows), repeats)
+    assert sorted((tuple(r) for r in found.collect()), key=lambda r: tuple(map(key, r))) == brute_repeats(rows, repeats.length)
+    met = Counter()
+    for r in tables["answers"].where("kind = 0").collect():
+        met[r["group"]] += len(suffix_dedup.unpacked(r["body"], "u1"))
+    # Contexts of a group: those of one gram, and the few of the others that share its number.
+    assert max(met.values()) < 2 * repeats.compared
+    assert "windows" in tables
+
+
 def test_cut_repeats_passes_columns_and_rows(spark):
     rows = texts()
     found = suffix_dedup.cut_repeats(documents(spark, rows))

@@ -13,8 +13,13 @@ have their anchors at the same distance. Consecutive windows with one anchor sha
    neighbours give exactly how far the windows repeat.
 4. Each chunk gets its answers, unites the spans of repeated windows and cuts them from its documents.
 
+Where a passage that many documents share begins or ends, contexts mix shared windows with each document's own surroundings,
+so one gram can have a context for every document. Grams with more than ``compared`` contexts are therefore counted first.
+Their contexts do not meet: each chunk asks about their distinct windows one by one, by two hashes of 64 bits.
+
 Strings are judged on the input: what is cut in one place counts as a repeat for another, so all copies of a passage go.
-Work and memory per group are bounded; a passage that very many documents share is one row per chunk.
+Work and memory per group are bounded: in it a gram has at most ``compared`` contexts and one for each chunk, a window one
+row for each chunk. A passage that very many documents share is one row per chunk.
 
 Defined results: null text is empty; texts shorter than ``length`` stay whole; repeated rows remove each other if long
 enough; a null id is carried like any other; extra columns are ignored; an empty table gives an empty result.
@@ -45,7 +50,10 @@ UNIQUE, REPEATED, OPEN, SHOWN = range(4)  # answers on a context: alone; repeats
 
 @dataclass(frozen=True)
 class Repeats:
-    """Bytes of a repeated string, bytes of a gram, bytes of a chunk, bytes of text behind one group of grams, contexts compared at once."""
+    """Bytes of a repeated string, bytes of a gram, bytes of a chunk, bytes of text behind one group of grams, contexts compared at once.
+
+    A gram with more contexts than these has its windows judged one by one.
+    """
 
     length: int = 200
     gram: int = 64
@@ -56,6 +64,7 @@ class Repeats:
 
 _SPAN = 500_000  # bytes hashed at once; places in them fit 20 bits
 _PLACE = np.uint64((1 << 20) - 1)
+_NONE = np.zeros(0, dtype=np.uint64)
 
 
 @dataclass
@@ -153,13 +162,119 @@ def _distinct(anchors: Anchors, groups: int) -> tuple[np.ndarray, np.ndarray, np
     return order[heads], group[order[heads]], np.diff(np.r_[heads, len(order)]), row
 
 
-def _ask(repeats: Repeats, groups: int):  # noqa: ANN202
-    """One row for each chunk and group: the grams and contexts the chunk holds."""
+def _crowds(repeats: Repeats):  # noqa: ANN202
+    """Grams that have more than one context in a chunk, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, sizes, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "blob")), strict=True):
+            for sizes, blob in zip(*(batch.column(c).to_pylist() for c in ("sizes", "blob")), strict=True):
                 anchors = find_anchors(*_open(blob, sizes), repeats)
+                grams, contexts = np.unique(anchors.gram[_distinct(anchors, 1)[0]], return_counts=True)
+                some = contexts > 1
+                yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(contexts[some].astype(np.int64))], ["gram", "contexts"])
+
+    return run
+
+
+def split_hot(anchors: Anchors, hot: np.ndarray) -> tuple[Anchors, Anchors]:
+    """The anchors at other grams, and those at the hot ones."""
+    at = np.isin(anchors.gram, hot)
+    return tuple(Anchors(*(x[side] for x in (anchors.first, anchors.last, anchors.at, anchors.gram, anchors.context))) for side in (~at, at))
+
+
+@dataclass
+class Windows:
+    """Windows of a chunk's distinct contexts of hot grams: each one's context, place in it and kind; two hashes, group and plurality of each kind."""
+
+    owner: np.ndarray
+    place: np.ndarray
+    kind: np.ndarray
+    keys: np.ndarray
+    group: np.ndarray
+    several: np.ndarray
+    row: np.ndarray  # the distinct context of each anchor
+
+
+def windows_of(data: np.ndarray, hot: Anchors, length: int, groups: int) -> Windows:
+    """The windows of the hot anchors; kinds are numbered by group."""
+    heads, _, count, row = _distinct(hot, 1)
+    windows = hot.last[heads] - hot.first[heads] + 1
+    sizes, upto = windows + length - 1, np.cumsum(windows)
+    owner = np.repeat(np.arange(len(heads)), windows)
+    place = np.arange(len(owner)) - np.repeat(upto - windows, windows)
+    keys, ends, a = np.empty((2, len(owner)), dtype=np.uint64), np.cumsum(sizes), 0
+    while a < len(heads):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + _SPAN, side="right")))
+        part = np.concatenate([data[x : x + n] for x, n in zip(hot.first[heads[a:b]], sizes[a:b], strict=True)])
+        some = slice(upto[a] - windows[a], upto[b - 1])
+        at = (ends[a:b] - sizes[a:b] - ends[a] + sizes[a])[owner[some] - a] + place[some]
+        for key, letters in zip(keys, (part, part ^ np.uint8(0xA5)), strict=True):
+            p, down = prefix_hashes(letters)
+            key[some] = mixed((p[at + length] - p[at]) * down[at])
+        a = b
+    group = (keys[0] % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((keys[1], keys[0], group))
+    sort = keys[:, order]
+    new = np.r_[True, (sort[:, 1:] != sort[:, :-1]).any(axis=0)] if len(order) else np.zeros(0, bool)
+    kind = np.empty(len(order), dtype=np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return Windows(owner, place, kind, sort[:, new], group[order[new]], np.bincount(kind, count[owner]) > 1, row)
+
+
+def _ask_windows(repeats: Repeats, hot: np.ndarray, groups: int):  # noqa: ANN202
+    """One row for each chunk and group of windows: the windows of hot grams the chunk holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sizes, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "blob")), strict=True):
+                data, lengths = _open(blob, sizes)
+                found = windows_of(data, split_hot(find_anchors(data, lengths, repeats), hot)[1], repeats.length, groups)
+                there = np.unique(found.group)
+                for some in np.array_split(there, 1 + len(found.group) // _SPAN):
+                    bounds = [np.searchsorted(found.group, some, side=s).tolist() for s in ("left", "right")]
+                    rows = [(g, chunk, found.keys[:, a:b].tobytes(), found.several[a:b].tobytes()) for g, a, b in zip(some.tolist(), *bounds, strict=True)]
+                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["group", "chunk", "keys", "several"])
+
+    return run
+
+
+def _answer_windows(asked: pd.DataFrame) -> pd.DataFrame:
+    """For each window asked about in a group: whether it repeats."""
+    keys = np.concatenate([np.frombuffer(x, dtype=np.uint64).reshape(2, -1) for x in asked["keys"]], axis=1)
+    several = np.frombuffer(b"".join(asked["several"]), dtype=bool)
+    order = np.lexsort(keys)
+    sort = keys[:, order]
+    kind = np.empty(len(order), dtype=np.int64)
+    kind[order] = np.cumsum(np.r_[True, (sort[:, 1:] != sort[:, :-1]).any(axis=0)]) - 1
+    repeated = ((np.bincount(kind) > 1) | (np.bincount(kind, several) > 0))[kind]
+    cuts = np.cumsum([len(x) for x in asked["several"]])[:-1]
+    return pd.DataFrame({"chunk": asked["chunk"], "group": asked["group"], "kind": 2, "body": [packed(x) for x in np.split(repeated, cuts)]})
+
+
+def _hot_spans(data: np.ndarray, hot: Anchors, answers: pd.DataFrame, length: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last windows of the runs of repeated windows at a chunk's hot anchors."""
+    found = windows_of(data, hot, length, groups)
+    repeated = np.zeros(len(found.group), dtype=bool)
+    for g, body in zip(answers["group"], answers["body"], strict=True):
+        repeated[slice(*np.searchsorted(found.group, [g, g + 1]))] = unpacked(body, "?")
+    bit = repeated[found.kind]
+    joined = bit[1:] & bit[:-1] & (found.owner[1:] == found.owner[:-1])
+    begin, end = np.flatnonzero(bit & ~np.r_[False, joined][: len(bit)]), np.flatnonzero(bit & ~np.r_[joined, False][: len(bit)])
+    runs = np.bincount(found.owner[begin], minlength=int(found.row.max(initial=-1)) + 1)
+    many = runs[found.row]
+    anchor = np.repeat(np.arange(len(many)), many)
+    run = (np.cumsum(runs) - runs)[found.row[anchor]] + np.arange(len(anchor)) - np.repeat(np.cumsum(many) - many, many)
+    return hot.first[anchor] + found.place[begin[run]], hot.first[anchor] + found.place[end[run]]
+
+
+def _ask(repeats: Repeats, groups: int, hot: np.ndarray = _NONE):  # noqa: ANN202
+    """One row for each chunk and group: the grams and contexts the chunk holds, but for hot grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sizes, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "blob")), strict=True):
+                anchors, _ = split_hot(find_anchors(*_open(blob, sizes), repeats), hot)
                 heads, group, count, _ = _distinct(anchors, groups)
                 cuts = np.searchsorted(group, np.arange(groups + 1))
                 rows = [(g, chunk, heads[a:b], count[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
@@ -200,14 +315,14 @@ def _codes(anchors: Anchors, answers: pd.DataFrame, groups: int) -> tuple[np.nda
     return codes, row
 
 
-def _show(repeats: Repeats, groups: int):  # noqa: ANN202
+def _show(repeats: Repeats, groups: int, hot: np.ndarray = _NONE):  # noqa: ANN202
     """One row for each chunk and group: the contexts to be compared."""
 
     def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, chunk in chunks.iterrows():
             data, sizes = _open(chunk["blob"], chunk["sizes"])
-            anchors = find_anchors(data, sizes, repeats)
+            anchors, _ = split_hot(find_anchors(data, sizes, repeats), hot)
             heads, group, _, _ = _distinct(anchors, groups)
             codes, _ = _codes(anchors, answers, groups)
             shown = np.flatnonzero(codes >= OPEN)
@@ -305,7 +420,7 @@ def _compare(repeats: Repeats):  # noqa: ANN202
     return run
 
 
-def _spans(anchors: Anchors, codes: np.ndarray, row: np.ndarray, compared: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _spans(anchors: Anchors, codes: np.ndarray, row: np.ndarray, compared: pd.DataFrame, length: int, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint spans of a chunk that repeated windows cover, in order. Spans of different documents never touch: windows lie inside one."""
     whole = np.isin(codes[row], (REPEATED, SHOWN))
     first, last = [anchors.first[whole]], [anchors.last[whole]]
@@ -313,21 +428,25 @@ def _spans(anchors: Anchors, codes: np.ndarray, row: np.ndarray, compared: pd.Da
         at, a, b = unpacked(body, "<i4").reshape(3, -1).astype(np.int64)
         first.append(anchors.first[at] + a)
         last.append(anchors.first[at] + b)
+    if more:
+        first.append(more[0])
+        last.append(more[1])
     begin, end = np.concatenate(first), np.concatenate(last) + length
     order = np.argsort(begin, kind="stable")
     return begin[order], end[order]
 
 
-def _cut(repeats: Repeats, groups: int, with_text: bool, schema: pa.Schema):  # noqa: ANN202
+def _cut(repeats: Repeats, groups: int, hot: np.ndarray, hot_groups: int, with_text: bool, schema: pa.Schema):  # noqa: ANN202
     """The documents of a chunk without the repeated spans."""
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         given, rows = answers.to_pandas(), []
         for chunk in chunks.to_pylist():
             data, sizes = _open(chunk["blob"], chunk["sizes"])
-            anchors = find_anchors(data, sizes, repeats)
+            anchors, crowded = split_hot(find_anchors(data, sizes, repeats), hot)
             codes, row = _codes(anchors, given[given["kind"] == 0], groups)
-            begin, end = _spans(anchors, codes, row, given[given["kind"] == 1], repeats.length)
+            more = _hot_spans(data, crowded, given[given["kind"] == 2], repeats.length, hot_groups)
+            begin, end = _spans(anchors, codes, row, given[given["kind"] == 1], repeats.length, more)
             bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
             cuts = np.searchsorted(begin, bounds)
             raw = data.tobytes()
@@ -360,16 +479,24 @@ def remove_repeats(documents: DataFrame, repeats: Repeats | None = None, with_te
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(key)), T.StructField("sizes", T.BinaryType()), T.StructField("blob", T.BinaryType())])
     chunks = bucketed(documents.select("doc_id", "text").mapInArrow(_pack(repeats, to_arrow_type(key)), schema), "chunk", buckets, "chunks")
 
-    asked = chunks.select("chunk", "sizes", "blob").mapInArrow(_ask(repeats, groups), "group int, chunk long, gram binary, context binary, several binary")
+    crowds = chunks.select("sizes", "blob").mapInArrow(_crowds(repeats), "gram long, contexts long")
+    crowds = crowds.groupBy("gram").agg(F.sum("contexts").alias("contexts")).where(F.col("contexts") > repeats.compared).toPandas()
+    hot = crowds["gram"].to_numpy(np.int64).view(np.uint64)
+    # A context has at most length - gram + 1 windows, a window two hashes.
+    hot_groups = max(8, int(crowds["contexts"].sum()) * (repeats.length - repeats.gram + 1) * 16 // repeats.group_bytes)
+    asked = chunks.select("chunk", "sizes", "blob").mapInArrow(_ask(repeats, groups, hot), "group int, chunk long, gram binary, context binary, several binary")
     answers = written(asked.groupBy("group").applyInPandas(_answer, "chunk long, group int, kind int, body binary"), "answers")
     shown = chunks.select("chunk", "sizes", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    shown = shown.applyInPandas(_show(repeats, groups), "group int, chunk long, gram binary, numbers binary, body binary")
+    shown = shown.applyInPandas(_show(repeats, groups, hot), "group int, chunk long, gram binary, numbers binary, body binary")
     compared = written(shown.groupBy("group").applyInPandas(_compare(repeats), "chunk long, group int, kind int, body binary"), "compared")
     both = answers.unionByName(compared)
+    if len(hot):
+        windows = chunks.select("chunk", "sizes", "blob").mapInArrow(_ask_windows(repeats, hot, hot_groups), "group int, chunk long, keys binary, several binary")
+        both = both.unionByName(written(windows.groupBy("group").applyInPandas(_answer_windows, "chunk long, group int, kind int, body binary"), "windows"))
     result = T.StructType([T.StructField("doc_id", key), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     if with_text:
         result = result.add("text", T.StringType())
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_cut(repeats, groups, with_text, to_arrow_schema(result)), result)
+    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_cut(repeats, groups, hot, hot_groups, with_text, to_arrow_schema(result)), result)
 
 
 def cut_repeats(documents: DataFrame, repeats: Repeats | None = None) -> DataFrame:
