@@ -477,6 +477,7 @@ over_lines("s9_sample_customers", """SELECT customer, order_id, product_key, amo
 add("t5_written_shapes", """SELECT o_orderkey AS line_no, strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderkey % 8 WHEN 4 THEN ' 10:30:00' WHEN 5 THEN ' 10:30:00' WHEN 6 THEN ' 15:05:00' WHEN 7 THEN ' 10:15:00' ELSE ' 00:00:00' END AS read FROM orders""")
 add("t7_utc_offsets", "SELECT o_orderkey % 8 AS shape, count(CASE WHEN o_orderkey % 8 IN (5, 7) THEN 1 END) AS offsets FROM orders GROUP BY 1")
 add("x11_written_format", "SELECT o_orderkey AS line_no, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 10 = 0")
+add("x11_written_format_marks", M + "SELECT line_no, CASE WHEN line_no % 10 = 0 THEN true_day END AS day, line_no % 10 <> 0 AS invalid_date FROM m")
 add("x24_dropped_rows", M + """SELECT 'drop_rows_missing' AS action, 'price' AS "column", count(*) AS rows FROM m WHERE price IS NULL""")
 over_lines("r6_not_after", "SELECT count(*) AS lines, max(txn_day) AS latest FROM lines WHERE txn_day IS NULL OR txn_day <= DATE '1998-01-02'")
 add("c19_stratified_sample", MARKS + """, f AS (SELECT line_no, row_number() OVER (PARTITION BY kind ORDER BY line_no) AS position FROM (

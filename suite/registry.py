@@ -286,9 +286,15 @@ def t7_utc_offsets(spark, sf):
 
 @query
 def x11_written_format(spark, sf):
-    """A plan's own format, of percent directives."""
-    slashed = messy_table(spark, sf).filter("line_no % 10 = 0").select("line_no", "day")
-    return apply_action(slashed, "parse_datetime", "day", {"format": "%d/%m/%Y"})[0].select("line_no", F.to_date("day").alias("day"))
+    """A plan's own format, of percent directives: the lines of the whole table that it reads."""
+    return x11_written_format_marks(spark, sf).filter("day is not null").select("line_no", "day")
+
+
+@query
+def x11_written_format_marks(spark, sf):
+    """The same on every line: the day read, and the mark of a cell the format does not read."""
+    out = apply_action(messy_table(spark, sf).select("line_no", "day"), "parse_datetime", "day", {"format": "%d/%m/%Y"})[0]
+    return out.select("line_no", F.to_date("day").alias("day"), F.col("__flag_invalid_date__day").alias("invalid_date"))
 
 
 @query

@@ -20,6 +20,15 @@ def test_matches_the_second_engine(spark, sf, name):
     assert compare(spark, sf, [name])[name].startswith("ok")
 
 
+def test_a_written_format_meets_every_shape(spark, sf):
+    """Cells in other shapes reach the action, become missing and are marked."""
+    names = ["x11_written_format", "x11_written_format_marks"]
+    assert all(v.startswith("ok") for v in compare(spark, sf, names).values())
+    marks = QUERIES["x11_written_format_marks"](spark, sf)
+    shapes = {r["shape"]: r["invalid_date"] for r in marks.select((F.col("line_no") % 10).alias("shape"), "invalid_date").distinct().collect()}
+    assert shapes == {shape: shape != 0 for shape in range(10)}
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 150
 
