@@ -266,6 +266,16 @@ def test_a_changed_weight_moves_keys_only_between_changed_subtrees(spark):
 # --- packing and BPE
 
 
+def test_packing_matches_added_tokens_as_written(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = list(enumerate(["a <|ENDOFTEXT|> b", "A <|EndOfText|>B C", "a <|endoftext|> B", "X<|STARTOFTEXT|><|endoftext|>y", "<|endoftext|>|<|ENDOFTEXT|>", "A B"]))
+    tokenizer = Tokenizer.from_file(path)
+    pieces = packing.pack(documents(spark, rows), path).collect()
+    for i, text in rows:
+        ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(pieces, key=lambda r: r["start"]) if r["doc_id"] == i])
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing(spark):
     rows = [(i, t) for i, (_, t) in enumerate(texts())]
     path = public_tokenizers.path("word_bpe_49k.json")

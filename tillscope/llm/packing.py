@@ -72,6 +72,21 @@ def word_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndar
     return encode
 
 
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    """The contents of the tokenizer's added tokens, in small letters."""
+    return tuple(t.content.encode().translate(ASCII_LOWER) for t in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
+def words_of(text: bytes, added: tuple[bytes, ...]) -> list[bytes]:
+    """The words of a text in small letters. A word that then holds an added token stays as it is: those are matched as written."""
+    small = text.translate(ASCII_LOWER)
+    words = small.split()
+    if any(a in small for a in added):
+        # Small letters stand where the others stood, so both texts have the same words.
+        return [w if any(a in s for a in added) else s for w, s in zip(text.split(), words, strict=True)]
+    return words
+
+
 def _powers(n: int) -> list[int]:
     """The powers of two that sum to ``n``, largest first."""
     return [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
@@ -162,10 +177,11 @@ def pack(df: DataFrame, path: str, packing: Packing | None = None, doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept(("packing", path), lambda: WordTable(word_encoder(path), packing.known_words))
+        added = kept(("packing-added", path), lambda: added_tokens(path))
         numbers, groups = task_ids(), task_ids()
         keys, docs, held = [], [], 0
         for batch in batches:
-            split = [t.translate(ASCII_LOWER).split() for t in texts_of(batch.column(text))]
+            split = [words_of(t, added) for t in texts_of(batch.column(text))]
             for k, ids in zip(batch.column(doc_id).to_pylist(), words.batch(split), strict=True):
                 keys.append(k)
                 docs.append(np.append(ids, packing.end_id).astype("<u4"))
