@@ -91,6 +91,18 @@ def test_recall_of_the_default_reach(spark):
     assert found >= 0.9 * 1_200
 
 
+def test_all_links_in_many_cells_of_few_dimensions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1_000, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for threshold in (0.9, 0.8):
+        found = embed_dedup.near_duplicates(df, embed_dedup.Cells(threshold=threshold, cell_rows=10)).agg({"n_links": "sum"}).first()[0]
+        assert found == int((u @ u.T >= threshold).sum()) - len(u)
+
+
 def test_unite_keeps_smallest_labels():
     rng = random.Random(2)
     pairs = np.array([(rng.randrange(50), rng.randrange(50)) for _ in range(30)])

@@ -3,9 +3,8 @@
 Equal vectors are first made one row with a count. Centroids are fitted by spherical k-means on a bounded sample
 (``Cells.sample`` rows of smallest hash); every vector is indexed: it lives in the cell of its nearest centroid and visits
 each earlier cell whose border is within ``reach`` of it. Two linked vectors of different cells lie on either side of the
-border between them, at most sqrt(2 - 2 * threshold) apart, so ``reach`` = 0.447 finds every link at threshold 0.9; the
-difference of two vectors rarely points straight across a border, which is why a smaller default finds nearly all of
-them (the tests measure recall against brute force).
+border between them, at most sqrt(2 - 2 * threshold) apart. That is the reach unless another is set, so every link is found;
+a smaller one visits fewer cells and misses links, the more the fewer dimensions there are.
 
 Cells are cut into blocks, each pair of blocks is one bounded group, and a group gives only a count per vector and a
 spanning forest of its links, never the pairs. Components are then joined over all groups.
@@ -31,12 +30,12 @@ from tillscope.llm.common import components, written
 
 @dataclass(frozen=True)
 class Cells:
-    """Threshold of a link; rows aimed at per cell and the most cells; how near a border is visited across; rows of a block; rows of the sample."""
+    """Threshold of a link; rows aimed at per cell and the most cells; how near a border is visited across (none: near enough for every link); rows of a block; rows of the sample."""
 
     threshold: float = 0.9
     cell_rows: int = 2_048
     most_cells: int = 1_024
-    reach: float = 0.2
+    reach: float | None = None
     block_rows: int = 4_096
     sample: int = 16_384
     rounds: int = 8
@@ -147,7 +146,8 @@ def near_duplicates(embeddings: DataFrame, cells: Cells | None = None) -> DataFr
     unit = _unit_rows(pa.array(sample, pa.list_(pa.float64())), width) if sample else np.zeros((0, width))
     centroids = fit_centroids(unit, max(1, min(cells.most_cells, n // cells.cell_rows)), cells.rounds)
 
-    placed = classes.select("node", "copies", "e").mapInArrow(_in_cells(centroids, cells.reach), "cell int, home boolean, node long, copies long, x binary")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cells.threshold))) + 1e-9 if cells.reach is None else cells.reach
+    placed = classes.select("node", "copies", "e").mapInArrow(_in_cells(centroids, reach), "cell int, home boolean, node long, copies long, x binary")
     placed = written(placed, "cells")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / cells.block_rows).cast("int").alias("blocks"))
     # One row per cell, at most ``most_cells`` of them.
