@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, embed_dedup, katz, minhash_dedup, packing, sharding, suffix_dedup, topk, toxicity, warc
+from tillscope.llm import alignment, bpe, embed_dedup, katz, minhash_dedup, packing, quality, sharding, suffix_dedup, topk, toxicity, vector_codes, warc
 from tillscope.llm.common import table
 
 
@@ -53,8 +53,27 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf, "documents", "doc_id", "text", "lang", "source"))
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents", "doc_id", "text")
+    return alignment.alignment_digests(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_REGISTERED = (
+    op1_top_k, op2_warc, op3_embedding_dedup, op4_minhash_dedup, op5_suffix_dedup, op6_sharding, op7_packing, op8_byte_bpe, op9_katz,
+    op10_toxicity, op11_vector_codes, op12_quality_rules, op13_alignment,
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_warc, op3_embedding_dedup, op4_minhash_dedup, op5_suffix_dedup, op6_sharding, op7_packing, op8_byte_bpe, op9_katz, op10_toxicity)
+    f.__name__: f for f in _REGISTERED
 }
 
-ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op4_minhash_dedup": minhash_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op4_minhash_dedup": minhash_dedup.ORACLE,
+                           "op11_vector_codes": vector_codes.ORACLE, "op12_quality_rules": quality.ORACLE}
