@@ -46,8 +46,8 @@ _CUT = re.compile(f"(?<=[{_VISIBLE}])(?=[ \n][{_VISIBLE}])")
 class Alignment:
     """Segments a worker keeps; links of a chunk; bytes of documents per bucket of the chunk table."""
 
-    known_segments: int = 800_000
-    chunk_links: int = 2_000_000
+    known_segments: int = 300_000
+    chunk_links: int = 1_000_000
     bucket_bytes: int = 48 << 20
 
 
@@ -254,11 +254,10 @@ def _shares(n_a: int, n_b: int, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple
     return np.arange(n_a) + before_b[group_a], np.arange(n_b) + before_a[group_b]
 
 
-def _digests(path_a: str, path_b: str, alignment: Alignment, key: pa.DataType):  # noqa: ANN202
-    """Chunks of documents: their counts, digests, distinct linked pairs with counts, and which pair each link is."""
+def _digests(size_a: int, size_b: int, alignment: Alignment, key: pa.DataType):  # noqa: ANN202
+    """Chunks of documents: their counts, digests, distinct linked pairs with counts, and which pair each link is. Sizes are those of the vocabularies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_a, size_b = kept(("alignment-sizes", path_a, path_b), lambda: (len(Byte(path_a).bytes), len(Piece(path_b).bytes)))
         written_a, written_b = [str(i).encode() for i in range(size_a)], [str(i).encode() for i in range(size_b)]
         # Each token as it stands before a comma, and as the last of its side of a group.
         texts = [x + s for some, end in ((written_a, b"|"), (written_b, b";")) for s in (b",", end) for x in some]
@@ -320,7 +319,8 @@ def alignment_digests(documents: DataFrame, path_a: str, path_b: str, alignment:
     aligned = align(documents, path_a, path_b, alignment).select("doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     schema = T.StructType([*_CHUNK.fields, T.StructField("ids", T.ArrayType(key))])
-    chunks = bucketed(aligned.mapInArrow(_digests(path_a, path_b, alignment, to_arrow_type(key)), schema), "chunk", max(8, size // alignment.bucket_bytes), "alignment")
+    digests = _digests(len(Byte(path_a).bytes), len(Piece(path_b).bytes), alignment, to_arrow_type(key))
+    chunks = bucketed(aligned.mapInArrow(digests, schema), "chunk", max(8, size // alignment.bucket_bytes), "alignment")
 
     asked = chunks.select(F.col("chunk").alias("asker"), F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("asker", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     totals = asked.groupBy("pair").agg(F.sum("times").alias("total"))
