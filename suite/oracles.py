@@ -39,6 +39,9 @@ def over_lines(name: str, sql: str) -> None:
 
 add("s1_read_text_csv", M + """SELECT count(*) AS row_count, count(*) AS line_numbers, count(*) AS distinct_lines, count(order_id) AS n_order_id,
   count(day) AS n_day, count(price) AS n_price, count(qty) AS n_qty, count(status) AS n_status, count(priority) AS n_priority, count(contact) AS n_contact FROM m""")
+add("s1_quoted_records", """SELECT o_orderkey AS order_key, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority || chr(10) || chr(10) || o_orderstatus
+  WHEN 1 THEN 'say "' || o_orderpriority || '",' || chr(10) || 'then ""' WHEN 2 THEN 'a,b;' || o_orderstatus WHEN 3 THEN o_orderstatus || '5" wide' ELSE o_orderpriority END AS note,
+  o_custkey AS customer FROM orders""")
 add("s5_iso_dates", """SELECT CAST(CASE WHEN src = 'o' THEN 10 WHEN micro THEN 26 WHEN clock THEN 19 ELSE 10 END AS INTEGER) AS width, count(*) AS cells FROM (
   SELECT 'o' AS src, FALSE AS micro, FALSE AS clock FROM orders UNION ALL
   SELECT 'e', (SELECT bool_or(microsecond(ts) % 1000000 <> 0) FROM events), (SELECT bool_or(CAST(ts AS TIME) <> TIME '00:00:00') FROM events) FROM events) GROUP BY 1""")

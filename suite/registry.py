@@ -104,6 +104,24 @@ def s1_read_text_csv(spark, sf):
                     *[F.count(c).alias(f"n_{c}") for c in MESSY])
 
 
+@query
+def s1_quoted_records(spark, sf):
+    """Orders with notes that hold line breaks, blank lines, quotes and delimiters, every cell read back; files without any lie beside them."""
+    def make() -> DataFrame:
+        path = f"{shared_folder(spark)}/quoted-{dt.datetime.now().timestamp()}"
+        o, k = read_table(spark, sf, "orders"), F.col("o_orderkey")
+        note = (F.when(k % 5 == 0, F.concat("o_orderpriority", F.lit("\n\n"), "o_orderstatus")).when(k % 5 == 1, F.concat(F.lit('say "'), "o_orderpriority", F.lit('",\nthen ""')))
+                .when(k % 5 == 2, F.concat(F.lit("a,b;"), "o_orderstatus")).when(k % 5 == 3, F.concat("o_orderstatus", F.lit('5" wide'))).otherwise(F.col("o_orderpriority")))
+        rows = o.select(k.cast("string").alias("key"), note.alias("note"), F.col("o_custkey").cast("string").alias("customer"))
+        writer = lambda part: part.write.mode("append").option("header", "true").option("escape", '"')
+        writer(rows.filter(k % 5 < 3)).csv(path)
+        writer(rows.filter(k % 5 >= 3).select("customer", "note", "key")).option("sep", ";").csv(path)
+        return read_text_csv(spark, path)
+
+    back = _once(spark, ("quoted", sf), make)
+    return back.select(F.col("key").cast("bigint").alias("order_key"), "note", F.col("customer").cast("bigint").alias("customer"))
+
+
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").cast("string").alias("key"), F.concat(F.lit("é"), F.col("o_orderkey") % 7).alias("label"), F.col("o_custkey").cast("string").alias("customer"))

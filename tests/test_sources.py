@@ -1,4 +1,5 @@
 import codecs
+import random
 
 import pytest
 
@@ -79,12 +80,85 @@ def test_delimiter_told_late_and_utf16_in_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_quoted_line_breaks_need_multiline(spark, tmp_path):
+def test_quoted_line_breaks(spark, tmp_path):
     path = write(tmp_path, b'a,b\n"x\ny",1\nz,2\n', "ml.csv")
-    df = csv_text.read_text_csv(spark, path, multiline=True)
+    df = csv_text.read_text_csv(spark, path)
     assert [tuple(r) for r in df.orderBy("line_no").collect()] == [(0, "x\ny", "1"), (1, "z", "2")]
     with pytest.raises(csv_text.UnreadableFile):
-        csv_text.read_text_csv(spark, write(tmp_path, b'a,b\n"x\ny",1,,,5\n', "ml2.csv"), multiline=True)
+        csv_text.read_text_csv(spark, write(tmp_path, b'a,b\n"x\ny",1,,,5\n', "ml2.csv"))
+    with pytest.raises(csv_text.UnreadableFile):
+        csv_text.read_text_csv(spark, write(tmp_path, b'a,b\n"x\ny,1\nz,2\n', "never.csv"))
+    header = csv_text.read_text_csv(spark, write(tmp_path, b'"a\nb";c\r\n1;"2\r\n\r\n;3"\r\n\r\n4;5\r\n', "head.csv"))
+    assert header.columns == ["line_no", "a\nb", "c"]
+    assert [tuple(r) for r in header.orderBy("line_no").collect()] == [(0, "1", "2\r\n\r\n;3"), (1, "4", "5")]
+    ten = b"id,note,n\n" + b"".join(b"%d,plain,%d\n" % (i, i) for i in range(40)) + b'40,"two\nlines",40\n'
+    df = csv_text.read_text_csv(spark, write(tmp_path, ten, "one.csv"))
+    assert df.count() == 41 and df.filter("id = '40'").first()["note"] == "two\nlines"
+    old = csv_text.read_text_csv(spark, write(tmp_path, b'a,b\r1,"x\ry"\r2,z\r', "cr.csv"))
+    assert [tuple(r) for r in old.orderBy("line_no").collect()] == [(0, "1", "x\ry"), (1, "2", "z")]
+
+
+def test_quotes_that_are_letters(spark, tmp_path):
+    body = b'size,n\n5" pipe,1\n6" pipe,2\n"a ""b"" c",3\n"",4\n"""",5\n7"",6\n"x"y"z,7\n'
+    df = csv_text.read_text_csv(spark, write(tmp_path, body, "inch.csv"))
+    assert [r["n"] for r in df.orderBy("line_no").collect()] == [str(i) for i in range(1, 8)]
+    assert [r["size"] for r in df.orderBy("line_no").collect()][:6] == ['5" pipe', '6" pipe', 'a "b" c', None, '"', '7""']
+
+
+def random_csv(rng, rows, newline):
+    """(bytes, cells) of a file with plain, quoted and broken cells."""
+    cells, lines = [], []
+    for i in range(rows):
+        note = "".join(rng.choice(["word ", "x", ",", ";", '"', newline, newline * 2, "é", "|"]) for _ in range(rng.choice([0, 1, 3, 8, 40])))
+        note = "n" + note + "n" if rng.random() < 0.4 else "plain"
+        quoted = any(c in note for c in ',;"|\n\r') or rng.random() < 0.2
+        cells.append((i, str(i), note, str(rng.randrange(9))))
+        lines.append(f'{i},"' + note.replace('"', '""') + f'",{cells[-1][3]}' if quoted else f"{i},{note},{cells[-1][3]}")
+    return (newline.join(["id,note,k", *lines]) + newline).encode(), cells
+
+
+def test_quoted_records_cross_many_blocks(spark, tmp_path):
+    rng = random.Random(11)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for newline in ("\n", "\r\n"):
+        data, cells = random_csv(rng, 500, newline)
+        path = write(tmp_path, data, f"q{len(newline)}.csv")
+        for size in ("400", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                found = sorted(tuple(r) for r in csv_text.read_text_csv(spark, path).collect())
+            finally:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            assert found == cells
+
+
+def test_a_long_quoted_cell_spans_blocks(spark, tmp_path):
+    text = "\n".join(f"line {i}, and \"\"more\"\"" for i in range(1_000))
+    path = write(tmp_path, f'a,b\n1,"{text}"\n2,z\n'.encode(), "span.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = csv_text.read_text_csv(spark, path).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in rows] == [(0, "1", text.replace('""', '"')), (1, "2", "z")]
+
+
+def test_a_folder_of_plain_and_broken_files(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder, b"a,b\n1,2\n3,4\n", "f1.csv")
+    write(folder, b'b;a\n"20\n21";10\n', "f2.csv")
+    write(folder, 'a,b\n"\u6f22\n\u5b57",x\n'.encode("utf-16"), "f3.csv")
+    df = csv_text.read_text_csv(spark, str(folder))
+    assert {(r.a, r.b) for r in df.collect()} == {("1", "2"), ("3", "4"), ("10", "20\n21"), ("\u6f22\n\u5b57", "x")}
+    assert sorted(r.line_no for r in df.collect()) == [0, 1, 2, 3]
+
+
+def test_no_share_of_lines_may_contradict_the_delimiter(spark, tmp_path):
+    for i, body in enumerate((b"a,b\n" + b"1,2\n" * 99 + b"1,2,3\n", b"a,b;c\n" + b"1;2\n" * 5 + b"1,2,3;4;5\n", b"a,b\n1;2\n3;4\n")):
+        with pytest.raises(csv_text.UnreadableFile):
+            csv_text.read_text_csv(spark, write(tmp_path, body, f"no{i}.csv"))
 
 
 def test_line_numbers_follow_many_blocks(spark, tmp_path):
