@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillscope.operators import ranking
 from tillscope.operators.ranking import percentiles, quintiles, share_reached, with_running_total
 
 
@@ -65,3 +66,39 @@ def test_a_hot_value_is_one_row(spark):
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id").cast("double")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     r = percentiles(df, [], "v", "n", {"m": 0.5}).first()
     assert r.m == pytest.approx(np.median([1.0 if i % 3 == 0 else float(i) for i in range(30000)]))
+
+
+def test_crowded_buckets_are_cut_until_none_is(spark, groups, monkeypatch):
+    """Close numbers, nested clusters and one value apart: no bucket above the bound, the same ranks."""
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(ranking, "PER_TASK", 1_000)
+    monkeypatch.setattr(ranking, "MOST_PARTS", 4)
+    near = {"close": [90_000.0 + i / 1_000 for i in range(700)], "nested": [1e6 + 10.0 ** -k * j for k in range(9) for j in range(9)], "far": [1.0, 1e300, -1e300, 5e-324, 0.0] + [3.0 + i * 1e-12 for i in range(90)]}
+    for name, vs in {**groups, **near}.items():
+        df = counts(spark, {name: vs})
+        sizes = ranking.bucketed(df, ["g"], "v").groupBy("g", "__bucket").count()
+        assert sizes.agg(F.max("count")).first()[0] <= 5, name
+    got = percentiles(counts(spark, near), ["g"], "v", "n", {"a": 0.25, "c": 0.9}).collect()
+    for r in got:
+        for name, q in (("a", 25), ("c", 90)):
+            assert r[name] == pytest.approx(np.percentile(near[r.g], q), rel=1e-12, abs=1e-12), (r.g, name)
+    test_running_totals(spark, groups)
+
+
+def test_ten_million_close_numbers(spark):
+    """No window holds more than twice a task's fair share."""
+    n = 10_000_000
+    df = spark.range(90_000_000, 90_000_000 + n).select(F.col("id").cast("double").alias("v"), F.lit(1).cast("long").alias("n"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = ranking.bucketed(df, [], "v")
+    assert placed.groupBy("__bucket").count().agg(F.max("count")).first()[0] <= 2 * n / max(tasks, 8)
+    r = percentiles(df, [], "v", "n", {"m": 0.5, "q": 0.25}).first()
+    assert (r.m, r.q) == (90_000_000 + (n - 1) / 2, 90_000_000 + (n - 1) / 4)
+
+
+def test_decimals_beyond_doubles_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(ranking, "PER_TASK", 1_000)
+    df = spark.range(40).select((F.lit(10).cast("decimal(38,0)") * F.lit(10**16).cast("decimal(18,0)") + F.col("id")).cast("decimal(38,0)").alias("v"), F.lit(1).cast("long").alias("n"))
+    got = sorted((r.v, r.before) for r in with_running_total(df, [], "v", "n").collect())
+    assert [b for _, b in got] == list(range(40))

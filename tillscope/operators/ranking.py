@@ -1,8 +1,10 @@
 """Exact ranks, running totals and percentiles without sorting a whole group in one task.
 
 Values are first placed in order-preserving buckets (any non-decreasing function of the value will
-do). The bucket totals are a small table, bounded per group whatever the data holds, so the running
-total over buckets is cheap; what is left is a running total inside each bucket.
+do), by their logarithm. A bucket that holds more rows than a task's share is cut into equal parts
+between its own smallest and largest value, and this is repeated until none does, so the buckets
+follow the data. The bucket totals are a small table, so the running total over buckets is cheap;
+what is left is a running total inside each bucket.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tillscope.session import materialize
+
 # Bucket width: 1/256 of a natural-log unit above one millionth, so about 0.4 % of the value.
 _SMALLEST, _PER_LOG_UNIT = 1e6, 256
+# Rows that a bucket may hold in any case, buckets that a task's share of the rows is cut into, parts of a bucket in one round.
+BUCKET_ROWS, PER_TASK, MOST_PARTS = 10_000, 4, 1_024
 
 
 def bucket_of(value: Column) -> Column:
@@ -43,12 +49,37 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def bucketed(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``df`` (written) with ``__bucket``, an array whose order is that of the values; one row per group and value.
+
+    A bucket holds at most a quarter of what a shuffle partition gets when rows are dealt evenly, or ``BUCKET_ROWS``. Parts of
+    a bucket are cut in double precision: of values that are one double none is told from another, and they stay together.
+    """
+    number = F.col(value).cast("double")
+    df = materialize(df, "ranked").withColumn("__bucket", F.array(bucket_of(F.col(value))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        sizes = df.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"), F.min(number).alias("__low"), F.max(number).alias("__high"))
+        can = F.col("__low") < F.col("__high")
+        seen = sizes.agg(F.sum("__n").alias("rows"), F.max(F.when(can, F.col("__n"))).alias("most")).first()
+        bound = max(BUCKET_ROWS, (seen.rows or 0) // (PER_TASK * tasks))
+        if (seen.most or 0) <= bound:
+            return df
+        parts = F.least(F.ceil(F.col("__n") * 2 / bound), F.lit(MOST_PARTS))
+        crowded = materialize(sizes.where(can & (F.col("__n") > bound)).select(*group, "__bucket", "__low", "__high", parts.alias("__parts")), "crowded")
+        # The share of the way from low to high never falls as the value rises, whatever doubles round.
+        part = F.least(F.floor((number - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.col("__parts")), F.col("__parts") - 1).cast("long")
+        df = join_same(df, crowded, [*group, "__bucket"], "left")
+        df = df.withColumn("__bucket", F.when(F.col("__parts").isNotNull(), F.concat("__bucket", F.array(part))).otherwise(F.col("__bucket")))
+        df = materialize(df.drop("__low", "__high", "__parts"), "ranked")
+
+
 def with_running_total(df: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
     """Add ``before`` (total weight of lower values in the group) and ``total`` (of the whole group).
 
     ``df`` has one row per group and value.
     """
-    keyed = df.withColumn("__bucket", bucket_of(F.col(value)))
+    keyed = bucketed(df, group, value)
     order = W.partitionBy(*group).orderBy("__bucket")
     buckets = (
         keyed.groupBy(*group, "__bucket").agg(F.sum(weight).alias("__w"))

@@ -260,14 +260,16 @@ def excess_in_month(months: DataFrame, judged: DataFrame, lines: DataFrame, scop
 def price_medians(lines: DataFrame, period: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Median price per product and compared month with at least three lines.
 
-    Prices are counted first (a product's lines combine to its distinct prices), so the median of a
-    product on a third of all lines reads its price list, not its lines.
+    Prices are counted first (a product's lines combine to its distinct prices), and the price list of a product is ranked in
+    buckets, however long it is.
     """
     scope = scope or []
     ours = compared(lines.filter(F.col("counted") & F.col("product_key").isNotNull()), period, scope)
-    counts = ours.groupBy(*scope, "slot", "product_key", "unit_price").agg(F.count("*").alias("n"))
-    return counts.groupBy(*scope, "slot", "product_key").agg(
-        F.expr("percentile(unit_price, 0.5, n)").alias("median_price"), F.sum("n").alias("n")).filter(F.col("n") >= D2_MIN_ROWS)
+    keys = [*scope, "slot", "product_key"]
+    counts = materialize(ours.groupBy(*keys, "unit_price").agg(F.count("*").alias("n")), "prices")
+    enough = counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= D2_MIN_ROWS)
+    medians = percentiles(counts.filter("unit_price is not null"), keys, "unit_price", "n", {"median_price": 0.5})
+    return join_same(enough, medians, keys, "left").select(*keys, "median_price", "n")
 
 
 def price_level_check(lines: DataFrame, period: DataFrame, scope: list[str] | None = None) -> DataFrame:
