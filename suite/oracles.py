@@ -186,6 +186,15 @@ add("x14_clip_outliers", FIG + """, q AS (SELECT quantile_cont(price, 0.25) AS q
 add("x7_remove_duplicates", """SELECT l_suppkey, l_quantity, l_returnflag, min(line_no) AS line_no FROM (SELECT *, row_number() OVER () - 1 AS line_no FROM lineitem) GROUP BY 1, 2, 3""")
 
 # --- classification, orders, products
+add("l2_composed_names", """WITH r AS (SELECT *, CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN chr(233) WHEN 1 THEN 'e' || chr(769) ELSE 'e' || chr(8203) || chr(769) END AS a,
+    CASE l_linenumber % 3 WHEN 0 THEN chr(233) WHEN 1 THEN 'e' || chr(769) ELSE 'e' || chr(8203) || chr(769) END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  raw AS (SELECT 'Caf' || a || ' ' || CAST(l_partkey % 40 AS VARCHAR) AS product, CASE l_linenumber % 2 WHEN 0 THEN chr(201) ELSE 'E' || chr(769) END || 've ' || CAST(o_custkey % 30 AS VARCHAR) AS who,
+    'Soir' || b AS kind, 'N' || b || CAST(l_orderkey AS VARCHAR) AS receipt, l_quantity FROM r),
+  t AS (SELECT product, nfc_normalize(replace(product, chr(8203), '')) AS shown, lower(nfc_normalize(who)) AS who, lower(nfc_normalize(replace(kind, chr(8203), ''))) AS category_key,
+    nfc_normalize(replace(receipt, chr(8203), '')) AS receipt, l_quantity FROM raw)
+  SELECT 'name:' || lower(shown) AS item_key, CASE WHEN shown = 'Caf' || chr(233) || ' 7' THEN 'charge' ELSE 'sale' END AS line_class, category_key, count(*) AS lines,
+    count(DISTINCT who) AS customers, count(CASE WHEN who = chr(233) || 've 3' THEN 1 END) AS placeholders, count(DISTINCT receipt) AS orders, count(DISTINCT product) AS spellings,
+    min(shown) AS shown FROM t GROUP BY 1, 2, 3""")
 over_lines("l2_line_classes", "SELECT line_class, class_source, count(*) AS lines, sum(amount) AS amount FROM lines GROUP BY 1, 2")
 over_lines("l6_candidates", """SELECT item_key, CASE WHEN item_key LIKE 'sku:%' THEN 'sku' ELSE 'product_name' END AS field, CASE WHEN item_key LIKE 'sku:%' THEN sku ELSE name END AS value, name,
   lines, positive, negative, suggested FROM cand WHERE positive <> 0 OR negative <> 0""")

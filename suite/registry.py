@@ -18,7 +18,7 @@ from tillscope.operators import (
 from tillscope.operators.ranking import join_same
 from tillscope.plans.analysis import Analysis
 from tillscope.plans.cleaning import CleaningPlan, Step, apply_action, dropped_rows_report, run_plan
-from tillscope.plans.sales_lines import build_sales_lines
+from tillscope.plans.sales_lines import Answers, Mapping, build_sales_lines
 from tillscope.session import configure, materialize, shared_folder
 from tillscope.sources.csv_text import read_text_csv
 from tillscope.sources.extracts import sample_customers, union_extracts
@@ -524,6 +524,31 @@ def x23_duplicate_effect(spark, sf):
 # --- classification, orders, products ------------------------------------------------------------
 
 
+@query
+def l2_composed_names(spark, sf):
+    """Lines whose product, customer, category and order are written with letter and accent as one character or as two, some with
+    an invisible character between: one identity each."""
+    def make() -> DataFrame:
+        configure(spark)
+        item, order = read_table(spark, sf, "lineitem"), read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        accented = lambda text, k: F.concat(F.lit(text), F.when(k % 3 == 0, "\u00e9").when(k % 3 == 1, "e\u0301").otherwise("e\u200b\u0301"))
+        ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+        rows = item.join(order, ok == F.col("o_orderkey")).select(
+            (ok * 8 + ln).alias("line_no"), F.col("o_orderdate").alias("txn"), F.col("l_quantity").cast("double").alias("quantity"), F.lit(2.0).alias("unit_price"),
+            F.concat(accented("Caf", ok + ln), F.lit(" "), (F.col("l_partkey") % 40).cast("string")).alias("product"),
+            F.concat(F.when(ln % 2 == 0, "\u00c9").otherwise("E\u0301"), F.lit("ve "), (F.col("o_custkey") % 30).cast("string")).alias("who"),
+            accented("Soir", ln).alias("kind"), F.concat(accented("N", ln), ok.cast("string")).alias("receipt"))
+        mapping = Mapping({"transaction_date": "txn", "quantity": "quantity", "unit_price": "unit_price", "product_name": "product", "category": "kind",
+                           "customer": "who", "order_id": "receipt"})
+        answers = Answers(line_classes=(("product_name", "Cafe\u0301 7", "charge"),), customer_placeholders=("E\u0301VE 3",))
+        return build_sales_lines(rows, mapping, [], answers)
+
+    lines = _once(spark, ("accented", sf), make)
+    return lines.groupBy("item_key", "line_class", "category_key").agg(
+        F.count("*").alias("lines"), F.countDistinct("customer_written").alias("customers"), F.count_if("placeholder").alias("placeholders"),
+        F.countDistinct("order_id").alias("orders"), F.countDistinct("product_name").alias("spellings"), F.min("product_label_text").alias("shown"))
+
+
 @query
 def l2_line_classes(spark, sf):
     return analysis(spark, sf).lines.groupBy("line_class", "class_source").agg(F.count("*").alias("lines"), F.sum("amount").alias("amount"))

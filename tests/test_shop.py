@@ -223,3 +223,22 @@ def test_zero_day_excess_matches_the_learner(spark):
     assert [sql[m] for m in table.index] == pytest.approx(list(want))
     # Closed on Sundays and every August: neither is a gap.
     assert trust.coverage_check(df, p).first().status == "ok"
+
+
+def test_composed_and_decomposed_texts_are_one(spark):
+    """A letter with its accent as one character, as two, or as two with an invisible one between."""
+    wide = ["Caf\u00e9", "Cafe\u0301", "Cafe\u200b\u0301", "\u200bCAFE\u0301 "]
+    rows = [dict(Date="2024-01-05", Qty="1", Price="2", Product=w, Cust=w.rstrip() + " Ann", Invoice=f"N{w}", Type=None, SKU=f"S-{w}") for w in wide]
+    answers = Answers(line_classes=(("sku", "s-cafe\u0301", "charge"),), customer_placeholders=("cafe\u0301 ann",))
+    got = lines(spark, rows, answers, {"sku": "SKU", "category": "Product", "order_id": "Invoice"}).collect()
+    assert {(r.item_key, r.line_class, r.customer_written, r.placeholder, r.category_key) for r in got} == {("sku:s-caf\u00e9", "charge", "caf\u00e9 ann", True, "caf\u00e9")}
+    assert {r.name_id for r in got} == {"caf\u00e9"} and {r.order_id for r in got} == {"NCaf\u00e9", "NCAF\u00c9"}
+    assert sorted(r.product_name for r in got) == sorted(wide)
+    plain = lines(spark, [{**rows[0], "Product": "Tea", "Cust": "Bo", "SKU": None}])
+    assert [(r.item_key, r.customer) for r in plain.collect()] == [("name:tea", "bo")]
+
+
+def test_merged_identities_count_compositions(spark):
+    from tillscope.operators import profile
+    df = spark.createDataFrame([("c", "Jos\u00e9", 1), ("c", "Jose\u0301", 2), ("c", "JOSE\u200b\u0301", 1), ("c", "Bo", 1)], "column string, value string, n long")
+    assert [tuple(r) for r in profile.identity_merges(df).collect()] == [("c", 2)]

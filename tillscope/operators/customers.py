@@ -167,5 +167,5 @@ def placeholder_candidates(lines: DataFrame, scope: list[str] | None = None) ->
 def unanswered_placeholders(candidates: DataFrame, confirmed: list[str], rejected: list[str], scope: list[str] | None = None) -> DataFrame:
     """Candidates the user neither confirmed nor called a real customer."""
     answered = candidates.sparkSession.createDataFrame([(v,) for v in [*confirmed, *rejected]], "value string").select(
-        T.customer_identity(F.col("value")).alias("customer")).distinct()
+        T.nfc(T.customer_identity(F.col("value"))).alias("customer")).distinct()
     return candidates.join(answered, "customer", "left_anti")

@@ -296,6 +296,7 @@ def other_transaction_types(lines: DataFrame, period: DataFrame, scope: list[str
         .filter(F.col("value").isNotNull() & ~F.col("value").isin("in", "out", ""))
         .groupBy(*scope, "month", "value", "transaction_type").agg(F.count("*").alias("lines"), F.sum("amount").alias("amount"))
     )
+    counts = T.compose_columns(materialize(counts, "types"), ["value"])
     spelled = counts.groupBy(*scope, "value", "transaction_type").agg(F.sum("lines").alias("n"))
     values = spelled.groupBy(*scope, "value").agg(
         F.min_by("transaction_type", F.struct(-F.col("n"), F.col("transaction_type"))).alias("spelling"), F.sum("n").alias("n"))

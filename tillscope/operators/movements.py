@@ -104,7 +104,8 @@ def split_values(lines: DataFrame, column: str, scope: list[str] | None = None,
     scope = scope or []
     raw = F.col(f"`{column}`").cast("string")
     read = lines.withColumns({
-        "split_key": F.when(~T.is_blank(raw), T.category_key(raw)), "split_label": F.when(~T.is_blank(raw), T.category_text(raw))})
+        "split_label": F.when(~T.is_blank(raw), T.category_text(raw))})
+    read = T.compose_columns(read, ["split_label"]).withColumn("split_key", F.lower("split_label"))
     held = F.col("split_key").isNotNull()
     per_order = read.filter(F.col("counted") & (F.col("orders_basis") == "order_id")).groupBy(*scope, "order_key").agg(
         F.min("line_no").alias("__first"), F.min(F.when(held, F.col("line_no"))).alias("__held0"),

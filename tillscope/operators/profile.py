@@ -308,6 +308,7 @@ def dominant_spellings(counts: DataFrame) -> DataFrame:
 def identity_merges(counts: DataFrame) -> DataFrame:
     """Per column, how many distinct values become one once read as identities."""
     read = counts.filter(~T.is_blank(F.col("value"))).withColumn("id", T.customer_identity(F.col("value")))
+    read = T.compose_columns(read.select("column", "id"), ["id"])
     return read.groupBy("column", "id").agg(F.count("*").alias("raw")).groupBy("column").agg(
         F.sum(F.col("raw") - 1).alias("merged")
     )

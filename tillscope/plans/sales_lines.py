@@ -67,7 +67,7 @@ def _typed(df: DataFrame, mapping: Mapping, scope: list[str], answers: Answers)
     else:
         date = D.plausible(date.cast("timestamp_ntz"))
     text = lambda name: source(name).cast("string")
-    typed = df.select(
+    return df.select(
         *scope, "line_no", date.alias("txn_ts"), number("quantity").alias("quantity"), number("unit_price").alias("unit_price"),
         C.is_stock_in(text("transaction_type")).alias("stock_in"), text("transaction_type").alias("transaction_type"),
         T.product_text(text("product_name")).alias("product_label_text"), T.product_text(text("sku")).alias("sku_label_text"),
@@ -76,6 +76,14 @@ def _typed(df: DataFrame, mapping: Mapping, scope: list[str], answers: Answers)
         T.category_or_null(text("category")).alias("category_label"),
         *[F.col(f"`{c}`") for c in mapping.carry],
     )
+
+
+# Texts that decide which lines are one product, customer, order or category.
+READ_TEXTS = ["product_label_text", "sku_label_text", "order_id", "customer_written", "category_label"]
+
+
+def _keyed(typed: DataFrame) -> DataFrame:
+    """Typed lines with all that follows from their figures, dates and texts."""
     return typed.withColumns({
         "txn_day": F.to_date("txn_ts"), "month": F.trunc(F.to_date("txn_ts"), "MM"),
         "amount": F.col("quantity") * F.col("unit_price"),
@@ -93,7 +101,7 @@ def _answer_table(df: DataFrame, answers: Answers) -> DataFrame:
     rows = [(i, f, v, c) for i, (f, v, c) in enumerate(answers.line_classes)]
     table = df.sparkSession.createDataFrame(rows, "position int, field string, value string, answer string")
     prefix = F.when(F.col("field") == "sku", "sku:").otherwise("name:")
-    keyed = table.withColumn("item_key", F.concat(prefix, T.text_identity(F.col("value")))).filter("item_key is not null")
+    keyed = table.withColumn("item_key", F.concat(prefix, T.fold(T.nfc(T.product_text(F.col("value")))))).filter("item_key is not null")
     return keyed.groupBy("item_key").agg(F.max_by("answer", "position").alias("answer"))
 
 
@@ -143,7 +151,12 @@ def build_sales_lines(df: DataFrame, mapping: Mapping, scope: list[str] | None =
     them parses or joins the source again.
     """
     scope, answers = scope or [], answers or Answers()
-    lines = materialize(_typed(df, mapping, scope, answers), "typed-lines")
+    marks = T.may_compose(*[F.col(c) for c in READ_TEXTS])
+    lines = materialize(_keyed(_typed(df, mapping, scope, answers)).withColumn("__marks", marks), "typed-lines")
+    if not lines.filter("__marks").isEmpty():
+        # Texts are composed once read, so that a mark behind an invisible character meets its letter too.
+        lines = materialize(_keyed(T.compose_columns(lines, READ_TEXTS)), "typed-lines")
+    lines = lines.drop("__marks")
     lines = _with_answers(lines, answers, scope, "sku" in mapping.fields and "product_name" in mapping.fields, suggest)
     line_class = C.classify(F.col("stock_in"), F.col("quantity"), F.col("unit_price"), F.col("amount"), F.col("item"), F.col("item_key"))
     measurable = ~F.col("stock_in") & F.col("quantity").isNotNull() & F.col("unit_price").isNotNull() & (F.abs(F.col("amount")) < float("inf"))
@@ -152,7 +165,7 @@ def build_sales_lines(df: DataFrame, mapping: Mapping, scope: list[str] | None =
     placeholder = F.lit(False)
     if answers.customer_placeholders:
         told = lines.sparkSession.createDataFrame([(p,) for p in answers.customer_placeholders], "value string")
-        told = told.select(F.lower(T.identifier_text(F.col("value"))).alias("__told")).distinct()
+        told = told.select(F.lower(T.nfc(T.identifier_text(F.col("value")))).alias("__told")).distinct()
         lines = lines.join(told, F.col("customer_written") == F.col("__told"), "left")
         placeholder = F.col("__told").isNotNull()
     lines = lines.withColumn("line_class", line_class).withColumns({
