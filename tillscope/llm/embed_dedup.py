@@ -2,9 +2,11 @@
 
 Equal vectors are first made one row with a count. Centroids are fitted by spherical k-means on a bounded sample
 (``Cells.sample`` rows of smallest hash); every vector is indexed: it lives in the cell of its nearest centroid and visits
-each earlier cell whose border is within ``reach`` of it. Two linked vectors of different cells lie on either side of the
-border between them, at most sqrt(2 - 2 * threshold) apart. That is the reach unless another is set, so every link is found;
-a smaller one visits fewer cells and misses links, the more the fewer dimensions there are.
+each earlier cell whose border is within a reach of it. Two linked vectors of different cells meet if the one of the later cell
+visits the earlier. How far that one lies from the border is measured: for links at exactly the threshold in random directions
+around sampled vectors, and for all links that ``Cells.probes`` sampled vectors really have, found by brute force against every
+row. The reach covers ``Cells.hard`` of the former and ``Cells.recall`` of the latter. ``exact`` takes sqrt(2 - 2 * threshold)
+instead, which no link exceeds; it visits most cells when there are many dimensions.
 
 Cells are cut into blocks, each pair of blocks is one bounded group, and a group gives only a count per vector and a
 spanning forest of its links, never the pairs. Components are then joined over all groups.
@@ -30,12 +32,16 @@ from tillscope.llm.common import components, written
 
 @dataclass(frozen=True)
 class Cells:
-    """Threshold of a link; rows aimed at per cell and the most cells; how near a border is visited across (none: near enough for every link); rows of a block; rows of the sample."""
+    """Threshold of a link; rows aimed at per cell and the most cells; how near a border is visited across (none: measured); whether near enough for every link; share of sampled links and of links at the threshold that the measure covers; probed vectors; rows of a block; rows of the sample."""
 
     threshold: float = 0.9
     cell_rows: int = 2_048
     most_cells: int = 1_024
     reach: float | None = None
+    exact: bool = False
+    recall: float = 0.995
+    hard: float = 0.95
+    probes: int = 512
     block_rows: int = 4_096
     sample: int = 16_384
     rounds: int = 8
@@ -84,6 +90,56 @@ def _in_cells(centroids: np.ndarray, reach: float) -> Callable[[Iterator[pa.Reco
     return run
 
 
+def _needed(a: np.ndarray, b: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The reach at which each pair of unit rows meets: 0 in one cell, else how far the row of the later cell lies from the border of the earlier one."""
+    dots = [x @ centroids.T for x in (a, b)]
+    own = [np.argmax(d, axis=1) for d in dots]
+    swap, rows = own[0] < own[1], np.arange(len(a))
+    later, earlier = np.where(swap, own[1], own[0]), np.where(swap, own[0], own[1])
+    there = np.where(swap[:, None], dots[1], dots[0])
+    return (there[rows, later] - there[rows, earlier]) / np.maximum(np.linalg.norm(centroids[later] - centroids[earlier], axis=1), 1e-12)
+
+
+_STEPS = 1_024  # steps of the measured reach between 0 and 1
+
+
+def _probed(probes: np.ndarray, centroids: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(step, links): links of the probes with a task's vectors, by the reach they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.zeros(_STEPS + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                x = _unit_rows(batch.slice(at, 2_000).column("e"), centroids.shape[1])
+                near = x @ probes.T >= threshold
+                rows = np.flatnonzero(near.any(axis=1))
+                for probe in np.flatnonzero(near.any(axis=0)):
+                    mine = rows[near[rows, probe]]
+                    need = _needed(x[mine], np.broadcast_to(probes[probe], x[mine].shape), centroids)
+                    steps += np.bincount(np.ceil(np.minimum(need, 1.0) * _STEPS).astype(np.int64), minlength=_STEPS + 1)
+        used = np.flatnonzero(steps)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(steps[used])], ["step", "links"])
+
+    return run
+
+
+def measured_reach(vectors: DataFrame, sample: np.ndarray, centroids: np.ndarray, cells: Cells) -> float:
+    """The reach that covers the wanted shares of links at the threshold and of the probes' own links."""
+    if len(centroids) < 2:
+        return 0.0
+    a, rng = sample[:4_096], np.random.default_rng(1)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    at_threshold = cells.threshold * a + np.sqrt(max(0.0, 1 - cells.threshold**2)) * side
+    hard = float(np.quantile(_needed(a, at_threshold, centroids), cells.hard))
+    found = vectors.select("e").mapInArrow(_probed(sample[: cells.probes], centroids, cells.threshold), "step int, links long")
+    found = found.groupBy("step").agg(F.sum("links").alias("links")).orderBy("step").collect()  # at most 1,025 rows
+    links = np.cumsum([r["links"] for r in found])
+    own = found[int(np.searchsorted(links, cells.recall * links[-1]))]["step"] / _STEPS if found else 0.0
+    return max(hard, own)
+
+
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining the sets of ``a`` and ``b``, pair by pair; a set's label is its smallest."""
     while True:
@@ -146,7 +202,10 @@ def near_duplicates(embeddings: DataFrame, cells: Cells | None = None) -> DataFr
     unit = _unit_rows(pa.array(sample, pa.list_(pa.float64())), width) if sample else np.zeros((0, width))
     centroids = fit_centroids(unit, max(1, min(cells.most_cells, n // cells.cell_rows)), cells.rounds)
 
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cells.threshold))) + 1e-9 if cells.reach is None else cells.reach
+    if cells.exact:
+        reach = float(np.sqrt(max(0.0, 2 - 2 * cells.threshold))) + 1e-9
+    else:
+        reach = measured_reach(classes, unit, centroids, cells) if cells.reach is None else cells.reach
     placed = classes.select("node", "copies", "e").mapInArrow(_in_cells(centroids, reach), "cell int, home boolean, node long, copies long, x binary")
     placed = written(placed, "cells")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / cells.block_rows).cast("int").alias("blocks"))
