@@ -299,6 +299,40 @@ add("m18_note_figures", """SELECT 'other_transaction_types' AS code, unnest(['re
   UNION ALL SELECT 'returns_booked_as_in', unnest(['revenue','returns','return_rate','aov','units','customers','products','diagnosis'])""")
 
 
+_NONE = "CAST(NULL AS BIGINT) AS orders, CAST(NULL AS BIGINT) AS keys"
+
+
+def _body(name: str) -> str:
+    """A twin's query on lines and figure scopes that an outer WITH already holds."""
+    rest = ORACLES[name].split(LINES)[1].removeprefix(SC).strip()
+    return f"WITH {rest[1:]}" if rest.startswith(",") else rest
+
+
+def _said(name: str, block: str, item: str, values: str) -> str:
+    return f"SELECT figure_scope, '{block}' AS block, {item} AS item, {values} FROM ({_body(name)})"
+
+
+_TERMS = {"gross_sales": "sale", "returns": "returned", "discounts": "line_class = 'discount'", "other_deductions": "line_class IN ('allowance', 'pooled_allowance')",
+          "other_revenue": "charge", "net_revenue": "TRUE", "returns_on_suggested_keys": f"returned AND coalesce({LEAVING}, FALSE)"}
+_FILE = "SELECT count(*) AS a, count(CASE WHEN txn_ts IS NULL AND line_class <> 'unmeasurable' THEN 1 END) AS u, count(CASE WHEN line_class = 'unmeasurable' AND quantity IS NULL THEN 1 END) AS q, count(CASE WHEN line_class = 'unmeasurable' AND quantity IS NOT NULL THEN 1 END) AS p FROM lines"
+_HELD = (LINES + SC).replace("), lines AS (", "), lines AS MATERIALIZED (").replace(", sc AS (", ", sc AS MATERIALIZED (")
+add("m32_file_summary", _HELD + " UNION ALL ".join([
+    *(f"""SELECT i.figure_scope, 'identity' AS block, '{t}' AS item, n AS lines, {t} AS amount, CAST(0 AS BIGINT) AS without_amount, {_NONE} FROM ({_body("m9_revenue_identity")}) i
+      JOIN (SELECT figure_scope, count(CASE WHEN {cond} THEN 1 END) AS n FROM sc WHERE counted GROUP BY 1) c ON c.figure_scope = i.figure_scope""" for t, cond in _TERMS.items()),
+    _said("m10_outside_revenue", "outside_revenue", "concat_ws('/', line_class, sign)", f"lines, amount, lines_without_amount AS without_amount, {_NONE}"),
+    _said("m14_returns_booked_as_in", "returns_booked_as_in", "measure", f"lines, amount, CASE WHEN measure = 'unknown' THEN lines ELSE 0 END AS without_amount, {_NONE}"),
+    _said("m16_unconfirmed_deductions", "unconfirmed_deductions", "'all'", f"lines, amount, CAST(0 AS BIGINT) AS without_amount, {_NONE}"),
+    *(f"SELECT 'file', '{b}', '{i}', {v}, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), {_NONE} FROM ({_FILE})" for b, i, v in (
+        ("lines", "all", "a"), ("lines", "undated", "u"), ("unmeasurable", "no quantity", "q"), ("unmeasurable", "no price", "p"), ("unmeasurable", "amount too large to add", "CAST(0 AS BIGINT)"))),
+    *(f"SELECT 'file', 'customers', '{i}', {v}, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), {_NONE} FROM (SELECT count(CASE WHEN receipt_fillable AND customer IS NULL AND NOT placeholder THEN 1 END) AS a, count(CASE WHEN placeholder AND counted AND customer IS NULL THEN 1 END) AS b FROM lines)"
+      for i, v in (("unfilled receipt lines", "a"), ("placeholder lines", "b"))),
+    _said("m13_same_day_cancellations", "same_day_cancellations", "measure", "lines, amount, CAST(NULL AS BIGINT), orders, CAST(NULL AS BIGINT)"),
+    _said("m15_unconfirmed_suggestions", "unconfirmed_suggestions", "'all'", "lines, amount, CAST(NULL AS BIGINT), orders_only, keys"),
+    _said("m15_unconfirmed_suggestions", "unconfirmed_suggestions", "'returns'", "return_lines, return_amount, CAST(NULL AS BIGINT), return_orders_only, CAST(NULL AS BIGINT)"),
+    _said("m17_other_types", "other_transaction_types", "measure", "lines, amount, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)"),
+]))
+
+
 def rfm(where: str, ref: str) -> str:
     return f"""(WITH t AS (SELECT * FROM lines, p WHERE counted AND customer IS NOT NULL AND {where}), s AS (SELECT min(txn_day) AS s FROM t),
    g AS (SELECT customer, max({ref}) AS ref, CAST(max(CASE WHEN sale THEN txn_day END) AS DATE) AS last_purchase, count(DISTINCT CASE WHEN sale THEN order_key END) AS frequency, sum(amount) AS monetary FROM t GROUP BY 1),

@@ -898,6 +898,13 @@ def m32_line_summary(spark, sf):
     return metrics.revenue_identity(a.classes, a.period).filter("figure_scope = 'file'").crossJoin(F.broadcast(metrics.undated_lines(a.lines)))
 
 
+@query
+def m32_file_summary(spark, sf):
+    """Every row said about the lines, for the file and the compared months."""
+    a = analysis(spark, sf)
+    return metrics.line_summary(a.lines, a.classes, a.period)
+
+
 @query
 def m34_trend(spark, sf):
     a = analysis(spark, sf)

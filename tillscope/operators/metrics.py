@@ -337,6 +337,74 @@ def duplicate_effect(copies: DataFrame, scope: list[str] | None = None) -> DataF
         F.sum(extra).alias("lines"), zero(F.sum(F.when(F.col("counted"), extra * F.col("amount")))).alias("revenue"))
 
 
+IDENTITY = ("gross_sales", "returns", "discounts", "other_deductions", "other_revenue")
+OUTSIDE = ("gift_card_sale", "gift_card_redemption", "cost", "adjustment", "stock_in")
+
+
+def _class_blocks() -> Column:
+    """The rows of the summary that a row of ``class_amounts`` adds to: (block, item, lines, amount, without_amount)."""
+    lines, amount, none = F.col("lines"), F.col("amount"), F.lit(0).cast("long")
+    missing = F.when(F.col("no_amount"), lines).otherwise(none)
+    row = lambda block, item, n, a, m=none: F.struct(F.lit(block).alias("block"), item.alias("item"), n.alias("lines"), a.alias("amount"), m.alias("without_amount"))
+    counted = F.col("line_class").isin(*_counted()) & F.col("month").isNotNull()
+    term, stock = term_of(F.col("line_class")), F.col("line_class") == "stock_in"
+    rows = []
+    for name in IDENTITY:
+        mine = F.coalesce(term == name, F.lit(False))
+        signed = 0.0 - amount if name in ("returns", "discounts", "other_deductions") else amount
+        rows.append(F.when(counted, row("identity", F.lit(name), F.when(mine, lines).otherwise(none), F.when(mine, signed).otherwise(0.0))))
+    back = F.col("line_class").isin("customer_return", "pooled_return") & F.col("leaving")
+    rows += [
+        F.when(counted, row("identity", F.lit("net_revenue"), lines, amount)),
+        F.when(counted, row("identity", F.lit("returns_on_suggested_keys"), F.when(back, lines).otherwise(none), F.when(back, 0.0 - amount).otherwise(0.0))),
+        F.when(F.col("line_class").isin(*OUTSIDE), row("outside_revenue", F.concat_ws("/", "line_class", F.when(stock, F.col("sign"))), lines, amount, missing)),
+        F.when(F.col("line_class") == "unclassified", row("unclassified", F.lit("all"), lines, amount)),
+        F.when(stock, row("returns_booked_as_in", F.when(F.col("no_amount"), "unknown").when(F.col("sign") == "no_money", "zero").otherwise(F.col("sign")), lines, amount, missing)),
+        F.when(counted & F.col("line_class").isin("allowance", "pooled_allowance"), row("unconfirmed_deductions", F.lit("all"), lines, amount)),
+    ]
+    return F.explode(F.array_compact(F.array(*rows)))
+
+
+def line_summary(lines: DataFrame, classes: DataFrame, period: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Everything said about the lines of a file in one long table: ``figure_scope, block, item, lines, amount, without_amount, orders, keys``.
+
+    The identity's terms, what lies outside of revenue, what is unclassified and the notes read from classes come from one pass
+    over the small table of class amounts; lines without a date, figures or a customer are counted in one pass over the lines;
+    the notes about orders keep their own reductions. ``orders`` and ``keys`` are null where a row has none.
+    """
+    scope = scope or []
+    columns = [*scope, "figure_scope", "block", "item", "lines", "amount", "without_amount", "orders", "keys"]
+    long, money = F.lit(None).cast("long"), F.lit(None).cast("double")
+
+    def tidy(df: DataFrame, block: str, item: Column, **given: Column) -> DataFrame:
+        values = {"figure_scope": F.col("figure_scope"), "block": F.lit(block), "item": item, "lines": F.col("lines"), "amount": money, "without_amount": long, "orders": long, "keys": long, **given}
+        return df.select(*scope, *[values[c].alias(c) for c in columns[len(scope):]])
+
+    one = figure_scopes(classes, period, scope).select(*scope, "figure_scope", _class_blocks().alias("r")).select(*scope, "figure_scope", "r.*")
+    blocks = one.groupBy(*scope, "figure_scope", "block", "item").agg(F.sum("lines").alias("lines"), zero(F.sum("amount")).alias("amount"), F.sum("without_amount").alias("without_amount"))
+    out = blocks.select(*scope, *[F.col(c) if c in blocks.columns else long.alias(c) for c in columns[len(scope):]])
+
+    nameless, unmeasured = F.col("customer").isNull(), F.col("line_class") == "unmeasurable"
+    reason = F.when(F.col("quantity").isNull(), "no quantity").when(F.col("unit_price").isNull(), "no price").otherwise("amount too large to add")
+    counts = {
+        "lines/all": F.lit(True), "lines/undated": F.col("txn_ts").isNull() & ~unmeasured,
+        **{f"unmeasurable/{r}": unmeasured & (reason == r) for r in ("no quantity", "no price", "amount too large to add")},
+        "customers/unfilled receipt lines": F.col("receipt_fillable") & nameless & ~F.col("placeholder"),
+        "customers/placeholder lines": F.col("placeholder") & F.col("counted") & nameless,
+    }
+    wide = lines.groupBy(*scope).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(n.split("/")[0]).alias("block"), F.lit(n.split("/")[1]).alias("item"), F.col(n).alias("lines")) for n in counts]))
+    told = wide.select(*scope, rows.alias("r")).select(*scope, F.lit("file").alias("figure_scope"), "r.*")
+    out = out.unionByName(told.select(*scope, *[F.col(c) if c in told.columns else (money if c == "amount" else long).alias(c) for c in columns[len(scope):]]))
+
+    same = same_day_cancellations(lines, period, scope)
+    out = out.unionByName(tidy(same, "same_day_cancellations", F.col("measure"), amount=F.col("amount"), orders=F.col("orders")))
+    asked = unconfirmed_suggestions(lines, period, scope)
+    out = out.unionByName(tidy(asked, "unconfirmed_suggestions", F.lit("all"), amount=F.col("amount"), orders=F.col("orders_only"), keys=F.col("keys")))
+    out = out.unionByName(tidy(asked, "unconfirmed_suggestions", F.lit("returns"), lines=F.col("return_lines"), amount=F.col("return_amount"), orders=F.col("return_orders_only")))
+    return out.unionByName(tidy(other_transaction_types(lines, period, scope), "other_transaction_types", F.col("measure"), amount=F.col("amount")))
+
+
 def note_figures(spark) -> DataFrame:
     """The figures each note about the lines touches, as a small dimension table."""
     rows = [(code, figure) for code, figures in NOTE_FIGURES.items() for figure in figures]
