@@ -196,6 +196,15 @@ add("l2_composed_names", """WITH r AS (SELECT *, CASE (l_orderkey + l_linenumber
     count(DISTINCT who) AS customers, count(CASE WHEN who = chr(233) || 've 3' THEN 1 END) AS placeholders, count(DISTINCT receipt) AS orders, count(DISTINCT product) AS spellings,
     min(shown) AS shown FROM t GROUP BY 1, 2, 3""")
 over_lines("l2_line_classes", "SELECT line_class, class_source, count(*) AS lines, sum(amount) AS amount FROM lines GROUP BY 1, 2")
+over_lines("x22_run_lines", """SELECT line_class, class_source, month, count(*) AS lines, sum(amount) AS amount, count(DISTINCT customer) AS customers, count(DISTINCT product_key) AS products
+  FROM lines GROUP BY 1, 2, 3""")
+over_lines("x22_run_decisions", """SELECT question, answer, source, count(*) AS subjects FROM (
+    SELECT 'line_class' AS question, answer, 'user' AS source FROM answers UNION ALL SELECT 'placeholder', 'yes', 'user'
+    UNION ALL SELECT 'date_order', 'day_first', 'cells' FROM (SELECT max(day(txn_day)) AS d FROM lines) WHERE d > 12
+    UNION ALL SELECT 'number_format', 'decimal_comma', 'cells' FROM (SELECT count(unit_price) AS n FROM lines) WHERE n > 0
+    UNION ALL SELECT 'currency', 'EUR', 'cells' FROM (SELECT count(unit_price) AS n FROM lines) WHERE n > 0) GROUP BY 1, 2, 3""")
+over_lines("x22_open_questions", """SELECT 'line_class' AS question, CASE WHEN item_key LIKE 'sku:%' THEN 'sku:' || sku ELSE 'product_name:' || name END AS subject, suggested AS hint FROM cand
+  WHERE (positive <> 0 OR negative <> 0) AND item_key NOT IN (SELECT item_key FROM lines WHERE class_source = 'user' AND item_key IS NOT NULL)""")
 over_lines("l6_candidates", """SELECT item_key, CASE WHEN item_key LIKE 'sku:%' THEN 'sku' ELSE 'product_name' END AS field, CASE WHEN item_key LIKE 'sku:%' THEN sku ELSE name END AS value, name,
   lines, positive, negative, suggested FROM cand WHERE positive <> 0 OR negative <> 0""")
 over_lines("l7_suggestions", "SELECT suggested_class, line_class, count(*) AS lines FROM lines WHERE suggested_class IS NOT NULL GROUP BY 1, 2")
@@ -425,7 +434,8 @@ SER = CAL + CORE_CTE + """, t AS MATERIALIZED (SELECT c.month, coalesce(revenue,
   yy AS (SELECT s.series, s.month, s.value, b.value AS base, typ FROM ser s LEFT JOIN ty ON ty.series = s.series LEFT JOIN ser b ON s.series = b.series AND b.month = CAST(s.month - INTERVAL 12 MONTH AS DATE)),
   yo AS (SELECT series, month, value, CASE WHEN base > 0 AND base >= 0.03 * typ THEN (value - base) / base * 100 END AS yoy FROM yy)"""
 over_lines("g4_monthly_series", SER + "SELECT month, series, round(value, 4) AS value FROM ser")
-over_lines("g5_year_over_year", SER + "SELECT series, month, round(yoy, 4) AS yoy FROM yo")
+# Each of its tables reads the lines again: they are computed once.
+add("g5_year_over_year", LINES.replace("), lines AS (", "), lines AS MATERIALIZED (") + SER + "SELECT series, month, round(yoy, 4) AS yoy FROM yo")
 over_lines("g8_signals", SER + """, b AS (SELECT series, yoy, abs(yoy - lag(yoy) OVER (PARTITION BY series ORDER BY month)) AS mr FROM yo WHERE month IN (SELECT month FROM hist) AND yoy IS NOT NULL),
   l AS (SELECT series, avg(yoy) AS c, greatest(2.0, CASE WHEN median(mr) > 0 THEN 3.145 * median(mr) ELSE 2.66 * avg(mr) END) AS s, CASE WHEN 2.0 > CASE WHEN median(mr) > 0 THEN 3.145 * median(mr) ELSE 2.66 * avg(mr) END THEN 'minimum_spread' WHEN median(mr) > 0 THEN 'median_moving_range' ELSE 'mean_moving_range' END AS lm FROM b GROUP BY 1),
   n AS (SELECT series, yoy AS v FROM yo, p WHERE month = cur), run AS (SELECT series, list(yoy ORDER BY month DESC)[1:7] AS r FROM yo WHERE month IN (SELECT month FROM hist) GROUP BY 1)

@@ -18,6 +18,7 @@ from tillscope.operators import (
 from tillscope.operators.ranking import join_same
 from tillscope.plans.analysis import Analysis
 from tillscope.plans.cleaning import CleaningPlan, Step, apply_action, dropped_rows_report, run_plan
+from tillscope.plans.run import Outcome, Run, run_files
 from tillscope.plans.sales_lines import Answers, Mapping, build_sales_lines
 from tillscope.session import configure, materialize, shared_folder
 from tillscope.sources.csv_text import read_text_csv
@@ -407,6 +408,41 @@ def x22_cleaned_frame(spark, sf):
     return out.select("line_no", "status", "priority", "qty", F.col("__flag_cast_failed__qty").alias("qty_failed"), F.col("__flag_duplicate_key").alias("duplicate_key"))
 
 
+def _text_run(spark: SparkSession, sf: str) -> Outcome:
+    """The ledger written as text with day-first dates and sums like €12,00, and run from its files."""
+    def make() -> Outcome:
+        configure(spark)
+        path = f"{shared_folder(spark)}/ledger-{dt.datetime.now().timestamp()}"
+        text = ledger(spark, sf).orderBy("line_no").drop("line_no", "nation").withColumns({
+            "txn": F.date_format("txn", "dd/MM/yyyy"), "quantity": F.col("quantity").cast("long").cast("string"),
+            "unit_price": F.concat(F.lit("€"), F.col("unit_price").cast("long").cast("string"), F.lit(",00"))})
+        text.write.option("header", "true").csv(path)
+        told = [("line_class", f"{f}:{v}", c) for f, v, c in ANSWERS.line_classes] + [("placeholder", v, "yes") for v in ANSWERS.customer_placeholders]
+        return run_files(spark, path, Run(MAPPING, CleaningPlan(columns=(Step("trim_whitespace", "kind"),)), tuple(told)))
+
+    return _once(spark, ("text-run", sf), make)
+
+
+@query
+def x22_run_lines(spark, sf):
+    """Classed lines of a run from written text."""
+    lines = _text_run(spark, sf).lines
+    return lines.groupBy("line_class", "class_source", "month").agg(
+        F.count("*").alias("lines"), F.sum("amount").alias("amount"), F.countDistinct("customer").alias("customers"), F.countDistinct("product_key").alias("products"))
+
+
+@query
+def x22_run_decisions(spark, sf):
+    """What the run decided, on whose word."""
+    return _text_run(spark, sf).decisions.groupBy("question", "answer", "source").agg(F.count("*").alias("subjects"))
+
+
+@query
+def x22_open_questions(spark, sf):
+    """Products nobody decided about and walk-in values still to be told."""
+    return _text_run(spark, sf).open_questions.select("question", "subject", "hint")
+
+
 @query
 def x26_change_log(spark, sf):
     _cleaned(spark, sf)
