@@ -45,3 +45,33 @@ def test_extra_columns_and_empty_tables(spark, sf):
             out = stage(spark, out, sf)
             assert out.columns == frame.columns
         assert corpus_pipeline.STAGES[3][1](spark, out, sf).count() >= out.count()
+
+
+def test_columns_called_like_helpers_keep_their_values(spark, sf):
+    """Names that stages use inside, in any case, pass through them with their values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    names = ["__score", "score", "Score_", "__row", "row", "place", "__place", "bare", "key", "OF", "n", "component"]
+    frame = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    out = frame
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, out, sf)
+        assert out.columns == frame.columns
+        rows = [r.asDict() for r in out.collect()]
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+
+
+def test_rows_of_one_hash_stay_two_documents(spark, monkeypatch):
+    """With every row hash equal, documents are still told apart by id and text."""
+    real, components, one = F.xxhash64, minhash_dedup._components, lambda *_: F.lit(7).cast("long")
+
+    def found(documents, tensor):
+        out = components(documents, tensor).withColumn("row", one())
+        monkeypatch.setattr(minhash_dedup.F, "xxhash64", one)
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "_components", found)
+    rows = [(1, "one two three four five six"), (2, "other words stand in this text here"), (2, "other words stand in this text here"), (3, None), (3, ""), (None, "a third text with seven words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash_dedup.keep_one(df)
+    monkeypatch.setattr(minhash_dedup.F, "xxhash64", real)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], *rows[3:]], key=str)

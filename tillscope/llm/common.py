@@ -36,6 +36,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as make it unlike every given column, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """``df`` written to the shared folder bucketed by ``key``, without a shuffle; grouping by ``key`` later needs none either."""
     spark, name = df.sparkSession, f"llm_{label}_{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import components, mixed, small_batches, texts_of, written
+from tillscope.llm.common import components, free_names, mixed, small_batches, texts_of, written
 from tillscope.llm.shingles import alike, shingle_sets, slices
 from tillscope.llm.words import forget
 
@@ -163,15 +163,22 @@ def near_duplicates(documents: DataFrame, tensor: Tensor | None = None) -> DataF
 
 
 def keep_one(documents: DataFrame, tensor: Tensor | None = None) -> DataFrame:
-    """The documents without near-duplicates: of each component the row of smallest id stays, whole and once; rows without words all stay."""
-    found = _components(documents, tensor)
+    """The documents without near-duplicates: of each component the row of smallest id stays, whole and once; rows without words all stay.
+
+    A row is known by its id, the hash of its text and, among rows alike in both, its text, so no two documents are one.
+    Columns of any name pass through.
+    """
+    found = _components(documents.select("doc_id", "text"), tensor)
     chosen = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    stays = chosen.select(F.col("best.row").alias("__row"), F.lit(False).alias("__bare"))
-    stays = stays.unionByName(found.where("component is null").select(F.col("row").alias("__row"), F.lit(True).alias("__bare")).distinct())
-    others = [c for c in documents.columns if c != "text"]
-    same = Window.partitionBy("__row").orderBy(*others)
-    joined = documents.withColumn("__row", F.xxhash64("doc_id", "text")).join(stays, "__row").withColumn("__place", F.row_number().over(same))
-    return joined.where("__bare or __place = 1").select(*documents.columns)
+    row, bare, place, key, of = free_names(documents.columns, "row", "bare", "place", "key", "of")
+    stays = chosen.select(F.col("best.doc_id").alias(key), F.col("best.row").alias(row), F.lit(False).alias(bare))
+    stays = stays.unionByName(found.where("component is null").select(F.col("doc_id").alias(key), F.col("row").alias(row), F.lit(True).alias(bare)).distinct())
+    kept = documents.withColumn(row, F.xxhash64("doc_id", "text"))
+    kept = kept.join(stays.withColumnRenamed(row, of), (F.col(row) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(key)))
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", row, "text").orderBy(*(others or [F.lit(0)]))
+    kept = kept.withColumn(place, F.row_number().over(same))
+    return kept.where(F.col(bare) | (F.col(place) == 1)).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def _components(documents: DataFrame, tensor: Tensor | None) -> DataFrame:

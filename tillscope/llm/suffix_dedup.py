@@ -504,6 +504,6 @@ def cut_repeats(documents: DataFrame, repeats: Repeats | None = None) -> DataFra
 
     A null text becomes an empty one.
     """
-    others = [c for c in documents.columns if c != "text"]
+    others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     cut = remove_repeats(documents.select(F.struct(*others).alias("doc_id"), "text"), repeats, with_text=True)
-    return cut.select("doc_id.*", "text").select(*documents.columns)
+    return cut.select("doc_id.*", "text").select(*[F.col(f"`{c}`") for c in documents.columns])
