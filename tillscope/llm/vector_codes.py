@@ -9,7 +9,7 @@ and component, whatever it reads, and codebooks (``entries`` x dimensions) are a
 Defined results: rows whose vector is null or holds null or non-finite components are dropped; a vector with fewer dimensions
 counts as filled up with zeros, the longest one also up to a multiple of ``parts``; an empty vector is all zeros. Components
 beyond ``+-2 ** bits_allowed(dimensions)`` count as that number, so that no distance leaves int64 (with 64 dimensions and a
-scale of 1024 these are |x| from 2 ** 17). Of rows with one id the smaller vector comes first, rows without an id come last;
+scale of 1024 these are |x| from 2 ** 16). Of rows with one id the smaller vector comes first, rows without an id come last;
 repeated rows count and are coded each; fewer rows than entries give as many entries; null labels are a label of their own;
 columns other than the three named are ignored; an empty table gives an empty result.
 """
