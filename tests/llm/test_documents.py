@@ -15,6 +15,7 @@ import tiktoken
 from corpora import documents, key, texts, with_clashes, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillscope.llm import bpe, katz, minhash_dedup, packing, sharding, suffix_dedup, suffix_sort, toxicity, warc
@@ -55,6 +56,31 @@ def test_warc_files_are_the_same_whoever_writes_them(spark):
     assert files(pages(spark)) == files(pages(spark).repartition(7, "html"))
 
 
+def test_warc_shards_follow_the_bytes_of_any_ids(spark):
+    draw = random.Random(4)
+    sizes = {draw.randrange(-(1 << 63), 1 << 63) if draw.random() < 0.5 else draw.randrange(1 << 62, (1 << 62) + 5_000): draw.randrange(500, 3_000) for _ in range(3_000)}
+    archive = warc.Archive(shard_bytes=100_000, least_shards=3)
+    rows = spark.createDataFrame(list(sizes.items()), "page_id long, size long")
+    ahead, want, last = 0, [], -1
+    for page_id in sorted(sizes):
+        if ahead // 100_000 != last:
+            want.append(page_id)
+            last = ahead // 100_000
+        ahead += sizes[page_id]
+    assert warc.shard_starts(rows.repartition(5), archive) == want == warc.shard_starts(rows.repartition(3, "size"), archive)
+    assert warc.shard_starts(rows.limit(0), archive) == []
+
+
+def test_warc_spreads_pages_without_ids(spark):
+    rows = [(i, f"u{i}", "x" * 100) for i in range(300)] + [(None, f"v{i % 150}", "y" * 100) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = warc.new_folder(spark)
+    manifest = warc.write_archives(pages, folder, warc.Archive(least_shards=6))
+    counts = [r["n"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()]
+    assert len(counts) == 6 and max(counts) < 150
+    assert warc.read_archives(spark, folder).where("page_id is null and record_type = 'response'").count() == 300
+
+
 def test_warc_refuses_changed_payload():
     record = warc.record(1, "u", b"payload", None, 0, "2000-01-01T00:00:00Z")
     assert warc.parse(record)[0] == 1

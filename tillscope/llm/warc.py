@@ -11,9 +11,10 @@ Which pages repeat is found on (id, digest) rows; these travel to the shards bes
 
 Files are opened by executors through the Arrow file system of the folder's scheme (local, HDFS, S3, GCS).
 
-Defined results: null html is an empty payload; rows without a page id are responses of their own, in the first shard; of
-repeated rows with one id and payload one is the response; a null url gets a name made from the id; control characters
-and blanks of a url are percent-encoded; extra columns are ignored; an empty table gives archives without a page.
+Defined results: null html is an empty payload; rows without a page id are responses of their own, spread over the
+shards by url and payload; of repeated rows with one id and payload one is the response; a null url gets a name made from
+the id; control characters and blanks of a url are percent-encoded; extra columns are ignored; an empty table gives
+archives without a page.
 """
 
 from __future__ import annotations
@@ -26,17 +27,19 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import small_batches
+from tillscope.llm.common import small_batches, written
 from tillscope.session import shared_folder
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value: the standard's profile
-_SPLITS = 1_024
+_WRITERS = 16_384  # tasks that write, at most; neighbouring shards share one beyond it
 
 
 @dataclass(frozen=True)
@@ -52,29 +55,36 @@ class Archive:
     level: int = 6
 
 
-def _shard(pages: DataFrame, low: int, high: int, target: float, first: int) -> tuple[str, int]:
-    """SQL for the shard of a page id from low to high, and the first shard number after them.
+def shard_starts(pages: DataFrame, archive: Archive) -> list[int]:
+    """The smallest page id of each shard, ascending, from rows (page_id, size) without null ids.
 
-    Ids are counted in equal ranges; runs of ranges make up shards of ``target`` bytes. A range that alone exceeds a
-    shard is looked at again, more closely.
+    A shard begins where the bytes of all smaller ids pass a multiple of the target. Ids are written once, range-sorted with
+    their bytes; totals of the ranges and a running sum inside each give the bytes before an id, whatever the ranges are.
+    What reaches the driver are the starts: no more than the shards, one for each ``shard_bytes`` or the fewest allowed.
     """
-    step = -(-(high - low + 1) // _SPLITS)
-    place = f"cast((page_id - {low}L) div {step}L as int)"
-    found = {r["at"]: r["size"] for r in pages.where(F.col("page_id").between(low, high)).groupBy(F.expr(place).alias("at")).agg(F.sum("size").alias("size")).collect()}
-    numbers, closer, held = [], [], 0.0
-    for at in range(_SPLITS):
-        size = found.get(at, 0)
-        if step > 1 and size > 2 * target:
-            first += held > 0
-            inside, first = _shard(pages, low + at * step, min(high, low + (at + 1) * step - 1), target, first)
-            closer.append(f"when {place} = {at} then {inside}")
-            held = 0.0
-        elif held and held + size > target:
-            first, held = first + 1, 0.0
-        numbers.append(first)
-        held += size
-    table = f"element_at(array({', '.join(map(str, numbers))}), {place} + 1)"
-    return (f"case {' '.join(closer)} else {table} end" if closer else table), first + 1
+    by_id = pages.groupBy("page_id").agg(F.sum("size").alias("size")).repartitionByRange("page_id")
+    ids = written(by_id.withColumn("range", F.spark_partition_id()), "warc-ids")
+    # One row for each shuffle partition, so running sums over them and their join are small.
+    ranges = ids.groupBy("range").agg(F.sum("size").alias("held"))
+    every = Window.orderBy("range")
+    ranges = ranges.select("range", (F.sum("held").over(every) - F.col("held")).alias("behind"), F.sum("held").over(Window.partitionBy()).alias("total"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("range").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = F.least(F.lit(float(archive.shard_bytes)), F.col("total") / archive.least_shards)
+    placed = ids.withColumn("before", before).join(F.broadcast(ranges), "range")
+    starts = placed.groupBy(F.floor((F.col("behind") + F.col("before")) / target)).agg(F.min("page_id").alias("start"))
+    return sorted(r["start"] for r in starts.select("start").collect())
+
+
+def _shard(starts: list[int], shards: int) -> F.Column:
+    """The shard of a row by its page id; rows without one are spread over all shards by what they hold."""
+    lows = np.array(starts[1:], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def place(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(lows, page_id.to_numpy(), side="right"), dtype="int32")
+
+    spread = F.pmod(F.xxhash64("digest", "url"), F.lit(shards)).cast("int")
+    return F.when(F.col("page_id").isNull(), spread).otherwise(place(F.coalesce("page_id", F.lit(0))))
 
 
 def _lines(fields: list[tuple[str, str]], first: str) -> bytes:
@@ -94,11 +104,12 @@ def _target(url: str | None, page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int, date: str) -> bytes:
-    """One WARC record, uncompressed. ``copy`` tells apart records of one page id and payload."""
+    """One WARC record, uncompressed. ``copy`` tells apart records of one page id and payload, and without an id of one url too."""
     digest = _digest(payload)
+    name = digest if page_id is not None else f"{url}/{digest}"
     http = _lines([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
     block = http if refers_to is not None else http + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _record_id(page_id, digest, copy)), ("WARC-Date", date),
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", _record_id(page_id, name, copy)), ("WARC-Date", date),
               ("WARC-Target-URI", _target(url, page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{_digest(block)}")]
     if page_id is not None:
         fields.append(("WARC-Page-ID", str(page_id)))
@@ -161,8 +172,9 @@ def _writer(folder: str, archive: Archive):  # noqa: ANN202
             for shard, page_id, digest, smallest, url, html, is_page in zip(*columns, strict=True):
                 if shard != files.shard:
                     files.start(shard)
-                if (page_id, digest) != known:
-                    known, first, copy = (page_id, digest), None, 0
+                page = (page_id, digest, url if page_id is None else None)
+                if page != known:
+                    known, first, copy = page, None, 0
                 if not is_page:
                     first = smallest
                     continue
@@ -186,19 +198,19 @@ def write_archives(pages: DataFrame, folder: str, archive: Archive | None = None
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     light = pages.where("page_id is not null").select("page_id", (F.col("n") + 512).alias("size"))
-    low, high, total = light.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    shards, shard = 1, F.lit(0)
-    if total:
-        target = min(archive.shard_bytes, total / archive.least_shards)
-        sql, shards = _shard(light, low, high, target, 0)
-        shard = F.coalesce(F.expr(sql), F.lit(0))
+    starts = shard_starts(light, archive)
+    shards = max(archive.least_shards, len(starts))
+    shard = _shard(starts, shards)
     ids = pages.where((F.col("n") >= archive.revisit_from) & F.col("page_id").isNotNull()).select("page_id", "digest")
     repeated = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     notes = ids.join(repeated, "digest").select("page_id", "digest", "first").distinct()
     nothing = F.lit(None).cast("string")
-    notes = notes.select(shard.alias("shard"), "page_id", "digest", "first", nothing.alias("url"), nothing.alias("html"), F.lit(False).alias("is_page"))
+    notes = notes.withColumn("url", nothing).select(shard.alias("shard"), "page_id", "digest", "first", "url", nothing.alias("html"), F.lit(False).alias("is_page"))
     records = pages.select(shard.alias("shard"), "page_id", "digest", F.lit(None).cast("long").alias("first"), "url", "html", F.lit(True).alias("is_page"))
-    every = notes.unionByName(records).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
+    # Each writer takes a run of neighbouring shards, named by its number, so that none waits for a hash to be even.
+    writers = min(shards, _WRITERS)
+    writer = F.floor(F.col("shard").cast("long") * writers / shards).cast("int")
+    every = notes.unionByName(records).repartitionById(writers, writer).sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
     every.mapInArrow(_writer(folder, archive), _MANIFEST).write.json(f"{folder}/_manifest")
     return spark.read.schema(_MANIFEST).json(f"{folder}/_manifest")
 
