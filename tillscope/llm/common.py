@@ -70,6 +70,12 @@ def unpacked(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype=kind)
 
 
+def runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of sorted numbers, and where the run of each begins and ends."""
+    begin = np.flatnonzero(np.r_[np.ones(min(1, len(numbers)), dtype=bool), numbers[1:] != numbers[:-1]])
+    return numbers[begin], begin, np.append(begin, len(numbers))[1:]
+
+
 def task_ids() -> Iterator[int]:
     """Whole numbers that no other task gives: the partition in the high half, a counter in the low."""
     first = TaskContext.get().partitionId() << 32

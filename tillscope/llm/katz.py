@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from tillscope.llm.common import bucketed, mixed, packed, small_batches, task_ids, texts_of, unpacked, written
+from tillscope.llm.common import bucketed, mixed, packed, runs, small_batches, task_ids, texts_of, unpacked, written
 from tillscope.llm.shingles import slices, word_hashes
 
 END = np.uint64(0xFFFFFFFFFFFFFFFF)  # stands for the end token among word hashes
@@ -158,8 +158,7 @@ def _ask_words(groups: int):  # noqa: ANN202
                 counts = np.bincount(chunk.tokens[chunk.trained], minlength=len(chunk.words))
                 group = _word_group(chunk.words, groups)
                 order = np.argsort(group, kind="stable")
-                cuts = np.searchsorted(group[order], np.arange(groups + 1))
-                parts = [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                parts = [(g, order[a:b]) for g, a, b in zip(*(x.tolist() for x in runs(group[order])), strict=True)]
                 data = [[g for g, _ in parts], [row["chunk"]] * len(parts), [chunk.words[p].tobytes() for _, p in parts], [_planes(counts[p]) for _, p in parts]]
                 yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["group", "chunk", "words", "counts"])
 
@@ -200,8 +199,10 @@ def _word_answers(chunk: _Chunk, answers: pd.DataFrame, groups: int) -> tuple[np
     """Number and training count of each of a chunk's words."""
     group = _word_group(chunk.words, groups)
     number, count = np.zeros(len(chunk.words), np.int64), np.zeros(len(chunk.words), np.int64)
-    for g, a, b in zip(answers["group"], answers["a"], answers["b"], strict=True):
-        number[group == g], count[group == g] = _from_planes(a), _from_planes(b)
+    order = np.argsort(group, kind="stable")
+    begin, end = (np.searchsorted(group[order], answers["group"].to_numpy(), side) for side in ("left", "right"))
+    for first, last, a, b in zip(begin, end, answers["a"], answers["b"], strict=True):
+        number[order[first:last]], count[order[first:last]] = _from_planes(a), _from_planes(b)
     return number, count
 
 
@@ -253,13 +254,12 @@ def _ask_pairs(groups: int, begins: int, limit: float):  # noqa: ANN202
             pairs = _Dealt.of(chunk, number, count, begins, limit, groups)
             trained = np.bincount(pairs.which[chunk.trained], minlength=len(pairs.word))
             weight, heads = count[pairs.local], pairs.heads
-            runs = np.diff(np.r_[heads, len(pairs.word)])
-            cuts, head_cuts = (np.searchsorted(g, np.arange(groups + 1)) for g in (pairs.group, pairs.group[heads]))
-            for g in range(groups):
-                (a, b), (c, d) = cuts[g : g + 2], head_cuts[g : g + 2]
-                if b > a:
-                    own = heads[c:d]
-                    rows.append((g, row["chunk"], _planes(pairs.context[own]), _planes(runs[c:d]), _planes(pairs.word[a:b]), _planes(weight[a:b]), _planes(trained[a:b]), packed(pairs.hot[own])))
+            lengths = np.diff(np.r_[heads, len(pairs.word)])
+            # Every group with pairs has heads, so both are cut into the same groups.
+            (present, begin, end), (_, head_begin, head_end) = runs(pairs.group), runs(pairs.group[heads])
+            for g, a, b, c, d in zip(present.tolist(), begin, end, head_begin, head_end, strict=True):
+                own = heads[c:d]
+                rows.append((g, row["chunk"], _planes(pairs.context[own]), _planes(lengths[c:d]), _planes(pairs.word[a:b]), _planes(weight[a:b]), _planes(trained[a:b]), packed(pairs.hot[own])))
         columns = list(zip(*rows, strict=True)) or [()] * 8
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
 
@@ -373,16 +373,17 @@ def _evaluate(model: Model, hot: dict[int, list[int]], groups: int, limit: float
             pairs = _Dealt.of(chunk, number, count, model.begins, limit, groups)
             heads = pairs.heads
             seen, sums = np.zeros(len(pairs.word), np.int64), np.zeros((len(heads), 2 * len(model.word_discounts)), np.int64)
-            cuts, head_cuts = (np.searchsorted(g, np.arange(groups + 1)) for g in (pairs.group, pairs.group[heads]))
             mine = given[given["step"] == 1]
-            for g, a, b in zip(mine["group"], mine["a"], mine["b"], strict=True):
-                seen[cuts[g] : cuts[g + 1]] = _from_planes(a)
-                sums[head_cuts[g] : head_cuts[g + 1]] = _from_planes(b).reshape(sums.shape[1], -1).T
+            asked = mine["group"].to_numpy()
+            cuts = [np.searchsorted(g, asked, side) for g in (pairs.group, pairs.group[heads]) for side in ("left", "right")]
+            for first, last, head, stop, a, b in zip(*cuts, mine["a"], mine["b"], strict=True):
+                seen[first:last] = _from_planes(a)
+                sums[head:stop] = _from_planes(b).reshape(sums.shape[1], -1).T
             for h in np.flatnonzero(pairs.hot[heads]):
                 sums[h] = hot[int(pairs.context[heads[h]])]
             single = model.word(count)
-            runs = np.diff(np.r_[heads, len(pairs.word)])
-            after, scale, weight = (np.repeat(x, runs) for x in model.context(sums))
+            lengths = np.diff(np.r_[heads, len(pairs.word)])
+            after, scale, weight = (np.repeat(x, lengths) for x in model.context(sums))
             value = np.log10(np.where(seen > 0, model.pair(seen, after, scale), weight * single[pairs.local]))
             starts = np.cumsum(chunk.sizes) - chunk.sizes
             base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
