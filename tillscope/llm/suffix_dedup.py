@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from tillscope.llm.common import bucketed, mixed, packed, small_batches, task_ids, texts_of, unpacked, written
+from tillscope.llm.common import bucketed, mixed, packed, runs, small_batches, task_ids, texts_of, unpacked, written
 from tillscope.llm.shingles import prefix_hashes
 from tillscope.llm.suffix_sort import SHALLOW_WORDS, sort_suffixes
 from tillscope.llm.words import forget
@@ -261,10 +261,10 @@ def _hot_spans(data: np.ndarray, hot: Anchors, answers: pd.DataFrame, length: in
     bit = repeated[found.kind]
     joined = bit[1:] & bit[:-1] & (found.owner[1:] == found.owner[:-1])
     begin, end = np.flatnonzero(bit & ~np.r_[False, joined][: len(bit)]), np.flatnonzero(bit & ~np.r_[joined, False][: len(bit)])
-    runs = np.bincount(found.owner[begin], minlength=int(found.row.max(initial=-1)) + 1)
-    many = runs[found.row]
+    stretches = np.bincount(found.owner[begin], minlength=int(found.row.max(initial=-1)) + 1)
+    many = stretches[found.row]
     anchor = np.repeat(np.arange(len(many)), many)
-    run = (np.cumsum(runs) - runs)[found.row[anchor]] + np.arange(len(anchor)) - np.repeat(np.cumsum(many) - many, many)
+    run = (np.cumsum(stretches) - stretches)[found.row[anchor]] + np.arange(len(anchor)) - np.repeat(np.cumsum(many) - many, many)
     return hot.first[anchor] + found.place[begin[run]], hot.first[anchor] + found.place[end[run]]
 
 
@@ -276,8 +276,7 @@ def _ask(repeats: Repeats, groups: int, hot: np.ndarray = _NONE):  # noqa: ANN20
             for chunk, sizes, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "blob")), strict=True):
                 anchors, _ = split_hot(find_anchors(*_open(blob, sizes), repeats), hot)
                 heads, group, count, _ = _distinct(anchors, groups)
-                cuts = np.searchsorted(group, np.arange(groups + 1))
-                rows = [(g, chunk, heads[a:b], count[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                rows = [(g, chunk, heads[a:b], count[a:b]) for g, a, b in zip(*(x.tolist() for x in runs(group)), strict=True)]
                 data = [[r[0] for r in rows], [r[1] for r in rows], [anchors.gram[r[2]].tobytes() for r in rows], [anchors.context[r[2]].tobytes() for r in rows], [(r[3] > 1).tobytes() for r in rows]]
                 kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], ["group", "chunk", "gram", "context", "several"])
@@ -310,8 +309,9 @@ def _codes(anchors: Anchors, answers: pd.DataFrame, groups: int) -> tuple[np.nda
     """The answer on each distinct context of a chunk, and the distinct context of each anchor."""
     heads, group, _, row = _distinct(anchors, groups)
     codes = np.zeros(len(heads), dtype=np.uint8)
-    for g, body in zip(answers["group"], answers["body"], strict=True):
-        codes[group == g] = unpacked(body, "u1")
+    begin, end = (np.searchsorted(group, answers["group"].to_numpy(), side) for side in ("left", "right"))
+    for a, b, body in zip(begin, end, answers["body"], strict=True):
+        codes[a:b] = unpacked(body, "u1")
     return codes, row
 
 
@@ -326,8 +326,8 @@ def _show(repeats: Repeats, groups: int, hot: np.ndarray = _NONE):  # noqa: ANN2
             heads, group, _, _ = _distinct(anchors, groups)
             codes, _ = _codes(anchors, answers, groups)
             shown = np.flatnonzero(codes >= OPEN)
-            for g in np.unique(group[shown]):
-                at = shown[group[shown] == g]
+            for g, first, last in zip(*runs(group[shown]), strict=True):
+                at = shown[first:last]
                 h = heads[at]
                 body = [data[a : b + repeats.length] for a, b in zip(anchors.first[h], anchors.last[h], strict=True)]
                 numbers = np.stack([h, anchors.at[h] - anchors.first[h], anchors.last[h] - anchors.first[h] + 1, codes[at] == OPEN]).astype(np.int32)
@@ -411,9 +411,10 @@ def _compare(repeats: Repeats):  # noqa: ANN202
             found += [(int(some[i]), a, b) for i, a, b in shared_windows(own, np.cumsum(lengths) - lengths, numbers[1][some], numbers[2][some], numbers[3][some] > 0, gram[some], repeats.length)]
             cut = stop
         spans = np.array(found, dtype=np.int64).reshape(-1, 3)
+        spans = spans[np.argsort(chunk[spans[:, 0]], kind="stable")]
         rows = []
-        for c in np.unique(chunk[spans[:, 0]]):
-            s = spans[chunk[spans[:, 0]] == c]
+        for c, first, last in zip(*runs(chunk[spans[:, 0]]), strict=True):
+            s = spans[first:last]
             rows.append((c, int(shown["group"].iat[0]), 1, packed(np.stack([numbers[0][s[:, 0]], s[:, 1], s[:, 2]]).astype(np.int32))))
         return pd.DataFrame(rows, columns=["chunk", "group", "kind", "body"])
 
