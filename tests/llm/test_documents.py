@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from corpora import documents, key, texts, with_clashes, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -427,5 +428,48 @@ def test_toxicity_learns_and_holds_out(spark, sf):
     assert toxicity.classify(documents(spark, []), labels).count() == 0
 
 
+def brute_score(model, text):
+    """The score of one text, window by window."""
+    s = model.settings
+    pack = lambda content: zstandard.ZstdCompressor(level=s.level, write_content_size=False, write_checksum=False, write_dict_id=False,
+                                                    dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    plain, marked = pack(model.ordinary), pack(model.toxic + model.ordinary)
+    raw = b" " + data((text or "").translate(LOWER)) + b" "
+    found = list(re.finditer(rb"[^\x00-\x20]+", raw))
+    distances = []
+    for at in range(0, max(1, len(found) - 3), 3) if found else ():
+        window = raw[found[at].start() - 1 : found[min(at + 5, len(found) - 1)].end() + 1]
+        distances.append(len(plain.compress(window)) - len(marked.compress(window)))
+    top = sorted(distances or [0], reverse=True)
+    reached = [sum(d >= c for d in top) for c in model.cuts]
+    mean = lambda x: sum(x) / len(x)
+    features = [top[0], mean(top[:3]), mean(top[:6]), mean(top), *(math.sqrt(n / len(top)) for n in reached), *(math.log1p(n) for n in reached)]
+    total = model.weights[-1] + sum(w * (x - m) / d for w, x, m, d in zip(model.weights[:-1], features, model.mean, model.spread, strict=True))
+    return 1 / (1 + math.exp(-min(30, max(-30, total))))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(2)
+    train = [(i, " ".join([*words(rng, 30).split(), *(["scumbag", "moron"] if i % 2 else []), *words(rng, 30).split()])) for i in range(300)]
+    model = toxicity.fit_labels(documents(spark, train), spark.createDataFrame([(i, i % 2) for i, _ in train], "doc_id long, toxic int"))
+    assert b"scumb" in model.toxic and model.weights
+    rows = [*texts(), (900, "You MORON\x00 scumbag"), (901, "scumbag " * 90_000), (902, words(rng, 12) + "\n\n moron"), (903, "moron")]
+    got = {(r["doc_id"], r["text"]): r["score"] for r in toxicity.score(documents(spark, rows).select("doc_id", "text"), model).collect()}
+    assert len(got) == len(set(rows))
+    for (_, text), score in got.items():
+        assert math.isclose(score, brute_score(model, text), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_toxicity_takes_every_piece_with_evidence_and_whole_ordinary_words():
+    insults = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}insult" for i in range(150)]
+    rng = random.Random(3)
+    ordinary = [words(rng, 40).encode() for _ in range(400)]
+    toxic = [(words(rng, 20) + " " + " ".join(f"{insult} {w}" for w in words(rng, 40).split())).encode() for insult in insults for _ in range(2)]
+    found = toxicity._typical(toxic, ordinary).split()
+    assert len(b" ".join(found)) > 700 and all(any(x.encode().startswith(piece) for piece in found) for x in insults)
+    content = toxicity._common([b"aaa bbb ccc", b"bbb ccc", b"ccc"], 9)
+    assert content == b"bbb ccc" and toxicity._common([b"aaa bbb ccc"], 11) == b"aaa bbb ccc"
+
+
 def test_shared_folder_is_named(spark):
     assert shared_folder(spark)

@@ -40,7 +40,6 @@ class Settings:
     window: int = 6
     stride: int = 3
     ordinary_bytes: int = 16_000
-    toxic_bytes: int = 700
     level: int = 6
     threshold: float = 0.3
 
@@ -97,12 +96,12 @@ def _features(distances: np.ndarray, cuts: tuple[float, ...]) -> list[float]:
     return [float(top[0]), float(top[:3].mean()), float(top[:6].mean()), float(distances.mean()), *shares, *counts]
 
 
-def _typical(toxic: list[bytes], ordinary: list[bytes], limit: int) -> bytes:
+def _typical(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     """Word beginnings that toxic text holds far more often than chance allows, the strongest last.
 
     What counts is how many different words a piece follows, so that a passage copied many times is one piece of evidence.
     The evidence is a log-likelihood ratio; a piece counts once it exceeds what the best of so many pieces would reach by
-    chance. Pieces that begin like one taken already add nothing.
+    chance, and every piece that does is taken. Pieces that begin like one taken already add nothing.
     """
     seen: list[Counter] = []
     sizes: list[int] = []
@@ -124,23 +123,21 @@ def _typical(toxic: list[bytes], ordinary: list[bytes], limit: int) -> bytes:
         p = a / (a + b)
         return 0.0 if p <= share else a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0.0)
 
-    floor, chosen, size = math.log(max(2, len(seen[1]))), [], 0
-    for score, piece in sorted(((evidence(x), x) for x in seen[1]), reverse=True):
-        if score < floor or size + len(piece) + 1 > limit:
-            break
+    floor, chosen = math.log(max(2, len(seen[1]))), []
+    for _, piece in sorted(((s, x) for x in seen[1] if (s := evidence(x)) >= floor), reverse=True):
         if not any(piece.startswith(x) or x.startswith(piece) for x in chosen):
             chosen.append(piece)
-            size += len(piece) + 1
     return b" " + b" ".join(reversed(chosen)) + b" " if chosen else b""
 
 
 def _common(ordinary: list[bytes], limit: int) -> bytes:
-    """The ordinary words most documents hold, the commonest last."""
+    """The ordinary words most documents hold, the commonest last: as many whole ones as ``limit`` bytes take."""
     seen: Counter = Counter()
     for text in ordinary:
         seen.update(set(text.translate(ASCII_LOWER).split()))
-    content = b" ".join(w for w, _ in sorted(seen.items(), key=lambda x: (x[1], x[0]))[-limit // 2 :])
-    return content[-limit:]
+    common = [w for w, _ in sorted(seen.items(), key=lambda x: (x[1], x[0]), reverse=True)]
+    taken = int(np.searchsorted(np.cumsum([len(w) + 1 for w in common]), limit + 1, side="right"))
+    return b" ".join(reversed(common[:taken]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -168,7 +165,7 @@ def fit(documents: DataFrame, marks: DataFrame, settings: Settings | None = None
     docs = [(r["toxic"], r["text"].encode()) for r in sorted(rows, key=lambda r: (r["o"], r["doc_id"]))]
     make, tune = [d for i, d in enumerate(docs) if i % 2 == 0], [d for i, d in enumerate(docs) if i % 2]
     ordinary = _common([t for k, t in make if not k], settings.ordinary_bytes)
-    toxic = _typical([t for k, t in make if k], [t for k, t in make if not k], settings.toxic_bytes)
+    toxic = _typical([t for k, t in make if k], [t for k, t in make if not k])
     y = np.array([k for k, _ in tune], dtype=np.float64)
     if not toxic or not len(y) or y.min() == y.max():
         return Model(ordinary, b"", (), (), (), (), settings)
