@@ -223,6 +223,9 @@ over_lines("l12_unanswered_placeholders", PLACE + "SELECT customer, lines FROM c
 add("l13_currency", "SELECT 'narrowed' AS kind, CAST(NULL AS VARCHAR) AS code, CAST(22 AS BIGINT) AS candidates, CAST(0 AS BIGINT) AS unreadable")
 add("l13_currency_parts", M + "SELECT '$' AS label, count(*) AS lines, 'symbol' AS source FROM m WHERE price LIKE '$%'")
 over_lines("o1_spanning_ids", """SELECT count(CASE WHEN d > 1 OR c > 1 THEN 1 END) AS spanning, count(*) AS ids FROM (SELECT order_id, count(DISTINCT txn_day) AS d, count(DISTINCT customer_written) AS c FROM lines WHERE sale GROUP BY 1)""")
+over_lines("c14_order_id_issue", """, s AS (SELECT 'order_id' AS "column", order_id AS k, txn_day, customer_written FROM lines WHERE sale UNION ALL SELECT 'category_key', category_key, txn_day, customer_written FROM lines WHERE sale),
+  i AS (SELECT "column", k, count(DISTINCT txn_day) > 1 OR count(DISTINCT customer_written) > 1 AS spans FROM s WHERE k IS NOT NULL GROUP BY 1, 2)
+  SELECT "column", 'order_id_not_one_order' AS code, count(CASE WHEN spans THEN 1 END) AS "count" FROM i GROUP BY 1 HAVING count(CASE WHEN spans THEN 1 END) > 0.1 * count(*)""")
 over_lines("o5_order_basis", """, f AS (SELECT l.*, split_part(order_key, '␟', 3) AS filled FROM lines l WHERE sale), i AS (SELECT order_id, count(DISTINCT txn_day) AS d, count(DISTINCT nullif(filled, '')) AS c FROM f GROUP BY 1)
   SELECT 'order_id' AS orders_basis, CAST(NULL AS VARCHAR) AS orders_reason, CAST(NULL AS VARCHAR) AS date_only_reason, count(*) AS ids, count(CASE WHEN d > 1 OR c > 1 THEN 1 END) AS spanning, CAST(0 AS BIGINT) AS blank_ids,
     (SELECT count(*) FROM lines WHERE sale OR returned) AS moved_lines FROM i""")

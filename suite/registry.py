@@ -24,7 +24,7 @@ from tillscope.session import configure, materialize, shared_folder
 from tillscope.sources.csv_text import read_text_csv
 from tillscope.sources.extracts import sample_customers, union_extracts
 from tillscope.sources.ledger import ANSWERS, MAPPING, ledger, read_table
-from tillscope.sources.sinks import with_iso_dates, write_results
+from tillscope.sources.sinks import read_results, with_iso_dates, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,13 +159,13 @@ def s3_delimiters(spark, sf):
 
 @query
 def s7_results_read_back(spark, sf):
-    """A result table written as one and read again."""
+    """A set of result tables published together and read through its manifest."""
     def make() -> str:
         path = f"{shared_folder(spark)}/results-{dt.datetime.now().timestamp()}"
-        write_results({"core": analysis(spark, sf).core}, path)
+        write_results({"core": analysis(spark, sf).core, "days": trust.trading_days(analysis(spark, sf).lines)}, path)
         return path
 
-    return spark.read.parquet(f"{_once(spark, ('results', sf), make)}/core").select("month", "revenue", "orders")
+    return read_results(spark, _once(spark, ("results", sf), make), "core").select("month", "revenue", "orders")
 
 
 @query
@@ -646,6 +646,14 @@ def o1_spanning_ids(spark, sf):
     return orders.spanning_ids(analysis(spark, sf).lines.withColumn("customer", F.col("customer_written")))
 
 
+@query
+def c14_order_id_issue(spark, sf):
+    """The order ids tried as order ids, and so is a column that names no order."""
+    a = analysis(spark, sf).lines.withColumn("customer", F.col("customer_written"))
+    tried = [issues.order_id_issue(orders.spanning_ids(a.withColumn("order_id", F.col(c))), c) for c in ("order_id", "category_key")]
+    return tried[0].unionByName(tried[1])
+
+
 @query
 def o5_order_basis(spark, sf):
     a = analysis(spark, sf).lines.withColumn("customer", F.when(~F.col("placeholder"), F.col("customer_written")))

@@ -2,6 +2,7 @@ import codecs
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillscope.sources import csv_text, sinks
 from tillscope.sources.extracts import sample_customers
@@ -188,3 +189,19 @@ def test_samples_keep_whole_customers(spark):
     kept = {r.customer for r in got if r.customer}
     assert "c39" in kept and 3 < len(kept) < 30
     assert sum(r.customer in kept for r in df.collect() if r.customer) == sum(1 for r in got if r.customer)
+
+
+def test_results_are_published_together(spark, tmp_path):
+    folder = str(tmp_path / "results")
+    assert sinks.published(spark, folder) == {}
+    with pytest.raises(ValueError, match="no published table"):
+        sinks.read_results(spark, folder, "a")
+    with pytest.raises(ValueError, match="needs a table"):
+        sinks.write_results({}, folder)
+    sinks.write_results({"a": spark.range(3), "b": spark.range(2)}, folder)
+    bad = spark.range(5).withColumn("x", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_results({"a": spark.range(7), "b": bad}, folder)
+    assert (sinks.read_results(spark, folder, "a").count(), sinks.read_results(spark, folder, "b").count()) == (3, 2)
+    sinks.write_results({"a": spark.range(7)}, folder, "json")
+    assert sinks.read_results(spark, folder, "a").count() == 7 and list(sinks.published(spark, folder)) == ["a"]
