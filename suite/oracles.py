@@ -248,6 +248,13 @@ LABELS = """, pn AS (SELECT product_key, product_name AS name, count(CASE WHEN s
   twins AS (SELECT lower(label) AS fold, count(*) AS k FROM best GROUP BY 1),
   labels AS (SELECT b.product_key, CASE WHEN k > 1 AND sku IS NOT NULL THEN label || ' (' || sku || ')' ELSE label END AS product_label FROM best b JOIN twins ON lower(label) = fold LEFT JOIN skus s ON b.product_key = s.product_key)
 """
+add("n8_numbered_labels", """WITH RECURSIVE c AS (SELECT c_nationkey AS nation, c_custkey AS k, CAST(c_custkey AS VARCHAR) AS product_key, ' (' || CAST(c_custkey % 41 + 1 AS VARCHAR) || ')' AS suffix, c_mktsegment AS s FROM customer),
+  n AS (SELECT nation, product_key, CASE WHEN k % 9 = 0 THEN lower(s) || suffix || ' (2)' WHEN k % 3 = 0 THEN s || suffix ELSE s END AS shown, row_number() OVER (PARTITION BY nation ORDER BY k) AS i FROM c),
+  f(nation, i, product_key, product_label, seen) AS (SELECT DISTINCT nation, CAST(0 AS BIGINT), '', '', ['(no product name)'] FROM n UNION ALL
+    SELECT nation, i, product_key, label, list_append(seen, lower(label)) FROM (SELECT n.nation, n.i, n.product_key, f.seen,
+      list_filter(list_transform(range(1, len(f.seen) + 2), lambda j: CASE WHEN j = 1 THEN n.shown ELSE n.shown || ' (' || CAST(j AS VARCHAR) || ')' END), lambda x: NOT list_contains(f.seen, lower(x)))[1] AS label
+      FROM f JOIN n ON n.nation = f.nation AND n.i = f.i + 1))
+  SELECT nation, product_key, product_label FROM f WHERE i > 0""")
 over_lines("r3_product_labels", LABELS + "SELECT product_key, product_label FROM labels")
 over_lines("r4_product_suggestions", "SELECT product_key, max(suggested_class) AS suggested_class FROM lines WHERE product_key = item_key AND suggested_class IS NOT NULL GROUP BY 1")
 over_lines("r5_period", """SELECT data_start, data_end, cur AS current, prev AS previous, first_sale, CAST(greatest(0, first_sale - prev) AS INTEGER) AS leading_days_missing, TRUE AS previous_complete, FALSE AS month_grain FROM p""")

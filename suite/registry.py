@@ -694,6 +694,18 @@ def r1_product_keys(spark, sf):
     return analysis(spark, sf).lines.groupBy("product_key", "netting_key").agg(F.count("*").alias("lines"))
 
 
+@query
+def n8_numbered_labels(spark, sf):
+    """Customers of a nation as products named by their market segment, some as if they were numbered already."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    number = F.concat(F.lit(" ("), (key % 41 + 1).cast("string"), F.lit(")"))
+    shown = F.when(key % 9 == 0, F.concat(F.lower(segment), number, F.lit(" (2)"))).when(key % 3 == 0, F.concat(segment, number)).otherwise(segment)
+    lines = read_table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("nation"), key.cast("string").alias("product_key"), key.alias("line_no"), F.lit(None).cast("string").alias("sku_label_text"),
+        F.lit(True).alias("sale"), shown.alias("product_label_text"), F.lit(None).cast("date").alias("txn_ts"))
+    return products.product_labels(lines, ["nation"])
+
+
 @query
 def r3_product_labels(spark, sf):
     return analysis(spark, sf).labels

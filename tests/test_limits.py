@@ -56,6 +56,53 @@ def test_labels_are_unique_whatever_collides(spark):
     assert len({g.lower() for g in got}) == len(got) and got[:2] == ["MUG", "MUG (2)"] and products.GAP_LABEL not in got
 
 
+def brute_labels(shown):
+    seen, out = {products.GAP_LABEL}, []
+    for label in shown:
+        number, tried = 1, label
+        while tried.lower() in seen:
+            number += 1
+            tried = f"{label} ({number})"
+        seen.add(tried.lower())
+        out.append(tried)
+    return out
+
+
+def test_labels_take_the_lowest_free_number(spark):
+    rng = random.Random(8)
+    words = ["MUG", "mug", "MUG (2)", "Mug (3)", "MUG (4)", "MUG (7)", "MUG (2) (2)", "MUG (2) (3)", "MUG (2) (2) (2)", "MUG (1)", "MUG (1) (2)", "CUP", "CUP (2)", "CUP (02)", products.GAP_LABEL, products.GAP_LABEL + " (2)"]
+    rows = []
+    for case in range(60):
+        some = rng.sample(words, rng.randint(1, len(words)))
+        rows += [(case if case else None, f"p{rng.random()}", rng.choice(some), i) for i in range(rng.randint(1, 25))]
+    df = spark.createDataFrame(rows, "shop int, product_key string, shown string, first_line int")
+    got = {}
+    for r in products._numbered(df, ["shop"]).orderBy("first_line").collect():
+        got.setdefault(r.shop, []).append(r.shown)
+    for shop in {r[0] for r in rows}:
+        assert got[shop] == brute_labels([r[2] for r in rows if r[0] == shop])
+
+
+def test_a_hundred_thousand_products_of_one_name(spark):
+    df = spark.range(100_000).select(F.concat(F.lit("p"), "id").alias("product_key"), F.when(F.col("id") % 1_000 == 999, F.concat(F.lit("mug ("), F.col("id") + 1, F.lit(")")))
+                                     .otherwise("MUG").alias("shown"), F.col("id").alias("first_line"))
+    rows = products._numbered(df, []).orderBy("first_line").select("shown").collect()
+    want, own, taken = [], 0, set()
+    for i in range(100_000):
+        named = i + 1 if i % 1_000 == 999 else None
+        if named is None:
+            own += 1
+            while own in taken:
+                own += 1
+            want.append("MUG" if own == 1 else f"MUG ({own})")
+        elif named > own:
+            taken.add(named)
+            want.append(f"mug ({named})")
+        else:
+            want.append(f"mug ({named}) (2)")
+    assert [r.shown for r in rows] == want
+
+
 def test_a_scope_without_a_value_is_a_scope(spark):
     months = [("2024-01-01", 1.0), ("2023-12-01", 2.0), ("2023-11-01", 3.0)]
     table = spark.createDataFrame([(s, m, a) for s in (None, "x") for m, a in months], "s string, month string, amount double").withColumn("month", F.to_date("month"))
