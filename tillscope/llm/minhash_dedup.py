@@ -11,7 +11,8 @@ are formed only where both halves are shared. Candidates are then verified on th
 1. In each table a member drawn by hash is compared with the others; of all it meets, a node verifies the one it shares
    most tables with. Verified links give components.
 2. Tables that still hold several components are joined into groups, groups are cut into blocks, and each pair of blocks
-   compares its nodes of different components (the minhashes first, then the full sets). This is exact for every candidate
+   compares its nodes of different components: the minhashes first, then the full sets of the nodes that come near another
+   component, whose texts alone are sent. Blocks of one large component do not meet. This is exact for every candidate
    the tables produce: nothing is capped, and only links that join components leave a task.
 
 Defined results: null and empty texts and texts of white space have no shingle and link with nothing; repeated rows are
@@ -122,13 +123,52 @@ def _verified(tensor: Tensor):  # noqa: ANN202
     return run
 
 
+def _grids(tensor: Tensor, group: pd.DataFrame, i: int, j: int) -> tuple[tuple[pd.DataFrame, pd.DataFrame], list[np.ndarray], list[np.ndarray]]:
+    """The rows, minhashes and components of either block of a pair; a block may be empty."""
+    sides = tuple(group[group["block"] == b] for b in (i, j))
+    return sides, [np.frombuffer(b"".join(g["sketch"]), dtype=np.uint16).reshape(len(g), tensor.hashes) for g in sides], [g["label"].to_numpy() for g in sides]
+
+
+def _near(tensor: Tensor):  # noqa: ANN202
+    """The rows of one pair of blocks whose minhashes come near to those of another component: only their texts are needed."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        sides, grids, labels = _grids(tensor, group, *key[1:])
+        meets = [np.zeros(len(g), dtype=bool) for g in sides]
+        for a in range(len(sides[0]) if len(sides[1]) else 0):
+            close = ((grids[1] == grids[0][a]).mean(axis=1) >= tensor.slack) & (labels[1] != labels[0][a])
+            meets[0][a] = close.any()
+            meets[1] |= close
+        if key[1] == key[2]:
+            return sides[0][meets[0]]
+        return pd.concat([g[m] for g, m in zip(sides, meets, strict=True)])
+
+    return run
+
+
+def _blocks(members: DataFrame, tensor: Tensor) -> DataFrame:
+    """``members`` (node, label, component) with their block and the blocks to compare it with.
+
+    A label with a block's worth of nodes has blocks to itself, which never meet each other; the nodes of all smaller labels
+    share blocks, each label in one.
+    """
+    labels = members.groupBy("component", "label").agg(F.count("*").alias("n")).withColumn("team", F.when(F.col("n") >= tensor.block, F.col("label")))
+    order = Window.partitionBy("component").orderBy("team")
+    teams = labels.groupBy("component", "team").agg(F.ceil(F.sum("n") / tensor.block).cast("int").alias("blocks"))
+    teams = teams.withColumn("end", F.sum("blocks").over(order).cast("int")).withColumn("total", F.sum("blocks").over(Window.partitionBy("component")).cast("int"))
+    teams = teams.withColumn("start", F.col("end") - F.col("blocks")).withColumnRenamed("team", "own").withColumnRenamed("component", "of")
+    placed = labels.join(teams, (F.col("component") == F.col("of")) & F.col("team").eqNullSafe(F.col("own"))).drop("own", "of", "n")
+    placed = members.join(placed, ["component", "label"])
+    block = F.col("start") + F.pmod(F.xxhash64(F.when(F.col("team").isNull(), F.col("label")).otherwise(F.col("node"))), "blocks")
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda b: F.col("team").isNull() | (b < F.col("start")) | (b >= F.col("end")))
+    return placed.select("component", "label", "node", block.cast("int").alias("block"), others.alias("others"))
+
+
 def _between(tensor: Tensor):  # noqa: ANN202
     """In one pair of blocks: links between different components, as many as join them."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        first, second = (group[group["block"] == b] for b in (i, j))
-        grids = [np.frombuffer(b"".join(g["sketch"]), dtype=np.uint16).reshape(len(g), -1) for g in (first, second)]
+        (first, second), grids, labels = _grids(tensor, group, *key[1:])
         sets: dict[tuple[int, int], np.ndarray] = {}
         parent: dict[int, int] = {}
 
@@ -142,7 +182,7 @@ def _between(tensor: Tensor):  # noqa: ANN202
                 sets[side, row] = shingle_sets([frame["text"].iat[row].encode()], tensor.width)[0]
             return sets[side, row]
 
-        labels, nodes = [g["label"].to_numpy() for g in (first, second)], [g["node"].to_numpy() for g in (first, second)]
+        nodes = [g["node"].to_numpy() for g in (first, second)]
         found = []
         for a in range(len(first)):
             near = (grids[1] == grids[0][a]).mean(axis=1) if len(second) else np.zeros(0)
@@ -217,10 +257,12 @@ def _components(documents: DataFrame, tensor: Tensor | None) -> DataFrame:
     residual = written(named.join(mixed_tables.select("table", "least"), "table").select("node", "label", "least").distinct(), "residual")
     groups = components(residual.select(F.col("node").alias("a"), F.col("least").alias("b")), "groups")
     members = residual.select("node", "label").distinct().join(groups, "node")
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / tensor.block).cast("int").alias("blocks"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = members.join(nodes.select("node", "sketch"), "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = members.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "sketch", "text")
+    blocks = _blocks(members, tensor).join(nodes.select("node", "sketch"), "node")
+    blocks = blocks.withColumn("other", F.explode("others")).select(
+        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "sketch")
+    fields = "component long, i int, j int, block int, node long, label long, sketch binary"
+    near = written(blocks.groupBy("component", "i", "j").applyInPandas(_near(tensor), fields), "near")
+    blocks = near.join(texts, "node")
     late = written(blocks.groupBy("component", "i", "j").applyInPandas(_between(tensor), "a long, b long"), "late")
     joined = components(links.unionByName(late), "all")
 
