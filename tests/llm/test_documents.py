@@ -141,6 +141,20 @@ def test_minhash_takes_apart_a_chain_and_a_crowd(spark):
     assert found == {d: c for d, _, c, _ in brute_minhash(rows)}
 
 
+def test_minhash_tells_strays_from_a_family(spark):
+    """One large family, and strays of similarity about 0.6 to 0.8 to it and to each other: some join it, some stay."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join([*base[:119], f"x{i}"])))
+    for i, share in enumerate((0.70, 0.74, 0.78, 0.80, 0.82, 0.84, 0.86, 0.88, 0.90) * 3):
+        keep = int(120 * share)
+        rows.append((200 + i, " ".join([*base[:keep], *(f"s{i}q{k}" for k in range(120 - keep))])))
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(documents(spark, rows), minhash_dedup.Tensor(block=16)).collect()}
+    assert found == {d: c for d, _, c, _ in brute_minhash(rows)} and len(set(found.values())) > 2
+
+
 def test_keep_one_keeps_one_row_of_each_component(spark):
     rows = texts()
     kept = minhash_dedup.keep_one(documents(spark, rows)).collect()

@@ -232,16 +232,18 @@ def _components(documents: DataFrame, tensor: Tensor | None) -> DataFrame:
     nodes = nodes.agg(F.min("row").alias("row"), F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    # Keys that two nodes share, then the tables that two nodes share.
+    # Keys that two nodes share, then the tables that two nodes share: counts combine before they are sent, and a key or table
+    # that very many nodes have is cut by the join.
     keys = nodes.select("node", "sketch").mapInArrow(_keys(tensor), "node long, side boolean, key long")
-    beside = Window.partitionBy("side", "key").orderBy("node")
-    shared = keys.withColumn("other", F.coalesce(F.lag("node").over(beside), F.lead("node").over(beside))).where("other is not null")
+    several = keys.groupBy("side", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("side", "key")
+    shared = keys.join(several, ["side", "key"])
     halves = shared.groupBy("node").agg(*(F.collect_list(F.when(F.col("side") == s, F.col("key"))).alias(n) for s, n in ((True, "left"), (False, "right"))))
     tables = halves.select("node", F.explode("left").alias("u"), "right").select("node", "u", F.explode("right").alias("v"))
-    drawn = Window.partitionBy("table").orderBy(F.xxhash64("node", "table"), "node")
-    tables = tables.select("node", F.xxhash64("u", "v").alias("table"))
-    tables = tables.withColumn("drawn", F.first("node").over(drawn)).withColumn("next", F.lead("node").over(drawn))
-    tables = written(tables.where("next is not null or drawn <> node").select("node", "table", "drawn"), "tables")
+    # The drawn member has the smallest number after an exclusive or with the table's, so every table draws its own.
+    tables = tables.select("node", F.xxhash64("u", "v").alias("table")).withColumn("lot", F.col("node").bitwiseXOR(F.col("table")))
+    several = tables.groupBy("table").agg(F.count("*").alias("n"), F.min("lot").alias("lot")).where("n > 1")
+    several = several.select("table", F.col("lot").bitwiseXOR(F.col("table")).alias("drawn"))
+    tables = written(tables.join(several, "table").select("node", "table", "drawn"), "tables")
 
     met = tables.where("node <> drawn").groupBy("node", "drawn").count().groupBy("node").agg(F.max_by("drawn", F.struct("count", "drawn")).alias("drawn"))
     pairs = written(met.select(F.col("node").alias("a"), F.col("drawn").alias("b")), "pairs")
