@@ -130,3 +130,28 @@ def test_percentage_guards(spark):
     got = [tuple(r) for r in df.select(N.pct_change(F.col("c"), F.col("p")), N.pct_change_reason(F.col("c"), F.col("p"))).collect()]
     assert got[0][0] == pytest.approx(10.0) and got[0][1] is None
     assert [g[1] for g in got[1:]] == ["no_previous_value", "previous_is_negative", "previous_is_residue"]
+
+
+@pytest.mark.parametrize("cell", ["2024-01-05", "2024/02/30", "1970-01-01", "01/02/2024", "13/01/2024", "13-13-2024", "31.12.1999", "00/01/2024", "01/02-1900", "01/01/1900", "01/02/1970"])
+def test_days_alone_are_read_as_with_a_time(spark, cell):
+    for order in (None, F.lit("day_first"), F.lit("month_first"), F.lit(None).cast("string")):
+        alone, timed = values(spark, [cell], D.read_date(F.col("t"), order), D.read_date(F.concat("t", F.lit(" 00:00")), order))[0]
+        assert alone == timed
+
+
+def test_days_alone_spare_the_tokens(spark, monkeypatch):
+    """A cell that is a day alone is read in generated code; its tokens are never taken."""
+    monkeypatch.setattr(D, "tokens", lambda text: F.split(F.raise_error(F.concat(F.lit("taken apart: "), text)).cast("string"), " "))
+    read = D.read_date(F.col("t"), F.lit("day_first")).cast("string")
+    assert values(spark, ["05/01/2024", "2024-01-05", "31/02/2024"], read) == [("2024-01-05 00:00:00",), ("2024-01-05 00:00:00",), (None,)]
+    with pytest.raises(Exception, match="taken apart"):
+        values(spark, ["5 Jan 2024"], read)
+
+
+@pytest.mark.parametrize("cell, point, comma", [
+    ("12", "12", "12"), ("007", "007", "007"), ("12.50", "12.50", "12.50"), ("€12,00", "12.00", "12.00"), ("$5.5", "5.5", "5.5"), ("1,000", "1000", "1.000"),
+    ("5.", "5.", "5."), ("12,5\n", "12.5", "12.5"), ("€", "€", "€"),
+])
+def test_numbers_as_decided(spark, cell, point, comma):
+    got = values(spark, [cell], *[N.number_as_decided(F.col("t"), F.lit(d)) for d in ("decimal_point", "decimal_comma")])[0]
+    assert got == (point, comma)

@@ -175,6 +175,14 @@ def test_line_numbers_follow_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_line_numbers_do_not_move_the_rows(spark, tmp_path):
+    """A scan block's offset is told to the tasks that read it; no row meets its block in another task."""
+    df = csv_text.read_text_csv(spark, write(tmp_path, b"n,m\n1,2\n3,4\n", "few.csv"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [(r.line_no, r.n) for r in df.orderBy("line_no").collect()] == [(0, "1"), (1, "3")]
+
+
 def test_cleaned_csv_round_trip(spark, tmp_path):
     df = spark.sql("select * from values (0L, timestamp_ntz'2024-01-05 00:00:00', timestamp_ntz'2024-01-05 10:30:00', 'x'), (1L, null, null, 'y') as t(line_no, d, t, s)")
     assert sinks.date_patterns(df) == {"d": "yyyy-MM-dd", "t": "yyyy-MM-dd'T'HH:mm:ss"}
