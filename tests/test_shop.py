@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from shop import clean_rows, frame, lines
+from shop import FIELDS, clean_rows, frame, lines
 
 from tillscope.operators import customers, lenses, metrics, movements, orders, periods, trust
 from tillscope.plans.analysis import Analysis
@@ -242,3 +242,25 @@ def test_merged_identities_count_compositions(spark):
     from tillscope.operators import profile
     df = spark.createDataFrame([("c", "Jos\u00e9", 1), ("c", "Jose\u0301", 2), ("c", "JOSE\u200b\u0301", 1), ("c", "Bo", 1)], "column string, value string, n long")
     assert [tuple(r) for r in profile.identity_merges(df).collect()] == [("c", 2)]
+
+
+def test_the_lines_are_written_twice_and_answers_once(spark, monkeypatch):
+    """Typed and finished lines; what the user told is written, so that its size is known before the lines move."""
+    from tillscope.operators import orders as order_plan
+    from tillscope.plans import sales_lines
+    from tillscope.session import materialize
+
+    seen = {}
+
+    def noted(df, label, partition_by=None):
+        seen.setdefault(label, []).append(out := materialize(df, label, partition_by))
+        return out
+
+    monkeypatch.setattr(sales_lines, "materialize", noted)
+    monkeypatch.setattr(order_plan, "materialize", noted)
+    rows = [r | {"Cust": None if i % 3 == 0 else r["Cust"]} for i, r in enumerate(clean_rows())]
+    mapping, df = Mapping({**FIELDS, **ORDER}), frame(spark, rows)
+    build_sales_lines(df, mapping, [], Answers(line_classes=(("product_name", "Postage", "charge"),), customer_placeholders=("Walk-in",)))
+    assert [len(seen[x]) for x in ("typed-lines", "answers", "placeholders", "sales-lines")] == [1, 1, 1, 1] and "classed-lines" not in seen
+    assert all(f.endswith(".zstd.parquet") for f in seen["sales-lines"][0].inputFiles())
+    assert seen["receipt-days"][0].filter("fill is null").isEmpty()
