@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from shop import FIELDS, clean_rows, frame, lines
 
-from tillscope.operators import customers, lenses, metrics, movements, orders, periods, trust
+from tillscope.operators import classify, customers, lenses, metrics, movements, orders, periods, trust
 from tillscope.plans.analysis import Analysis
 from tillscope.plans.sales_lines import Answers, Mapping, MissingField, build_sales_lines
 
@@ -264,3 +264,32 @@ def test_the_lines_are_written_twice_and_answers_once(spark, monkeypatch):
     assert [len(seen[x]) for x in ("typed-lines", "answers", "placeholders", "sales-lines")] == [1, 1, 1, 1] and "classed-lines" not in seen
     assert all(f.endswith(".zstd.parquet") for f in seen["sales-lines"][0].inputFiles())
     assert seen["receipt-days"][0].filter("fill is null").isEmpty()
+
+
+def test_order_decisions_from_receipts_with_their_rest(spark):
+    """Lines without an id or a day are one row of their scope; the decisions need not read the lines for them."""
+    names = "shop string, order_id string, txn_day date, customer string, sale boolean, returned boolean, counted boolean, left_out boolean, line_class string"
+    day, sold, gone = dt.date(2024, 1, 5), (True, False, True, False, "sale"), (False, False, False, False, "unmeasurable")
+    rows = [("a", "1", day, "ann", *sold), ("a", None, day, "bo", *sold), ("a", None, None, "cy", *gone), ("a", "2", None, None, *gone), ("a", "2", day, None, *sold),
+            ("b", "3", None, "ann", *gone), (None, "4", day, "ann", *sold)]
+    df = spark.createDataFrame(rows, names)
+    every = orders.receipt_lines(df, ["shop"], rest=True)
+    assert every.filter("order_id is null").groupBy("shop").count().count() == every.filter("order_id is null").count() == 2
+    receipts = orders.receipt_lines(df, ["shop"])
+    assert sorted(map(str, receipts.collect())) == sorted(map(str, every.filter("order_id is not null").drop("n_blank").collect()))
+    facts = orders.order_id_facts(receipts, orders.receipt_fills(receipts, ["shop"]), ["shop"])
+    read, told = (orders.order_decisions(lines_, facts, ["shop"], True, None, rest) for lines_, rest in ((df, None), (None, every)))
+    assert sorted(map(str, read.collect())) == sorted(map(str, told.collect()))
+    assert {r.shop: (r.blank_ids, r.moved_lines) for r in told.collect()} == {"a": (1, 3), "b": (0, 0), None: (0, 1)}
+
+
+def test_worded_lines_are_read_once(spark):
+    """Names, spellings and money of worded keys follow from one written table; the lines are not read again for them."""
+    rows = [("name:postage", "postage", "Postage", None, 2.0), ("name:postage", "postage", "POSTAGE", None, 3.0), ("name:postage", "postage", "POSTAGE", None, -1.0),
+            ("sku:d1", "discount", "Discount", "D1", -4.0), ("sku:d1", "mug", "Mug", "d1", 1.0), ("sku:d1", "discount", "Discount", "d1", None), ("name:mug", "mug", "Mug", None, 9.0)]
+    df = spark.createDataFrame(rows, "item_key string, name_id string, product_name string, sku string, amount double").selectExpr(
+        "*", "false as stock_in", "1.0D as quantity", "amount as unit_price")
+    stored = classify.non_product_candidates(df, write=True)
+    assert {f.split("/")[-2].rsplit("-", 1)[0] for f in stored.inputFiles()} == {"worded-spellings"}
+    want = {("name:postage", "product_name", "POSTAGE", "POSTAGE", 3, 5.0, -1.0, "charge"), ("sku:d1", "sku", "d1", "Discount", 2, 1.0, -4.0, "discount")}
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in classify.non_product_candidates(df).collect()} == want
