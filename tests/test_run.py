@@ -2,6 +2,7 @@
 
 import pytest
 
+from tillscope.plans import run
 from tillscope.plans.cleaning import CleaningPlan, Step
 from tillscope.plans.run import NothingLeft, Run, RunRefused, run_files, run_lines
 from tillscope.plans.sales_lines import Mapping, MissingField
@@ -102,3 +103,15 @@ def test_from_files_with_their_encoding(spark, tmp_path):
     out = run_files(spark, str(tmp_path / "f.csv"), Run(Mapping(FIELDS)))
     assert {r.product_label_text for r in out.lines.collect()} >= {"Caf\xe9"}
     assert [r.warning for r in out.warnings.collect()] == ["encoding_fallback"]
+
+
+def test_currency_is_told_from_distinct_cells(spark, monkeypatch):
+    """Money cells are looked through once each; only a column that names currencies is read beside its lines."""
+    seen, finding = [], run.currency_finding
+    monkeypatch.setattr(run, "currency_finding", lambda df, *a: seen.append(df) or finding(df, *a))
+    rows = [*ROWS, *ROWS, *ROWS]
+    found = {r.question: r.answer for r in run.decide(frame(spark, rows), Run(Mapping(FIELDS))).collect()}
+    assert found["currency"] == "EUR" and seen[0].count() == len({r[2] for r in ROWS})
+    named = frame(spark, rows).selectExpr("*", "if(line_no < 5, 'EUR', 'USD') as Currency")
+    problems = {r.question: r.problem for r in run.decide(named, Run(Mapping(FIELDS))).collect()}
+    assert problems["currency"] == "more than one currency" and seen[1].count() == len(rows)

@@ -213,3 +213,13 @@ def test_results_are_published_together(spark, tmp_path):
     assert (sinks.read_results(spark, folder, "a").count(), sinks.read_results(spark, folder, "b").count()) == (3, 2)
     sinks.write_results({"a": spark.range(7)}, folder, "json")
     assert sinks.read_results(spark, folder, "a").count() == 7 and list(sinks.published(spark, folder)) == ["a"]
+
+
+def test_only_quoted_lines_are_taken_apart(spark, tmp_path, monkeypatch):
+    """Whether a quote stays open is asked of lines that hold one; the others are never split at quotes."""
+    def opens(line, inside, seps):
+        return F.when(F.contains(line, F.lit('"')), F.endswith(line, F.lit("open"))).otherwise(F.raise_error(line).cast("boolean"))
+
+    monkeypatch.setattr(csv_text, "_opens", opens)
+    plain, broken = write(tmp_path, b"n,m\n1,2\n", "plain.csv"), write(tmp_path, b'n,m\n1,"open\n2"\n', "broken.csv")
+    assert [f.split("/")[-1] for f in csv_text._breaking(spark, [plain, broken], "UTF-8")] == ["broken.csv"]
