@@ -293,3 +293,59 @@ def test_worded_lines_are_read_once(spark):
     assert {f.split("/")[-2].rsplit("-", 1)[0] for f in stored.inputFiles()} == {"worded-spellings"}
     want = {("name:postage", "product_name", "POSTAGE", "POSTAGE", 3, 5.0, -1.0, "charge"), ("sku:d1", "sku", "d1", "Discount", 2, 1.0, -4.0, "discount")}
     assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in classify.non_product_candidates(df).collect()} == want
+
+
+def _worded_shops(spark):
+    rows = []
+    for i in range(60):
+        name, sku = (("Postage", None), ("Mug", "M1"), ("Discount", "D1"), ("Tea", None), (None, None), ("Mug", None))[i % 6]
+        rows.append((i, f"2024-01-{1 + i % 9:02d}", "1", str(-2 if name == "Discount" else 3), name, None if i % 4 == 0 else "Ann", f"r{i // 3}", sku, "ab"[i // 6 % 2]))
+    return spark.createDataFrame(rows, "line_no bigint, Date string, Qty string, Price string, Product string, Cust string, Invoice string, SKU string, shop string")
+
+
+@pytest.mark.parametrize("scope", [[], ["shop"]])
+def test_lines_stay_where_small_tables_reach_them(spark, monkeypatch, scope):
+    """Whatever Spark guesses of sizes, only nameless lines move for a join; with nothing sent, and with only the keys sent, the lines are the same."""
+    from tillscope.operators import ranking
+    from tillscope.plans import sales_lines
+    from tillscope.session import materialize
+
+    plans = {}
+
+    def noted(df, label, partition_by=None):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, label, partition_by)
+
+    monkeypatch.setattr(sales_lines, "materialize", noted)
+    monkeypatch.setattr(classify, "materialize", noted)
+    mapping, df = Mapping({**FIELDS, **ORDER, "sku": "SKU"}), _worded_shops(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = []
+        for size in (ranking.SENT_BYTES, 250 if scope else 0, 0):
+            monkeypatch.setattr(ranking, "SENT_BYTES", size)
+            out = build_sales_lines(df, mapping, scope)
+            seen.append((sorted(map(str, out.collect())), plans["worded-spellings"].count("SortMergeJoin"), plans["sales-lines"].count("SortMergeJoin"), "suggested-keys" in plans))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen[0][0] == seen[1][0] == seen[2][0]
+    assert seen[0][1] == 0 < seen[2][1] and seen[0][2] < seen[2][2]
+    assert {r.suggested_class for r in out.collect()} == {None, "charge", "discount"}
+    assert seen[1][3] == bool(scope)
+
+
+def test_moving_lines_carry_no_keys_told_from_others(spark, monkeypatch):
+    """The orders' join is given lines without their netting and product keys and units, which follow from columns it carries."""
+    from tillscope.plans import sales_lines
+
+    given, real = [], orders.with_orders
+
+    def noted(df, *args):
+        given.extend(df.columns)
+        return real(df, *args)
+
+    monkeypatch.setattr(sales_lines.O, "with_orders", noted)
+    out = lines(spark, clean_rows(dt.date(2024, 1, 1), dt.date(2024, 1, 4)), extra=ORDER)
+    assert given and not {"netting_key", "product_key", "units"} & set(given)
+    assert {(r.product_key, r.netting_key, r.units) for r in out.collect()} == {("name:mug", "name:mug", 1.0), ("name:tea", "name:tea", 1.0)}
