@@ -349,3 +349,31 @@ def test_moving_lines_carry_no_keys_told_from_others(spark, monkeypatch):
     out = lines(spark, clean_rows(dt.date(2024, 1, 1), dt.date(2024, 1, 4)), extra=ORDER)
     assert given and not {"netting_key", "product_key", "units"} & set(given)
     assert {(r.product_key, r.netting_key, r.units) for r in out.collect()} == {("name:mug", "name:mug", 1.0), ("name:tea", "name:tea", 1.0)}
+
+
+def test_what_follows_from_written_columns_is_not_written(spark, monkeypatch):
+    """Keys, shown texts, owners and order keys are told from few written columns, also where a shown text is not its cell."""
+    from tillscope.plans import sales_lines
+    from tillscope.session import materialize
+
+    written = {}
+
+    def noted(df, label, partition_by=None):
+        written[label] = out = materialize(df, label, partition_by)
+        return out
+
+    monkeypatch.setattr(sales_lines, "materialize", noted)
+    cells = ["Mug", " MUG ", "​", None, "", "Mug  big"]
+    rows = [dict(Date="2024-01-05", Qty="1", Price="2", Product=c, Cust=None if i else "Ann", Invoice="N1", Type=None) for i, c in enumerate(cells)]
+    got = {r.line_no: r for r in lines(spark, rows, extra=ORDER).collect()}
+    told = {"category_key", "amount", "product_label_text", "sku_label_text"}
+    assert not (told | {"sku_id", "txn_day", "would_sell"}) & set(written["typed-lines"].columns)
+    assert not (told | {"name_id", "netting_key", "product_key", "order_key", "customer", "units", "receipt_fillable"}) & set(written["sales-lines"].columns)
+    assert {r[0] for r in written["sales-lines"].filter("product_name <> 'Mug'").select("__name_shown").collect()} >= {"MUG", "", "Mug big"}
+    assert written["sales-lines"].filter("product_name = 'Mug'").select("__name_shown").first()[0] is None
+    by_cell = {}
+    for r in got.values():
+        by_cell.setdefault(r.product_name, set()).add((r.product_label_text, r.name_id, r.product_key))
+    assert by_cell["Mug"] == {("Mug", "mug", "name:mug")} and by_cell[" MUG "] == {("MUG", "mug", "name:mug")}
+    assert by_cell["​"] == by_cell[None] == {(None, None, None)} and by_cell["Mug  big"] == {("Mug big", "mug big", "name:mug big")}
+    assert {(r.customer, r.amount) for r in got.values()} == {("ann", 2.0)} and len({r.order_key for r in got.values()}) == 1
