@@ -365,7 +365,7 @@ def test_what_follows_from_written_columns_is_not_written(spark, monkeypatch):
     monkeypatch.setattr(sales_lines, "materialize", noted)
     cells = ["Mug", " MUG ", "​", None, "", "Mug  big"]
     rows = [dict(Date="2024-01-05", Qty="1", Price="2", Product=c, Cust=None if i else "Ann", Invoice="N1", Type=None) for i, c in enumerate(cells)]
-    got = {r.line_no: r for r in lines(spark, rows, extra=ORDER).collect()}
+    got = {r.line_no: r for r in lines(spark, rows, Answers(order_id_is_receipt=True), ORDER).collect()}
     told = {"category_key", "amount", "product_label_text", "sku_label_text"}
     assert not (told | {"sku_id", "txn_day", "would_sell"}) & set(written["typed-lines"].columns)
     assert not (told | {"name_id", "netting_key", "product_key", "order_key", "customer", "units", "receipt_fillable"}) & set(written["sales-lines"].columns)
