@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.shop import FIELDS, clean_rows, frame, lines
-from tillscope.operators import orders
+from tillscope.operators import metrics, orders, periods
 from tillscope.plans.sales_lines import Answers, Mapping, build_sales_lines
 from tillscope.session import materialize
 
@@ -26,6 +26,16 @@ def noted(monkeypatch, *modules):
     return seen
 
 
+def test_only_days_both_sold_and_returned_are_reduced_to_orders(spark, monkeypatch):
+    rows = clean_rows(dt.date(2024, 1, 1), dt.date(2024, 2, 29))
+    back = [dict(rows[0], Date="2024-02-05", Qty="-1", Cust=who, Product=product, Invoice=f"R{who}") for who, product in (("Ann", "Mug"), ("Bo", "Hat"))]
+    df = lines(spark, [*rows, *back], Answers(order_id_is_receipt=True), ORDER)
+    seen = noted(monkeypatch, metrics)
+    got = {(r.measure, r.figure_scope): (r.lines, r.amount, r.orders) for r in metrics.same_day_cancellations(df, periods.periods(df)).collect()}
+    assert {k[0]: v for k, v in got.items() if k[0] != "returns_unchecked"} == {"returns": (1, -10.0, 1), "sales": (1, 10.0, 1)}
+    assert seen["customer-product-days"][0].count() == 2
+
+
 @pytest.mark.parametrize("scope", [[], ["shop"]])
 def test_receipts_move_once_for_counts_and_fills(spark, scope):
     names = "shop string, order_id string, txn_day date, customer string, sale boolean, returned boolean, counted boolean, left_out boolean, line_class string"

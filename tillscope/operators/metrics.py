@@ -10,7 +10,7 @@ from tillscope.functions import text as T
 from tillscope.functions.numbers import is_negligible, pct_change, pct_change_reason
 from tillscope.operators.classify import LEAVING, TERM_OF, term_of
 from tillscope.operators.periods import compared, figure_scopes, with_period
-from tillscope.operators.ranking import join_same
+from tillscope.operators.ranking import join_same, sent
 from tillscope.session import materialize
 
 # Which figures each note about the lines touches, and the report's limits.
@@ -34,13 +34,8 @@ def zero(col: Column) -> Column:
 
 
 def monthly_orders(lines: DataFrame, scope: list[str]) -> DataFrame:
-    """One row per month and order: the only step that shuffles lines by order."""
-    return lines.filter("counted").groupBy(*scope, "month", "order_key").agg(
-        F.sum("amount").alias("amount"), F.sum(F.abs("amount")).alias("moved"), F.sum("units").alias("units"),
-        F.bool_or("sale").alias("sale"), F.bool_or("returned").alias("returned"),
-        *[zero(F.sum(F.when(F.col(c), F.col("amount")))).alias(f"{c}_amount") for c in ("sale", "returned", "deduction", "charge")],
-        F.count_if(F.col("returned") | (F.col("amount") < 0)).alias("refund_lines"),
-        F.count("*").alias("lines"))
+    """One row per month and order: the only step that shuffles lines by order, so it carries no sums."""
+    return lines.filter("counted").groupBy(*scope, "month", "order_key").agg(F.bool_or("sale").alias("sale"), F.bool_or("returned").alias("returned"))
 
 
 def monthly_customers(lines: DataFrame, scope: list[str]) -> DataFrame:
@@ -49,18 +44,23 @@ def monthly_customers(lines: DataFrame, scope: list[str]) -> DataFrame:
         F.sum("amount").alias("amount"), F.bool_or("sale").alias("sale"))
 
 
-def monthly_core(lines: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Per month: net revenue, orders, return orders, active customers, buyers, units, per-order figures."""
+def monthly_core(lines: DataFrame, scope: list[str] | None = None, people: DataFrame | None = None) -> DataFrame:
+    """Per month: net revenue, orders, return orders, active customers, buyers, units, per-order figures.
+
+    ``people``, as ``monthly_customers`` tells them, spare reading the lines for them.
+    """
     scope = scope or []
+    of = lambda c: zero(F.sum(F.when(F.col(c), F.col("amount"))))
+    sums = lines.filter("counted").groupBy(*scope, "month").agg(
+        F.sum("amount").alias("revenue"), F.sum(F.abs("amount")).alias("money_moved"), F.sum("units").alias("units"),
+        of("sale").alias("gross_sales"), (0.0 - of("returned")).alias("returns"), (0.0 - of("deduction")).alias("deductions"), of("charge").alias("charges"),
+        F.count_if(F.col("returned") | (F.col("amount") < 0)).alias("refund_lines"), F.count("*").alias("lines"))
     orders = monthly_orders(lines, scope).groupBy(*scope, "month").agg(
-        F.sum("amount").alias("revenue"), F.sum("moved").alias("money_moved"), F.sum("units").alias("units"),
-        F.count_if("sale").alias("orders"), F.count_if("returned").alias("return_orders"),
-        F.sum("sale_amount").alias("gross_sales"), (0.0 - F.sum("returned_amount")).alias("returns"),
-        (0.0 - F.sum("deduction_amount")).alias("deductions"), F.sum("charge_amount").alias("charges"),
-        F.sum("refund_lines").alias("refund_lines"), F.sum("lines").alias("lines"))
-    people = monthly_customers(lines, scope).groupBy(*scope, "month").agg(
+        F.count_if("sale").alias("orders"), F.count_if("returned").alias("return_orders"))
+    people = monthly_customers(lines, scope) if people is None else people
+    people = people.groupBy(*scope, "month").agg(
         F.count("customer").alias("active_customers"), F.count(F.when(F.col("sale"), F.col("customer"))).alias("buyers"))
-    figures = join_same(orders, people, [*scope, "month"], "left")
+    figures = join_same(join_same(sums, orders, [*scope, "month"], "left"), people, [*scope, "month"], "left")
     per = lambda c: F.try_divide(F.col(c), F.col("orders"))
     return figures.withColumns({
         "aov": per("revenue"), "return_rate": per("return_orders"),
@@ -195,19 +195,22 @@ def unmeasurable(lines: DataFrame, period: DataFrame, scope: list[str] | None =
 def same_day_cancellations(lines: DataFrame, period: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Return lines whose customer bought the same product that day, and those sale lines.
 
-    Customer, product and day are reduced to one row each way before they meet, so nothing joins
-    line to line.
+    Lines first move as a hash of customer, product and day alone; only those whose hash is both sold and taken back are
+    reduced to one row each way before they meet, so nothing joins line to line.
     """
     scope = scope or []
     key = [*scope, "customer", "netting_key", "txn_day"]
     known = F.col("txn_ts").isNotNull() & F.col("customer").isNotNull() & F.col("netting_key").isNotNull()
     back, sold = F.col("line_class") == "customer_return", F.col("line_class") == "sale"
-    orders = lines.filter(known & (back | sold)).groupBy(*key, "month", "order_key").agg(
+    ours = lines.filter(known & (back | sold)).withColumn("__hash", F.xxhash64(*key))
+    # Two keys of one hash only let more lines through; they are told apart below.
+    both = ours.groupBy("__hash").agg(F.bool_or(back).alias("r"), F.bool_or(sold).alias("s")).filter("r and s").select("__hash")
+    near = ours.join(sent(materialize(both, "returned-and-sold")), "__hash", "left_semi")
+    orders = materialize(near.groupBy(*key, "month", "order_key").agg(
         F.count_if(back).alias("return_lines"), zero(F.sum(F.when(back, F.col("amount")))).alias("return_amount"),
-        F.count_if(sold).alias("sale_lines"), zero(F.sum(F.when(sold, F.col("amount")))).alias("sale_amount"))
-    orders = materialize(orders, "customer-product-days")
-    both = orders.groupBy(*key).agg(F.sum("return_lines").alias("r"), F.sum("sale_lines").alias("s")).filter("r > 0 and s > 0")
-    hit = join_same(orders, both.drop("r", "s"), key, "left_semi")
+        F.count_if(sold).alias("sale_lines"), zero(F.sum(F.when(sold, F.col("amount")))).alias("sale_amount")), "customer-product-days")
+    hits = orders.groupBy(*key).agg(F.sum("return_lines").alias("r"), F.sum("sale_lines").alias("s")).filter("r > 0 and s > 0")
+    hit = join_same(orders, hits.drop("r", "s"), key, "left_semi")
     per_order = hit.groupBy(*scope, "month", "order_key").agg(
         *[F.sum(c).alias(c) for c in ("return_lines", "return_amount", "sale_lines", "sale_amount")])
     unchecked = lines.filter(F.col("returned") & (F.col("customer").isNull() | (F.col("line_class") == "pooled_return")))
