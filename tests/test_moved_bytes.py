@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.shop import FIELDS, clean_rows, frame, lines
-from tillscope.operators import metrics, orders, periods
+from tillscope.operators import metrics, orders, periods, products
+from tillscope.plans.analysis import Analysis
 from tillscope.plans.sales_lines import Answers, Mapping, build_sales_lines
 from tillscope.session import materialize
 
@@ -90,6 +91,21 @@ def test_keys_that_cells_tell_are_not_written(spark, monkeypatch):
     assert {r.line_no: r["__key"] for r in seen["sales-lines"][0].collect()} == {0: None, 1: "sku:p1", 2: "name:mug", 3: "name:mug", 4: None, 5: "sku:p1"}
 
 
+def test_only_products_of_several_names_are_counted_by_name(spark, monkeypatch):
+    columns = "product_key string, line_no long, sku_label_text string, product_label_text string, sale boolean, txn_ts timestamp_ntz"
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [("a", 1, "A1", "Mug", True, at(1)), ("a", 2, "a1", "Mug", True, at(2)), ("a", 3, None, "Zzz", False, at(3)),
+            ("b", 4, None, "Tea", True, at(1)), ("b", 5, None, "TEA", True, at(2)), ("b", 6, "B", "Chai", False, at(9)), ("b", 7, "B", "Chai", False, at(9)), ("b", 8, "B", "Chai", False, at(9)),
+            ("c", 9, None, "Hat", False, None), ("c", 10, None, "Cap", False, at(1)), ("c", 11, None, None, True, at(1)), ("d", 12, "D", None, True, at(1)),
+            ("e", 13, "E", "Mug", True, at(4)), (None, 14, "F", "Mug", True, at(4))]
+    seen = noted(monkeypatch, products)
+    got = {r.product_key: r.product_label for r in products.product_labels(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {"a": "Mug (A1)", "b": "TEA", "c": "Cap", "d": "D", "e": "Mug (E)"}
+    assert {r.product_key for r in seen["commonest-names"][0].collect()} == {"b", "c"}
+    # No label is shared: none is written to be numbered.
+    assert "labels" not in seen and "label-texts" not in seen
+
+
 def test_first_days_alone_are_netted(spark, monkeypatch):
     rows = clean_rows(dt.date(2024, 1, 1), dt.date(2024, 3, 20))
     of = lambda day, who, qty, product="Mug": dict(rows[0], Date=day, Qty=qty, Cust=who, Product=product, Invoice=f"{day}{who}{qty}")
@@ -102,6 +118,18 @@ def test_first_days_alone_are_netted(spark, monkeypatch):
     assert {r.customer for r in seen["first-returns"][0].collect()} == {"dee", "eve", "fay"}
 
 
+def test_tables_that_several_figures_share_are_written_once(spark, monkeypatch):
+    from tillscope.operators import lenses, members
+    from tillscope.plans import analysis
+
+    a = Analysis(lines(spark, clean_rows(dt.date(2023, 10, 1), dt.date(2024, 2, 29)), extra=ORDER))
+    seen = noted(monkeypatch, analysis, lenses, members)
+    assert a.facts.first().top_member is not None
+    assert [len(seen[x]) for x in ("month-customers", "trading-days", "product-sums")] == [1, 1, 1] and "product-totals" not in seen
+    wide = a.product_totals.filter(F.col("key") == a.facts.first().top_member.lower().join(["name:", ""])).first()
+    assert wide.label == a.facts.first().top_member
+
+
 def test_the_ledger_of_text_keeps_an_invoices_lines_together(spark, sf):
     from suite import registry
     from tillscope.sources.ledger import ledger
